@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from patronage.functions.scalar import keyed_normal
 from patronage.operators.selection import extreme_rows, order_statistics, scalars, unique_number
-from patronage.session import materialize
 
 # Weights of the probability, label and risk cuts, level names.
 WEIGHTS = {"recency_days": 0.35, "frequency": 0.30, "monetary": 0.25, "rfm_score": 0.10}
@@ -143,7 +142,9 @@ def relabel_if_weak(df: DataFrame, accuracy: float | None, p: str = "churn_proba
 
 
 def score_by_rules(df: DataFrame, noise: float = 0.0, seed: int = 42, mode: str = "as_written") -> DataFrame:
-    """Probability, label and risk level without a model; ``df`` holds the features."""
-    staged = materialize(churn_probability(df, noise, seed), "churn-rules")
-    labelled = ensure_both_classes(balance_labels(initial_label(staged), mode))
-    return risk_levels(labelled, "churn_probability")
+    """Probability, label and risk level without a model.
+
+    ``df`` holds the features as read from a table or a written stage; what is
+    added is arithmetic on them, the same in every pass.
+    """
+    return risk_levels(label_churn(df, noise, seed, mode), "churn_probability")

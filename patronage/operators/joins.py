@@ -75,38 +75,38 @@ def lookup_count(df: DataFrame, events: DataFrame, name: str, key: str = "custom
     return df.join(tally, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
-RUN_KEY = ["analysis_id", "customer_id"]
+RUN_KEY = ["user_id", "analysis_id"]
+ROW_KEY = [*RUN_KEY, "customer_id"]
+
+
+def _with_results(customers: DataFrame, churn: DataFrame, revenue: DataFrame) -> DataFrame:
+    """Customer rows with their churn and revenue results where there are any.
+
+    A run number belongs to one tenant, so joining on the tenant as well changes
+    no row; it keeps tenants apart and lets a tenant filter reach every scan.
+    """
+    x = churn.select(*ROW_KEY, "churn_probability", "risk_level", "days_since_last_purchase")
+    r = revenue.select(*ROW_KEY, "total_revenue", "predicted_revenue", "revenue_segment", "avg_transaction_value")
+    return customers.join(x, ROW_KEY, "left").join(r, ROW_KEY, "left")
 
 
 def dashboard_join(customers: DataFrame, history: DataFrame, churn: DataFrame, revenue: DataFrame) -> DataFrame:
     """The 18-column dashboard rows; history, churn and revenue may be missing."""
-    c, h, x, r = (customers.alias("c"), history.alias("h"), churn.alias("x"), revenue.alias("r"))
-    return (
-        c.join(x, (F.col("c.analysis_id") == F.col("x.analysis_id")) & (F.col("c.customer_id") == F.col("x.customer_id")), "left")
-        .join(r, (F.col("c.analysis_id") == F.col("r.analysis_id")) & (F.col("c.customer_id") == F.col("r.customer_id")), "left")
-        .join(h, F.col("c.analysis_id") == F.col("h.analysis_id"), "left")
-        .select(
-            "c.analysis_id", "c.user_id", "c.customer_id", "c.customer_name", "c.age", "c.gender", "c.country",
-            "r.total_revenue", "r.predicted_revenue", "x.churn_probability", "x.risk_level", "r.revenue_segment",
-            "c.transaction_count", "r.avg_transaction_value", "c.first_purchase_date", "c.last_purchase_date",
-            "x.days_since_last_purchase", F.col("h.timestamp").alias("created_at"),
-        )
+    stamps = history.select(*RUN_KEY, F.col("timestamp").alias("created_at"))
+    return _with_results(customers, churn, revenue).join(stamps, RUN_KEY, "left").select(
+        "analysis_id", "user_id", "customer_id", "customer_name", "age", "gender", "country", "total_revenue",
+        "predicted_revenue", "churn_probability", "risk_level", "revenue_segment", "transaction_count",
+        "avg_transaction_value", "first_purchase_date", "last_purchase_date", "days_since_last_purchase", "created_at",
     )
 
 
 def dashboard_join_inner(customers: DataFrame, history: DataFrame, churn: DataFrame, revenue: DataFrame) -> DataFrame:
     """The 15-column variant: rows of runs without history are left out."""
-    c, h, x, r = (customers.alias("c"), history.alias("h"), churn.alias("x"), revenue.alias("r"))
-    return (
-        c.join(x, (F.col("c.analysis_id") == F.col("x.analysis_id")) & (F.col("c.customer_id") == F.col("x.customer_id")), "left")
-        .join(r, (F.col("c.analysis_id") == F.col("r.analysis_id")) & (F.col("c.customer_id") == F.col("r.customer_id")), "left")
-        .join(h, F.col("c.analysis_id") == F.col("h.analysis_id"), "inner")
-        .select(
-            "c.customer_id", "c.age", "c.gender", "c.country", "c.total_spent", "c.transaction_count",
-            "c.first_purchase_date", "c.last_purchase_date", "x.risk_level", "x.churn_probability",
-            "r.revenue_segment", "r.predicted_revenue", "h.analysis_id", "h.user_id",
-            F.col("h.timestamp").alias("analysis_date"),
-        )
+    stamps = history.select(*RUN_KEY, F.col("timestamp").alias("analysis_date"))
+    return _with_results(customers, churn, revenue).join(stamps, RUN_KEY).select(
+        "customer_id", "age", "gender", "country", "total_spent", "transaction_count", "first_purchase_date",
+        "last_purchase_date", "risk_level", "churn_probability", "revenue_segment", "predicted_revenue",
+        "analysis_id", "user_id", "analysis_date",
     )
 
 

@@ -109,5 +109,5 @@ def apply_normal_map(df: DataFrame, marks: dict[str, list[float]], suffix: str =
             out[c] = inverse_normal(np.clip(share, 1e-7, 1 - 1e-7))
         return pd.DataFrame(out).where(block[names].notna().to_numpy())
 
-    mapped = df.withColumn("_mapped", squash(F.struct(*[F.col(c).cast("double") for c in names])))
+    mapped = df.withColumn("_mapped", squash(F.struct(*[F.col(c).cast("double").alias(c) for c in names])))
     return mapped.withColumns({f"{c}{suffix}": F.col(f"_mapped.{c}") for c in names}).drop("_mapped")

@@ -81,7 +81,7 @@ def release_scratch(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(spark: SparkSession) -> int:
