@@ -6,17 +6,18 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Date layouts accepted besides the ISO forms that a cast reads.
-DATE_LAYOUTS = [
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "dd-MMM-yyyy",
-    "dd MMM yyyy",
-    "MMM d, yyyy",
-    "yyyyMMdd",
-]
+# Date layouts accepted besides the ISO forms that a cast reads,
+# each with the shape of the texts it is tried on.
+DATE_LAYOUTS = {
+    "yyyyMMdd": r"^\d{8}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy/M/d H:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+}
 
 # The blanks removed at both ends of a text.
 BLANKS = " \t\n\r\x0b\x0c"
@@ -70,11 +71,12 @@ def parse_instant(c: Column, t: T.DataType | None = None) -> Column:
     if t is not None and is_temporal(t):
         return c.cast("timestamp_ntz")
     text = F.btrim(c, F.lit(BLANKS))
-    # A layout is tried only on texts of its shape: a bare digit run is a
-    # compact date, not the year an ISO cast would take it for.
-    compact = F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("timestamp_ntz")
-    others = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATE_LAYOUTS if p != "yyyyMMdd"]
-    return F.when(text.rlike(r"^\d{8}$"), compact).otherwise(F.coalesce(text.try_cast("timestamp_ntz"), *others))
+    # A layout is tried only on texts of its shape: a failing parse throws inside
+    # the JVM, which would cost far more than the shape test on dirty columns.
+    parsed = text.try_cast("timestamp_ntz")
+    for layout, shape in reversed(DATE_LAYOUTS.items()):
+        parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")).otherwise(parsed)
+    return parsed
 
 
 def upper_trimmed(c: Column) -> Column:
@@ -83,7 +85,8 @@ def upper_trimmed(c: Column) -> Column:
 
 def as_percent(c: Column) -> Column:
     """``0.1234`` -> ``12.3%``."""
-    return F.format_string("%.1f%%", c * 100)
+    # A decimal pattern rounds the exact binary value; a printf format would not.
+    return F.concat(F.call_function("format_number", c * 100, F.lit("0.0")), F.lit("%"))
 
 
 def as_money(c: Column, symbol: str = "$") -> Column:

@@ -47,8 +47,14 @@ def initial_label(df: DataFrame, p: str = "churn_probability") -> DataFrame:
     return df.withColumn("churn_label", F.coalesce((F.col(p) > LABEL_CUT).cast("int"), F.lit(0)))
 
 
+def class_counts(df: DataFrame) -> tuple[int, int]:
+    """Rows, and rows labelled as churned."""
+    s = scalars(df, n=F.count(F.lit(1)), churned=F.coalesce(F.sum("churn_label"), F.lit(0)))
+    return s["n"], s["churned"]
+
+
 def balance_labels(
-    df: DataFrame, mode: str = "as_written", p: str = "churn_probability", key: str = "customer_id"
+    df: DataFrame, mode: str = "as_written", p: str = "churn_probability", key: str = "customer_id", counts=None
 ) -> DataFrame:
     """Move labels towards a usable class balance; only the first matching case acts.
 
@@ -58,8 +64,7 @@ def balance_labels(
     if mode not in ("as_written", "intended"):
         raise ValueError(mode)
     names = df.columns
-    s = scalars(df, n=F.count(F.lit(1)), churned=F.coalesce(F.sum("churn_label"), F.lit(0)))
-    n, churned = s["n"], s["churned"]
+    n, churned = counts or class_counts(df)
     floor, target = max(2, int(n * MIN_SHARE)), int(n * CHURN_SHARE)
     if churned < floor:
         k, value = floor - churned, 1
@@ -78,19 +83,22 @@ def balance_labels(
     return out.select(*names)
 
 
-def ensure_both_classes(df: DataFrame, p: str = "churn_probability", key: str = "customer_id") -> DataFrame:
+def ensure_both_classes(
+    df: DataFrame, p: str = "churn_probability", key: str = "customer_id", counts=None
+) -> DataFrame:
     """At least one row of each class, judged by the counts before either fix."""
+    n, churned = counts or class_counts(df)
+    if not n or 0 < churned < n:
+        return df
     s = scalars(
         df,
-        n=F.count(F.lit(1)),
-        churned=F.coalesce(F.sum("churn_label"), F.lit(0)),
         top=F.min_by(key, F.struct((-F.col(p)).alias("a"), F.col(key).alias("b"))),
         bottom=F.min_by(key, F.struct(F.col(p).alias("a"), F.col(key).alias("b"))),
     )
     label = F.col("churn_label")
-    if s["churned"] < 1 and s["n"]:
+    if churned < 1:
         label = F.when(F.col(key) == F.lit(s["top"]), 1).otherwise(label)
-    if s["n"] - s["churned"] < 1 and s["n"]:
+    if n - churned < 1:
         label = F.when(F.col(key) == F.lit(s["bottom"]), 0).otherwise(label)
     return df.withColumn("churn_label", label)
 
@@ -99,8 +107,15 @@ def label_churn(
     df: DataFrame, noise: float = 0.0, seed: int = 42, mode: str = "as_written", key: str = "customer_id"
 ) -> DataFrame:
     """Probability, label, balance and class guard in one go."""
-    scored = initial_label(churn_probability(df, noise, seed, key))
-    return ensure_both_classes(balance_labels(scored, mode, key=key), key=key)
+    return label_rows(churn_probability(df, noise, seed, key), mode, key)
+
+
+def label_rows(df: DataFrame, mode: str = "as_written", key: str = "customer_id") -> DataFrame:
+    """Label, balance and class guard of rows that have their probability."""
+    scored = initial_label(df)
+    counts = class_counts(scored)
+    balanced = balance_labels(scored, mode, key=key, counts=counts)
+    return ensure_both_classes(balanced, key=key, counts=counts if balanced is scored else None)
 
 
 def risk_levels(df: DataFrame, p: str = "churn_probability_final", key: str = "customer_id") -> DataFrame:

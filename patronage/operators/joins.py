@@ -22,7 +22,7 @@ def assert_unique(df: DataFrame, key: str) -> None:
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.01, k: int = HOT_KEYS) -> list:
     """Keys that may hold ``share`` of the rows or more: a bounded sketch, at most ``k``."""
-    row = df.agg(F.count(key).alias("n"), F.approx_top_k(key, F.lit(k), F.lit(10 * k)).alias("top")).first()
+    row = df.agg(F.count(key).alias("n"), F.call_function("approx_top_k", F.col(key), F.lit(k), F.lit(64 * k)).alias("top")).first()
     return [t["item"] for t in row["top"] if t["item"] is not None and t["count"] >= share * row["n"]]
 
 
@@ -35,7 +35,9 @@ def join_one(
     which broadcasts it. A larger one is shuffled - except that the rows of hot
     keys never are: each hot key has one right row, so the right rows of at
     most ``HOT_KEYS`` keys are broadcast to wherever the hot rows already lie.
-    ``one`` must be unique in ``key`` (checked when ``validate``).
+    ``many`` is read once more for the keys, and once more if some are hot, so
+    it should be a table or a written stage. ``one`` must be unique in ``key``
+    (checked when ``validate``).
     """
     if how not in ("inner", "left"):
         raise ValueError(how)

@@ -112,36 +112,42 @@ def _is_date(c: Column, t: T.DataType) -> Column:
     return parse_instant(c).isNotNull() if isinstance(t, T.StringType) else F.lit(False)
 
 
-def _stats_aggs(name: str, t: T.DataType) -> dict[str, Column]:
+def _stats_aggs(name: str, t: T.DataType, any_name: bool) -> dict[str, Column]:
+    """Aggregates of one column; a probe only a name can call for is left out for other names."""
     c = F.col(name)
     number = _number(c, t)
+    name = name.lower()
+    no = F.max(F.lit(0).cast("long"))
     return {
         "rows": F.count(c),
         "numbers": F.count(number),
-        "dates": F.count_if(_is_date(c, t)),
+        "dates": F.count_if(_is_date(c, t)) if any_name or _has(name, DATE_WORDS) else no,
         "low": F.min(number),
         "high": F.max(number),
-        "ages": F.count_if(number.between(15, 100)),
-        "genders": F.count_if(F.lower(c.cast("string")).isin(GENDER_VALUES)),
+        "ages": F.count_if(number.between(15, 100)) if _has(name, AGE_WORDS) else no,
+        "genders": F.count_if(F.lower(c.cast("string")).isin(GENDER_VALUES)) if _has(name, GENDER_WORDS) else no,
     }
 
 
-UNIQUENESS_ERROR = 0.01
+SKETCH_BITS = 14
+UNIQUENESS_ERROR = 0.01  # above the sketch's standard error at that size
 UNIQUENESS_CUTS = (0.3, 0.8)
 
 
-def column_stats(df: DataFrame) -> dict[str, ColumnStats]:
+def column_stats(df: DataFrame, any_name: bool = False) -> dict[str, ColumnStats]:
     """Statistics of every column over all rows: one scan, no shuffle of the rows.
 
+    ``any_name`` tries every column as a date, whatever its name.
+
     Distinct counts start as sketches. Only a column whose estimate lies within
     five standard errors of a share the rules compare with is counted exactly.
     """
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     aggs: dict[str, Column] = {}
     for i, f in enumerate(fields):
-        for k, a in _stats_aggs(f.name, f.dataType).items():
+        for k, a in _stats_aggs(f.name, f.dataType, any_name).items():
             aggs[f"{k}_{i}"] = a
-        aggs[f"distinct_{i}"] = F.approx_count_distinct(f.name, UNIQUENESS_ERROR)
+        aggs[f"distinct_{i}"] = F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f.name).cast("string"), SKETCH_BITS))
     row = scalars(df, **aggs)
     close = [
         i
@@ -201,9 +207,9 @@ def sample_stats(df: DataFrame, order_by: str, size: int = 100) -> dict[str, Col
 
 def describe_types(df: DataFrame, stats: dict[str, ColumnStats]) -> DataFrame:
     """One row per column: its statistics and recognised type."""
-    rows = [(n, s.rows, s.numbers, s.dates, s.low, s.high, semantic_type(n, s)) for n, s in stats.items()]
+    rows = [(n, s.rows, s.numbers, s.low, s.high, semantic_type(n, s)) for n, s in stats.items()]
     return df.sparkSession.createDataFrame(
-        rows, "column_name string, non_null long, numbers long, dates long, low double, high double, semantic_type string"
+        rows, "column_name string, non_null long, numbers long, low double, high double, semantic_type string"
     )
 
 
@@ -221,7 +227,7 @@ def auto_map(df: DataFrame, order_by: str) -> dict[str, str | None]:
         chosen[role] = next((n for n, t in types.items() if t == role), None)
         if chosen[role] is None and role in fallbacks:
             if not full:
-                full = column_stats(df)
+                full = column_stats(df, any_name=True)
                 rows = df.count()
             chosen[role] = next((n for n, s in full.items() if fallbacks[role](s, rows)), None)
     return chosen

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from patronage.functions.scalar import is_numeric, month_label
 from patronage.operators import churn
 from patronage.operators.quantiles import above_quantile
-from patronage.operators.rollups import total
+from patronage.operators.rollups import exact_total, total
 from patronage.operators.selection import quantiles, scalars
 
 P = "churn_probability_final"
@@ -31,7 +31,7 @@ def value_counts(df: DataFrame, column: str, name: str = "count") -> DataFrame:
 
 
 def sum_by(df: DataFrame, column: str, amount: str, name: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).groupBy(column).agg(total(amount).alias(name))
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(exact_total(df, amount).alias(name))
 
 
 def top_by_sum(df: DataFrame, column: str, amount: str, name: str, n: int = 10) -> DataFrame:
@@ -43,7 +43,7 @@ def monthly_totals(df: DataFrame, date: str, amount: str, name: str) -> DataFram
     sums = (
         df.where(F.col(date).isNotNull())
         .groupBy(F.to_date(F.date_trunc("month", date)).alias("month"))
-        .agg(total(amount).alias(name))
+        .agg(exact_total(df, amount).alias(name))
     )
     span = sums.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     spine = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
@@ -58,7 +58,7 @@ def monthly_totals(df: DataFrame, date: str, amount: str, name: str) -> DataFram
 def kpis(df: DataFrame) -> DataFrame:
     """Revenue, distinct customers, high-risk rows and churn rate in percent."""
     return df.agg(
-        total("total_revenue").alias("total_revenue"),
+        exact_total(df, "total_revenue").alias("total_revenue"),
         F.count_distinct("customer_id").alias("total_customers"),
         F.count_if(F.col("risk_level") == churn.HIGH).alias("high_risk_customers"),
     ).withColumn(
@@ -71,7 +71,7 @@ def overview(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count_distinct("customer_id").alias("total_customers"),
         F.count(F.lit(1)).alias("transactions"),
-        total("amount").alias("total_revenue"),
+        exact_total(df, "amount").alias("total_revenue"),
         F.avg("amount").alias("avg_transaction"),
     )
 

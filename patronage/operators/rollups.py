@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from patronage.functions.scalar import dtype, instant, parse_instant, whole_days
 from patronage.operators.joins import attach_pairs
@@ -17,6 +17,21 @@ def total(c) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
+MONEY = "decimal(24,6)"
+
+
+def exact_total(df: DataFrame, name: str) -> Column:
+    """Sum of an amount that does not depend on the order of the rows.
+
+    Binary fractions are added as decimals: a retried task, another partition
+    count or another engine then gives the very same sum, which thresholds and
+    ties further on rely on.
+    """
+    if isinstance(dtype(df, name), (T.FloatType, T.DoubleType)):
+        return total(F.col(name).cast(MONEY)).cast("double")
+    return total(name)
+
+
 def customer_rollup(
     transactions: DataFrame,
     as_of=None,
@@ -30,7 +45,7 @@ def customer_rollup(
     demographic row (by ``order_by``), so no join is needed.
     """
     has_date = "date" in transactions.columns
-    aggs = [total("amount").alias("total_amount"), F.count("amount").alias("transaction_count")]
+    aggs = [exact_total(transactions, "amount").alias("total_amount"), F.count("amount").alias("transaction_count")]
     if has_date:
         when = parse_instant(F.col("date"), dtype(transactions, "date"))
         if first_date:
@@ -79,13 +94,15 @@ def revenue_metrics(transactions: DataFrame) -> DataFrame:
         transactions.where("customer_id is not null")
         .groupBy("customer_id")
         .agg(
-            total("amount").alias("total_revenue"),
-            F.avg("amount").alias("avg_revenue"),
+            exact_total(transactions, "amount").alias("total_revenue"),
             F.count("amount").alias("transaction_count"),
             F.min("date").alias("first_purchase"),
             F.max("date").alias("last_purchase"),
         )
+        .withColumn("avg_revenue", F.when(F.col("transaction_count") > 0, F.col("total_revenue") / F.col("transaction_count")))
         .withColumn("customer_lifetime_value", F.col("total_revenue") * F.col("transaction_count"))
+        .select("customer_id", "total_revenue", "avg_revenue", "transaction_count", "first_purchase", "last_purchase",
+                "customer_lifetime_value")
     )
 
 

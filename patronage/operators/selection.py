@@ -3,7 +3,7 @@
 ``order_statistics`` answers "which value stands at sorted position r" for
 several columns and positions at once. A bounded sketch brackets each wanted
 position; one counting pass places the bracket exactly; only rows inside a
-bracket are ranked. A bracket that still holds too many rows is narrowed again,
+bracket are sorted. A bracket that still holds too many rows is narrowed again,
 so no task and no driver ever holds more than ``MAX_CANDIDATES`` values. Give
 it a frame that is cheap to scan again (a table, or a materialised stage).
 """
@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.functions.scalar import dtype, is_numeric
 from patronage.session import materialize
 
-MAX_CANDIDATES = 1_000_000
+MAX_CANDIDATES = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -139,41 +140,27 @@ def _halve(df: DataFrame, b: _Bracket) -> None:
 
 
 def _rank(df: DataFrame, brackets: list[_Bracket], found: dict) -> None:
-    """Rank the bounded candidate rows: equal values are merged first."""
-    by_type: dict[str, list[_Bracket]] = {}
+    """Sort the bounded candidates of every bracket in one aggregation."""
+    if not brackets:
+        return
+    # Positions that share a bracket share its candidates.
+    shared: dict[tuple, list[_Bracket]] = {}
     for b in brackets:
-        by_type.setdefault(dtype(df, b.column).simpleString(), []).append(b)
-    for group in by_type.values():
-        # Positions that share a bracket share its candidates.
-        shared: dict[tuple, list[_Bracket]] = {}
-        for b in group:
-            shared.setdefault((b.column, b.low, b.high, b.below), []).append(b)
-        probes = list(shared.values())
-        slots = F.array(
-            *[
-                F.when(bs[0].holds(), F.struct(F.lit(i).alias("slot"), F.col(bs[0].column).alias("v")))
-                for i, bs in enumerate(probes)
-            ]
-        )
-        cells = (
-            df.select(F.explode(slots).alias("cell"))
-            .where("cell is not null")
-            .select("cell.slot", "cell.v")
-            .groupBy("slot", "v")
-            .agg(F.count("*").alias("n"))
-        )
-        running = F.sum("n").over(Window.partitionBy("slot").orderBy("v"))
-        targets = F.array(*[F.array(*[F.lit(b.rank - b.below).cast("long") for b in bs]) for bs in probes])
-        hits = (
-            cells.select("slot", "v", (running - F.col("n")).alias("start"), running.alias("stop"))
-            .select("slot", "v", F.explode(F.get(targets, F.col("slot"))).alias("r"), "start", "stop")
-            .where("r >= start and r < stop")
-            .select("slot", "r", "v")
-            .collect()  # one row per asked position
-        )
-        for slot, r, v in hits:
-            b = probes[slot][0]
-            found[b.column][r + b.below] = v
+        shared.setdefault((b.column, b.low, b.high, b.below), []).append(b)
+    groups = list(shared.values())
+    rows = df
+    if all(g[0].low is not None for g in groups):
+        rows = df.where(reduce(lambda x, y: x | y, [g[0].holds() for g in groups]))
+    sorted_values = rows.agg(
+        *[
+            F.sort_array(F.collect_list(F.when(g[0].holds(), F.col(g[0].column)))).alias(f"a{i}")
+            for i, g in enumerate(groups)
+        ]
+    )
+    picks = [(b, F.get(f"a{i}", F.lit(b.rank - b.below))) for i, g in enumerate(groups) for b in g]
+    row = sorted_values.select(*[c.alias(f"v{j}") for j, (_, c) in enumerate(picks)]).first()
+    for j, (b, _) in enumerate(picks):
+        found[b.column][b.rank] = row[j]
 
 
 def quantiles(

@@ -35,7 +35,7 @@ def analyze_churn(
     """Scored customers with risk levels, and one row describing the model."""
     df = churn_features(_ready(customers, order_by), as_of, transactions, on_missing)
     df = materialize(churn.churn_probability(df, noise, seed), "churn-features")
-    df = churn.ensure_both_classes(churn.balance_labels(churn.initial_label(df), mode))
+    df = churn.label_rows(df, mode)
     table, names = features.feature_matrix(df, CHURN_FEATURES)
     fitted = models.train_churn(table, names, settings=settings, **training)
     scored = materialize(models.score_churn(fitted, table).drop("features"), "churn-scored")

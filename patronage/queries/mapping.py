@@ -27,7 +27,7 @@ def _probe(table_name, column, kind):
 def types_sql(probes):
     """The recognition rules over one probe row per column."""
     return f"""probes AS ({' UNION ALL '.join(probes)}),
-typed AS (SELECT column_name, non_null, numbers, dates, low, high, CASE
+typed AS (SELECT column_name, non_null, numbers, low, high, CASE
   WHEN {_like(m.ID_WORDS)} AND uniq > non_null * 0.8 THEN 'customer_id'
   WHEN {_like(m.DATE_WORDS)} AND dates = non_null THEN 'date'
   WHEN {_like(m.AMOUNT_WORDS)} AND numbers > 0 THEN 'amount'

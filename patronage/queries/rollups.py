@@ -25,7 +25,7 @@ def a2(spark, folder):
     return u.customer_rollup(transactions(spark, folder), AS_OF).select("customer_id", "last_purchase", "days_since_last_purchase")
 
 
-FIVE = f"""WITH {TX}, m AS (SELECT customer_id, sum(amount) AS total_revenue, avg(amount) AS avg_revenue,
+FIVE = f"""WITH {TX}, m AS (SELECT customer_id, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS total_revenue, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) / count(amount) AS avg_revenue,
   count(amount) AS transaction_count, min(date) AS first_purchase, max(date) AS last_purchase FROM tx GROUP BY customer_id)"""
 
 
