@@ -158,21 +158,21 @@ def run_tables(spark: SparkSession, folder: str, segments: bool = False) -> dict
         + F.lit(WEIGHTS["monetary"]) * (1 - F.col("total_amount") / F.col("xm"))
     )
     churn = wide.withColumn("churn_probability", F.round(p, 6)).select(
-        *key, "customer_id", "churn_probability", F.round("total_amount", 2).alias("total_amount"), "transaction_count",
+        *key, "customer_id", "churn_probability", "total_amount", "transaction_count",
         "days_since_last_purchase", F.to_date("last_purchase").alias("last_activity"),
     )
     churn = fixed_risk_levels(churn, "churn_probability")
     lift = 1 + (F.col("transaction_count") - F.col("nf")) / (F.col("xf") - F.col("nf") + 1)
     revenue = wide.select(
-        *key, "customer_id", F.round(F.col("total_amount") * lift, 4).alias("predicted_revenue"),
-        F.round("total_amount", 2).alias("total_revenue"), "transaction_count",
-        F.round(F.col("total_amount") / F.col("transaction_count"), 4).alias("avg_transaction_value"),
+        *key, "customer_id", (F.col("total_amount") * lift).alias("predicted_revenue"),
+        F.col("total_amount").alias("total_revenue"), "transaction_count",
+        (F.col("total_amount") / F.col("transaction_count")).alias("avg_transaction_value"),
     )
     if segments:
         revenue = value_segments(materialize(revenue, "run-revenue"))
     people = rows.select(
         *key, "customer_id", "customer_name", F.lit(None).cast("int").alias("age"),
-        F.lit(None).cast("string").alias("gender"), "country", F.round("total_amount", 2).alias("total_spent"),
+        F.lit(None).cast("string").alias("gender"), "country", F.col("total_amount").alias("total_spent"),
         "transaction_count", F.to_date("first_purchase").alias("first_purchase_date"),
         F.to_date("last_purchase").alias("last_purchase_date"),
     )
@@ -193,19 +193,19 @@ tops AS (SELECT user_id, analysis_id, max(days_since_last_purchase) AS xr, max(t
   min(transaction_count) AS nf, max(total_amount) AS xm FROM run_rows GROUP BY 1, 2),
 churn0 AS (SELECT user_id, analysis_id, customer_id, round(0.35e0 * days_since_last_purchase / xr
   + 0.30e0 * (1 - transaction_count / xf) + 0.25e0 * (1 - total_amount / xm), 6) AS churn_probability,
-  round(total_amount, 2) AS total_amount, transaction_count, days_since_last_purchase,
+  total_amount, transaction_count, days_since_last_purchase,
   CAST(last_purchase AS DATE) AS last_activity FROM run_rows JOIN tops USING (user_id, analysis_id)),
 churn AS (SELECT *, CASE WHEN churn_probability >= 0.4e0 THEN 'High Risk' WHEN churn_probability >= 0.2e0
   THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_level FROM churn0),
-revenue0 AS (SELECT user_id, analysis_id, customer_id, round(total_amount
-  * (1 + (transaction_count - nf) / (xf - nf + 1)), 4) AS predicted_revenue, round(total_amount, 2) AS total_revenue,
-  transaction_count, round(total_amount / transaction_count, 4) AS avg_transaction_value
+revenue0 AS (SELECT user_id, analysis_id, customer_id, total_amount
+  * (1 + (transaction_count - nf) / (xf - nf + 1)) AS predicted_revenue, total_amount AS total_revenue,
+  transaction_count, total_amount / transaction_count AS avg_transaction_value
   FROM run_rows JOIN tops USING (user_id, analysis_id)),
 rev_cuts AS (SELECT quantile_cont(predicted_revenue, 0.33) AS lo, quantile_cont(predicted_revenue, 0.67) AS hi FROM revenue0),
 revenue AS (SELECT revenue0.*, CASE WHEN predicted_revenue >= hi THEN 'High Value' WHEN predicted_revenue >= lo
   THEN 'Medium Value' ELSE 'Low Value' END AS revenue_segment FROM revenue0, rev_cuts),
 people AS (SELECT user_id, analysis_id, customer_id, customer_name, CAST(NULL AS INTEGER) AS age,
-  CAST(NULL AS VARCHAR) AS gender, country, round(total_amount, 2) AS total_spent, transaction_count,
+  CAST(NULL AS VARCHAR) AS gender, country, total_amount AS total_spent, transaction_count,
   CAST(first_purchase AS DATE) AS first_purchase_date, CAST(last_purchase AS DATE) AS last_purchase_date FROM run_rows),
 churn_runs AS (SELECT user_id, analysis_id, count(*) AS total_customers,
   count(*) FILTER (churn_probability > 0.5) AS high_risk_customers FROM churn GROUP BY 1, 2),

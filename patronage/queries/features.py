@@ -88,29 +88,26 @@ def valued(spark, folder):
     return f.value_features(f.rfm_inputs(rolled(spark, folder), AS_OF, "revenue"))
 
 
-def _value_query(name, column, digits):
-    sql = f"WITH {REVENUE} SELECT customer_id, round({column}, {digits}) AS {column} FROM target"
-
-    @query(name, sql)
+def _value_query(name, column):
+    # Plain arithmetic on exact sums: both engines give the same bits, so nothing is rounded.
+    @query(name, f"WITH {REVENUE} SELECT customer_id, {column} FROM target")
     def run(spark, folder):
-        return rounded(valued(spark, folder).select("customer_id", column), **{column: digits})
+        return valued(spark, folder).select("customer_id", column)
 
 
-_value_query("f9_order_value", "avg_order_value", 6)
-_value_query("f10_purchase_frequency", "purchase_frequency", 6)
-_value_query("f11_lifetime_months", "customer_lifetime_months", 6)
-_value_query("f12_revenue_velocity", "revenue_velocity", 6)
-_value_query("f12_spending_growth", "spending_growth", 3)
+_value_query("f9_order_value", "avg_order_value")
+_value_query("f10_purchase_frequency", "purchase_frequency")
+_value_query("f11_lifetime_months", "customer_lifetime_months")
+_value_query("f12_revenue_velocity", "revenue_velocity")
+_value_query("f12_spending_growth", "spending_growth")
 
 
 @query(
     "f13_feature_matrix",
-    f"""WITH {REVENUE} SELECT customer_id, round(CAST(recency_days AS DOUBLE), 4) AS recency_days,
-    round(CAST(frequency AS DOUBLE), 4) AS frequency, round(monetary, 2) AS monetary, CAST(rfm_score AS DOUBLE) AS rfm_score,
-    round(revenue_velocity, 6) AS revenue_velocity FROM target""",
+    f"""WITH {REVENUE} SELECT customer_id, CAST(recency_days AS DOUBLE) AS recency_days,
+    CAST(frequency AS DOUBLE) AS frequency, monetary, CAST(rfm_score AS DOUBLE) AS rfm_score, revenue_velocity FROM target""",
 )
 def f13(spark, folder):
     df = f.value_features(f.rfm_features(rolled(spark, folder), AS_OF, "revenue"))
     out, _ = f.feature_matrix(df, f.REVENUE_FEATURES, None)
-    out = out.select("customer_id", "recency_days", "frequency", "monetary", "rfm_score", "revenue_velocity")
-    return rounded(out, recency_days=4, frequency=4, monetary=2, revenue_velocity=6)
+    return out.select("customer_id", "recency_days", "frequency", "monetary", "rfm_score", "revenue_velocity")
