@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from patronage.functions.scalar import dtype, is_numeric, is_temporal, parse_instant, parse_number
 from patronage.operators.joins import join_one
@@ -165,43 +165,25 @@ def _column_stats(row, i, t: T.DataType) -> ColumnStats:
     return ColumnStats(*[row[f"{k}_{i}"] for k in keys], data_type=t)
 
 
-def sample_stats(df: DataFrame, order_by: str, size: int = 100) -> dict[str, ColumnStats]:
+def sample_stats(df: DataFrame, order_by: str | None = None, size: int = 100) -> dict[str, ColumnStats]:
     """Statistics of each column's first ``size`` non-null values by ``order_by``.
 
-    All columns are sampled in one scan; the per-column limit is applied inside
-    every map task before anything is shuffled.
+    The first ``size`` rows serve every column that is filled there; only a
+    column with gaps among them is looked up by itself. Without ``order_by``
+    the rows come as the files are read, and only the first files are opened.
     """
-    fields = df.schema.fields
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("slot"), F.col(f.name).cast("string").alias("v")) for i, f in enumerate(fields)]
-    )
-    long = (
-        df.select(F.col(order_by).alias("_o"), F.explode(cells).alias("cell"))
-        .select("_o", "cell.slot", "cell.v")
-        .where("v is not null")
-        .withColumn("_rn", F.row_number().over(Window.partitionBy("slot").orderBy("_o")))
-        .where(F.col("_rn") <= size)
-    )
-    number = parse_number(F.col("v"))
-    stats = long.groupBy("slot").agg(
-        F.count("v").alias("rows"),
-        F.count_distinct("v").alias("distinct"),
-        F.count(number).alias("numbers"),
-        F.count_if(parse_instant(F.col("v")).isNotNull()).alias("dates"),
-        F.min(number).alias("low"),
-        F.max(number).alias("high"),
-        F.count_if(number.between(15, 100)).alias("ages"),
-        F.count_if(F.lower("v").isin(GENDER_VALUES)).alias("genders"),
-    )
-    found = {r["slot"]: r.asDict() for r in stats.collect()}  # one row per column
-    out = {}
-    for i, f in enumerate(fields):
-        r = found.get(i) or dict(rows=0, distinct=0, numbers=0, dates=0, low=None, high=None, ages=0, genders=0)
-        if is_numeric(f.dataType) or is_temporal(f.dataType):
-            r["dates"] = r["rows"]
-        if not (is_numeric(f.dataType) or isinstance(f.dataType, T.StringType)):
-            r.update(numbers=0, low=None, high=None, ages=0)
-        out[f.name] = ColumnStats(**{k: v for k, v in r.items() if k != "slot"}, data_type=f.dataType)
+    def head(rows: DataFrame) -> DataFrame:
+        picked = (rows.orderBy(order_by) if order_by else rows).limit(size).collect()  # at most ``size`` rows
+        return df.sparkSession.createDataFrame(picked, rows.schema)
+
+    first = head(df)
+    out = column_stats(first)
+    filled = max((s.rows for s in out.values()), default=0)
+    for f in df.schema.fields:
+        if f.name in out and out[f.name].rows < min(size, filled):
+            columns = list(dict.fromkeys([f.name] + ([order_by] if order_by else [])))
+            alone = head(df.select(*columns).where(F.col(f.name).isNotNull()))
+            out[f.name] = column_stats(alone.select(f.name))[f.name]
     return out
 
 
@@ -213,7 +195,7 @@ def describe_types(df: DataFrame, stats: dict[str, ColumnStats]) -> DataFrame:
     )
 
 
-def auto_map(df: DataFrame, order_by: str) -> dict[str, str | None]:
+def auto_map(df: DataFrame, order_by: str | None = None) -> dict[str, str | None]:
     """Pick a column for each role; three roles have a fallback on the full data."""
     types = {n: semantic_type(n, s) for n, s in sample_stats(df, order_by).items()}
     full: dict[str, ColumnStats] = {}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions.scalar import BLANKS
@@ -41,7 +44,26 @@ def shortest_words(words: list[str]) -> list[str]:
 
 
 KEYWORD_PATTERN = "|".join(shortest_words(KEYWORDS))
-DANGER_PATTERN = "(?i)" + "|".join(PATTERNS)
+
+
+def matches_any(text: Column, patterns: list[str] = PATTERNS) -> Column:
+    """Whether any pattern occurs, whatever the case.
+
+    A plain substring test decides for patterns without operators, and stands
+    before the expression for those that begin with a word, so most texts are
+    settled without walking the expression.
+    """
+    upper = F.upper(text)
+    tests = []
+    for p in patterns:
+        word = re.match(r"[A-Za-z_@-]*", p).group()
+        if word == p:
+            tests.append(upper.contains(word.upper()))
+        elif len(word) > 1:
+            tests.append(upper.contains(word.upper()) & text.rlike("(?i)" + p))
+        else:
+            tests.append(text.rlike("(?i)" + p))
+    return reduce(lambda a, b: a | b, tests)
 
 
 def screen_text(df: DataFrame, column: str) -> DataFrame:
@@ -49,7 +71,7 @@ def screen_text(df: DataFrame, column: str) -> DataFrame:
     text = F.btrim(F.col(column), F.lit(BLANKS))
     flags = {
         "has_keyword": F.upper(text).rlike(KEYWORD_PATTERN),
-        "has_pattern": text.rlike(DANGER_PATTERN),
+        "has_pattern": matches_any(text),
         "too_long": F.length(text) > MAX_LENGTH,
         "is_email": text.rlike(EMAIL),
     }

@@ -25,12 +25,14 @@ SKETCH_ACCURACY = 10_000
 
 @dataclass
 class _Bracket:
+    """Neighbouring positions of one column and the value range that holds them."""
+
     column: str
-    rank: int
+    ranks: list[int]
+    inside: int
     low: object = None
     high: object = None
     below: int = 0
-    inside: int = 0
 
     def holds(self) -> Column:
         c = F.col(self.column)
@@ -38,6 +40,10 @@ class _Bracket:
             return c.isNotNull()
         return (c >= F.lit(self.low)) & (c <= F.lit(self.high))
 
+    @property
+    def span(self) -> tuple:
+        return self.column, self.low, self.high, self.below
+
 
 def scalars(df: DataFrame, **aggs: Column) -> dict:
     """One row of aggregates as Python values (a fixed, tiny result)."""
@@ -53,100 +59,130 @@ def order_statistics(
     """Value at each 0-based sorted position of each column, nulls left out."""
     if counts is None:
         counts = scalars(df, **{c: F.count(c) for c in ranks})
-    todo: list[_Bracket] = []
-    for column, wanted in ranks.items():
-        for r in sorted(set(wanted)):
-            if not 0 <= r < counts[column]:
-                raise IndexError(f"position {r} outside the {counts[column]} values of {column}")
-            todo.append(_Bracket(column, r, inside=counts[column]))
-
     found: dict[str, dict[int, object]] = {c: {} for c in ranks}
-    small = [b for b in todo if b.inside <= max_candidates]
-    large = [b for b in todo if b.inside > max_candidates]
-    accuracy = SKETCH_ACCURACY
+    small: list[_Bracket] = []
+    large: list[_Bracket] = []
+    for column, wanted in ranks.items():
+        for group in _neighbours(sorted(set(wanted))):
+            if not 0 <= group[0] <= group[-1] < counts[column]:
+                raise IndexError(f"positions {group} outside the {counts[column]} values of {column}")
+            b = _Bracket(column, group, counts[column])
+            (small if b.inside <= max_candidates else large).append(b)
     while large:
-        _narrow(df, large, accuracy)
         still = []
-        for b in large:
+        for b in _narrow(df, large):
             if b.low == b.high:
-                found[b.column][b.rank] = b.low
+                found[b.column].update(dict.fromkeys(b.ranks, b.low))
             elif b.inside <= max_candidates:
                 small.append(b)
             else:
                 still.append(b)
         large = still
-    _rank(df, small, found)
+    _sort_small(df, small, found)
     return found
 
 
-def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
-    """Shrink every bracket around its position: one sketch, one count."""
-    margin = 2.0 / accuracy
-    sketches = []
-    for b in brackets:
-        p = (b.rank - b.below + 0.5) / b.inside
-        lo, hi = max(0.0, p - margin), min(1.0, p + margin)
-        inner = F.when(b.holds(), F.col(b.column))
-        sketches.append(F.percentile_approx(inner, [lo, hi], accuracy))
-        sketches.append(F.min(inner))
-        sketches.append(F.max(inner))
-    row = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first()
-
-    proposals = []
-    for i, b in enumerate(brackets):
-        (lo, hi), least, most = row[3 * i], row[3 * i + 1], row[3 * i + 2]
-        # A sketch works in doubles; clamp so that a bracket never leaves its parent.
-        proposals.append((max(lo, least), min(hi, most), least, most))
-    tallies = []
-    for b, (lo, hi, least, most) in zip(brackets, proposals):
-        c = F.col(b.column)
-        tallies += [F.count_if(c < F.lit(lo)), F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi)))]
-    row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(tallies)]).first()
-
-    for i, (b, (lo, hi, least, most)) in enumerate(zip(brackets, proposals)):
-        below, inside = row[2 * i], row[2 * i + 1]
-        if below <= b.rank < below + inside:
-            shrunk = inside < b.inside
-            b.low, b.high, b.below, b.inside = lo, hi, below, inside
-            if not shrunk and lo != hi:
-                _halve(df, b)
-        elif b.rank < below:  # the sketch overshot: keep the part under it
-            b.low, b.high = least, lo
-            b.inside = scalars(df, n=F.count_if(b.holds()))["n"]
+def _neighbours(ranks: list[int]) -> list[list[int]]:
+    """Runs of adjacent positions: an interpolated quantile asks for two of them."""
+    groups: list[list[int]] = []
+    for r in ranks:
+        if groups and r - groups[-1][-1] <= 1:
+            groups[-1].append(r)
         else:
-            b.low, b.high, b.below = hi, most, scalars(df, n=F.count_if(F.col(b.column) < F.lit(hi)))["n"]
-            b.inside = scalars(df, n=F.count_if(b.holds()))["n"]
+            groups.append([r])
+    return groups
+
 
+def _narrow(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
+    """Shrink every bracket around its positions: one sketch pass, one counting pass.
 
-def _halve(df: DataFrame, b: _Bracket) -> None:
-    """Split a bracket the sketch could not shrink, at its mean (ties collapse first)."""
+    Brackets over the same range share one sketch.
+    """
+    margin = 2.0 / SKETCH_ACCURACY
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault(b.span, []).append(b)
+    groups = list(shared.values())
+    asked = [
+        [
+            min(1.0, max(0.0, (rank - b.below + 0.5) / b.inside + shift))
+            for b in g
+            for rank, shift in ((b.ranks[0], -margin), (b.ranks[-1], margin))
+        ]
+        for g in groups
+    ]
+    aggs = {}
+    for i, (g, probs) in enumerate(zip(groups, asked)):
+        inner = F.when(g[0].holds(), F.col(g[0].column))
+        aggs[f"q{i}"] = F.percentile_approx(inner, probs, SKETCH_ACCURACY)
+        aggs[f"lo{i}"], aggs[f"hi{i}"] = F.min(inner), F.max(inner)
+    marks = scalars(df, **aggs)
+
+    tallies, proposals = {}, []
+    for i, g in enumerate(groups):
+        least, most = marks[f"lo{i}"], marks[f"hi{i}"]
+        for k, b in enumerate(g):
+            # Wide integers pass through the sketch as doubles: clamp to the parent range.
+            lo, hi = (min(max(marks[f"q{i}"][2 * k + side], least), most) for side in (0, 1))
+            c, j = F.col(b.column), len(proposals)
+            tallies[f"below{j}"] = F.count_if(c < F.lit(lo))
+            tallies[f"inside{j}"] = F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi)))
+            proposals.append((b, lo, hi, least, most))
+    n = scalars(df, **tallies)
+
+    out: list[_Bracket] = []
+    for j, (b, lo, hi, least, most) in enumerate(proposals):
+        below, inside = n[f"below{j}"], n[f"inside{j}"]
+        # Positions the proposed range missed keep the part of the parent beside it.
+        under = [r for r in b.ranks if r < below]
+        within = [r for r in b.ranks if below <= r < below + inside]
+        over = [r for r in b.ranks if r >= below + inside]
+        if within and inside < b.inside:
+            out.append(_Bracket(b.column, within, inside, lo, hi, below))
+        elif within:
+            out.extend(_peel(df, _Bracket(b.column, within, inside, lo, hi, below)))
+        if under:
+            out.append(_Bracket(b.column, under, below - b.below + _equal(df, b.column, lo), least, lo, b.below))
+        if over:
+            ties = _equal(df, b.column, hi)
+            start = below + inside - ties
+            out.append(_Bracket(b.column, over, b.below + b.inside - start, hi, most, start))
+    return out
+
+
+def _equal(df: DataFrame, column: str, value) -> int:
+    return scalars(df, n=F.count_if(F.col(column) == F.lit(value)))["n"]
+
+
+def _peel(df: DataFrame, b: _Bracket) -> list[_Bracket]:
+    """Take the smallest and largest value off a bracket the sketch could not shrink."""
+    if b.low == b.high:
+        return [b]
     c = F.col(b.column)
     s = scalars(
         df.where(b.holds()),
         at_low=F.count_if(c == F.lit(b.low)),
-        above_low=F.min(F.when(c > F.lit(b.low), c)),
         at_high=F.count_if(c == F.lit(b.high)),
-        under_high=F.max(F.when(c < F.lit(b.high), c)),
+        second=F.min(F.when(c > F.lit(b.low), c)),
+        last_but_one=F.max(F.when(c < F.lit(b.high), c)),
     )
-    if b.rank < b.below + s["at_low"]:
-        b.high, b.inside = b.low, s["at_low"]
-    elif b.rank >= b.below + b.inside - s["at_high"]:
-        b.below += b.inside - s["at_high"]
-        b.low, b.inside = b.high, s["at_high"]
-    else:
-        b.below += s["at_low"]
-        b.inside -= s["at_low"] + s["at_high"]
-        b.low, b.high = s["above_low"], s["under_high"]
-
-
-def _rank(df: DataFrame, brackets: list[_Bracket], found: dict) -> None:
+    first, last = b.below + s["at_low"], b.below + b.inside - s["at_high"]
+    parts = [
+        ([r for r in b.ranks if r < first], s["at_low"], b.low, b.low, b.below),
+        ([r for r in b.ranks if first <= r < last], last - first, s["second"], s["last_but_one"], first),
+        ([r for r in b.ranks if r >= last], s["at_high"], b.high, b.high, last),
+    ]
+    return [_Bracket(b.column, *part) for part in parts if part[0]]
+
+
+def _sort_small(df: DataFrame, brackets: list[_Bracket], found: dict) -> None:
     """Sort the bounded candidates of every bracket in one aggregation."""
     if not brackets:
         return
     # Positions that share a bracket share its candidates.
     shared: dict[tuple, list[_Bracket]] = {}
     for b in brackets:
-        shared.setdefault((b.column, b.low, b.high, b.below), []).append(b)
+        shared.setdefault(b.span, []).append(b)
     groups = list(shared.values())
     rows = df
     if all(g[0].low is not None for g in groups):
@@ -157,10 +193,10 @@ def _rank(df: DataFrame, brackets: list[_Bracket], found: dict) -> None:
             for i, g in enumerate(groups)
         ]
     )
-    picks = [(b, F.get(f"a{i}", F.lit(b.rank - b.below))) for i, g in enumerate(groups) for b in g]
-    row = sorted_values.select(*[c.alias(f"v{j}") for j, (_, c) in enumerate(picks)]).first()
-    for j, (b, _) in enumerate(picks):
-        found[b.column][b.rank] = row[j]
+    picks = [(i, b, r) for i, g in enumerate(groups) for b in g for r in b.ranks]
+    row = sorted_values.select(*[F.get(f"a{i}", F.lit(r - b.below)) for i, b, r in picks]).first()
+    for value, (_, b, r) in zip(row, picks):
+        found[b.column][r] = value
 
 
 def quantiles(
@@ -222,10 +258,8 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_index", start
     "rows in earlier ranges + place in own range"; the offsets are one row per
     range. No step brings all rows to one task.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
-        df.repartitionByRange(parts, *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
@@ -246,10 +280,8 @@ def running_total(df: DataFrame, order_by: str, values: list[str]) -> DataFrame:
 
     ``order_by`` is unique in ``df``. Same range scheme as ``with_row_index``.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stage = materialize(
-        df.repartitionByRange(parts, order_by).withColumn("_range", F.spark_partition_id()), "running-total"
+        df.repartitionByRange(order_by).withColumn("_range", F.spark_partition_id()), "running-total"
     )
     sums = stage.groupBy("_range").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

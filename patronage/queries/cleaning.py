@@ -167,7 +167,7 @@ def c15(spark, folder):
 
 def _screen_sql(source, key, column):
     words = "|".join(screening.KEYWORDS)
-    danger = screening.DANGER_PATTERN.replace("'", "''")
+    danger = ("(?i)" + "|".join(screening.PATTERNS)).replace("'", "''")
     blanks = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
     return f"""WITH t AS (SELECT {key}, trim({column}, {blanks}) AS s FROM {source}),
     f AS (SELECT *, regexp_matches(upper(s), '{words}') AS has_keyword, regexp_matches(s, '{danger}') AS has_pattern,

@@ -112,7 +112,7 @@ def t5(spark, folder):
 
 @query(
     "t6_high_value_list",
-    f"""WITH {REVENUE} SELECT customer_id, round(target_revenue, 4) AS predicted_revenue, round(monetary, 2) AS total_revenue,
+    f"""WITH {REVENUE} SELECT customer_id, target_revenue AS predicted_revenue, monetary AS total_revenue,
     frequency AS transaction_count FROM segmented
     WHERE target_revenue > (SELECT quantile_cont(target_revenue, 0.75) FROM segmented)
     ORDER BY target_revenue DESC, customer_id LIMIT 10""",
@@ -122,7 +122,7 @@ def t6(spark, folder):
         "customer_id", F.col("target_revenue").alias("predicted_revenue"), F.col("monetary").alias("total_revenue"),
         F.col("frequency").alias("transaction_count"),
     )
-    return rounded(r.high_value_list(df), predicted_revenue=4, total_revenue=2)
+    return r.high_value_list(df)
 
 
 @query(

@@ -112,10 +112,10 @@ def r7(spark, folder):
     return c.ensure_both_classes(nobody).select("customer_id", "churn_label")
 
 
-@query("r8_revenue_target", f"WITH {REVENUE} SELECT customer_id, round(target_revenue, 4) AS target_revenue FROM target")
+@query("r8_revenue_target", f"WITH {REVENUE} SELECT customer_id, target_revenue FROM target")
 def r8(spark, folder):
     df = features.rfm_features(customer_rollup(transactions(spark, folder), AS_OF), AS_OF, "revenue")
-    return rounded(revenue.revenue_target(df).select("customer_id", "target_revenue"), target_revenue=4)
+    return revenue.revenue_target(df).select("customer_id", "target_revenue")
 
 
 @query("r8_noisy_target")

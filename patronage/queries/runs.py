@@ -57,7 +57,8 @@ def x5(spark, folder):
     """Every tenant's rows are stored, one tenant is deleted, the rest is read back."""
     churn = run_tables(spark, folder)["churn"]
     path = scratch_path(spark, "tenants")
-    churn.write.partitionBy("user_id", "analysis_id").parquet(f"{path}/churn_data")
+    rows = churn.hint("rebalance", "user_id", "analysis_id")
+    rows.write.partitionBy("user_id", "analysis_id").parquet(f"{path}/churn_data")
     RunStore(spark, path)._drop_run("churn_data", "BUILDING")
     return spark.read.schema(churn.schema).parquet(f"{path}/churn_data")
 

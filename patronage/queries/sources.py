@@ -115,7 +115,8 @@ def s6(spark, folder):
 def s7(spark, folder):
     path = scratch_path(spark, "tenant-scan")
     churn = run_tables(spark, folder)["churn"]
-    churn.write.partitionBy("user_id", "analysis_id").parquet(path)
+    # Rebalancing gives each run its own few files and splits a run that is too big for one.
+    churn.hint("rebalance", "user_id", "analysis_id").write.partitionBy("user_id", "analysis_id").parquet(path)
     return cleaning.for_tenant(spark.read.schema(churn.schema).parquet(path), "BUILDING")
 
 

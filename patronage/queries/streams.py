@@ -36,13 +36,13 @@ def w1_stream(spark, folder):
 
 @query("w2_limit_attempts")
 def w2(spark, folder):
-    e = table(spark, folder, "events").select("event_id", "ts", "event_type")
-    return limiter.limit_attempts(e, "event_type", "ts", "event_id")
+    e = table(spark, folder, "events").select("event_id", "ts", "user_id")
+    return limiter.limit_attempts(e, "user_id", "ts", "event_id")
 
 
 @query("w2_stream_limit_attempts")
 def w2_stream(spark, folder):
-    return retention.run_to_end(limiter.stream_limit_attempts(event_stream(spark, folder), "event_type", "ts"), "limiter-stream")
+    return retention.run_to_end(limiter.stream_limit_attempts(event_stream(spark, folder), "user_id", "ts"), "limiter-stream")
 
 
 @query("w3_retention", f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 3 DAY")

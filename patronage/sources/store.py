@@ -217,7 +217,7 @@ class RunStore:
     def append_events(self, events: DataFrame) -> None:
         """Append many audit events at once, one folder per day."""
         stamped = events.withColumn("day", F.to_date("timestamp"))
-        out = conform(stamped, T.StructType.fromDDL(LOG_SCHEMA))
+        out = conform(stamped, T.StructType.fromDDL(LOG_SCHEMA)).hint("rebalance", "day")
         out.write.mode("append").partitionBy("day").parquet(f"{self.root}/security_log")
 
     def events(self) -> DataFrame:
