@@ -106,6 +106,7 @@ def apply_normal_map(df: DataFrame, marks: dict[str, list[float]], suffix: str =
             refs = np.linspace(0, 1, len(q))
             # Average of the ascending and descending walk: ties land mid-step.
             share = 0.5 * (np.interp(x, q, refs) - np.interp(-x, -q[::-1], -refs[::-1]))
+            share = np.where(x <= q[0], 0.0, np.where(x >= q[-1], 1.0, share))
             out[c] = inverse_normal(np.clip(share, 1e-7, 1 - 1e-7))
         return pd.DataFrame(out).where(block[names].notna().to_numpy())
 
