@@ -73,10 +73,11 @@ def parse_instant(c: Column, t: T.DataType | None = None) -> Column:
     text = F.btrim(c, F.lit(BLANKS))
     # A layout is tried only on texts of its shape: a failing parse throws inside
     # the JVM, which would cost far more than the shape test on dirty columns.
-    parsed = text.try_cast("timestamp_ntz")
+    iso = text.try_cast("timestamp_ntz")
+    parsed = F.lit(None).cast("timestamp_ntz")
     for layout, shape in reversed(DATE_LAYOUTS.items()):
         parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")).otherwise(parsed)
-    return parsed
+    return F.when(text.rlike("|".join(DATE_LAYOUTS.values())), parsed).otherwise(iso)
 
 
 def upper_trimmed(c: Column) -> Column:

@@ -46,14 +46,13 @@ def shortest_words(words: list[str]) -> list[str]:
 KEYWORD_PATTERN = "|".join(shortest_words(KEYWORDS))
 
 
-def matches_any(text: Column, patterns: list[str] = PATTERNS) -> Column:
-    """Whether any pattern occurs, whatever the case.
+def matches_any(text: Column, upper: Column, patterns: list[str] = PATTERNS) -> Column:
+    """Whether any pattern occurs, whatever the case; ``upper`` is the text in capitals.
 
     A plain substring test decides for patterns without operators, and stands
     before the expression for those that begin with a word, so most texts are
     settled without walking the expression.
     """
-    upper = F.upper(text)
     tests = []
     for p in patterns:
         word = re.match(r"[A-Za-z_@-]*", p).group()
@@ -68,13 +67,17 @@ def matches_any(text: Column, patterns: list[str] = PATTERNS) -> Column:
 
 def screen_text(df: DataFrame, column: str) -> DataFrame:
     """Flags for each rule over the whole text, and the text if every rule passes."""
-    text = F.btrim(F.col(column), F.lit(BLANKS))
-    flags = {
-        "has_keyword": F.upper(text).rlike(KEYWORD_PATTERN),
-        "has_pattern": matches_any(text),
-        "too_long": F.length(text) > MAX_LENGTH,
-        "is_email": text.rlike(EMAIL),
-    }
-    out = df.withColumns(flags)
+    # Columns of their own, so that trimming and capitals are worked out once per text.
+    work = df.withColumn("_text", F.btrim(F.col(column), F.lit(BLANKS))).withColumn("_upper", F.upper("_text"))
+    text, upper = F.col("_text"), F.col("_upper")
+    out = work.withColumns(
+        {
+            "has_keyword": upper.rlike(KEYWORD_PATTERN),
+            "has_pattern": matches_any(text, upper),
+            "too_long": F.length(text) > MAX_LENGTH,
+            "is_email": text.rlike(EMAIL),
+        }
+    )
     rejected = F.col("has_keyword") | F.col("has_pattern") | F.col("too_long") | ~F.col("is_email")
-    return out.withColumn("safe_text", F.when(rejected, "").otherwise(F.coalesce(text, F.lit(""))))
+    out = out.withColumn("safe_text", F.when(rejected, "").otherwise(F.coalesce(text, F.lit(""))))
+    return out.drop("_text", "_upper")

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from patronage.operators import rollups
-from patronage.operators.joins import join_one
 from patronage.plans.analysis import analyze_churn, analyze_revenue, process_tables
 from patronage.session import materialize
 from patronage.sources.store import RunStore
@@ -27,9 +26,7 @@ def customer_rows(customers: DataFrame, metrics: DataFrame) -> DataFrame:
     """Customer grain for the store: master data with totals and purchase dates."""
     known = [c for c in ("customer_name", "age", "gender") if c in customers.columns]
     place = next((c for c in ("country", "location") if c in customers.columns), None)
-    people = customers.dropDuplicates(["customer_id"]).select(
-        "customer_id", *known, *([F.col(place).alias("country")] if place else [])
-    )
+    people = customers.select("customer_id", *known, *([F.col(place).alias("country")] if place else []))
     totals = metrics.select(
         "customer_id", F.col("total_amount").alias("total_spent"), "transaction_count",
         F.col("first_purchase").alias("first_purchase_date"), F.col("last_purchase").alias("last_purchase_date"),
@@ -53,12 +50,14 @@ def run_analysis(
     if not store.quota(user_id, at.date())["allowed"]:
         return RunResult(False)
     c, t = process_tables(customers, transactions, customer_roles, transaction_roles, customer_order, transaction_order)
+    # Transactions shrink to one row per customer first; ages and genders join there,
+    # which gives the same rows as carrying them through every transaction.
     people = c.dropDuplicates(["customer_id"])
-    merged = join_one(t, people.select("customer_id", "age", "gender"), how="left")
-    metrics = rollups.customer_rollup(merged, at, ["age", "gender"], transaction_order or ["date"], first_date=True)
+    metrics = rollups.customer_rollup(t, at, first_date=True)
+    metrics = metrics.join(people.select("customer_id", "age", "gender"), "customer_id", "left")
     metrics = materialize(metrics, "run-metrics")
     churn, churn_model = analyze_churn(metrics.drop("first_purchase"), at, **(training or {}))
     revenue, revenue_model = analyze_revenue(metrics.drop("first_purchase"), at, **(training or {}))
-    run = store.save_run(user_id, churn, revenue, customer_rows(c, metrics), at)
+    run = store.save_run(user_id, churn, revenue, customer_rows(people, metrics), at)
     store.cleanup(user_id, at)
     return RunResult(True, run, metrics.count(), churn_model, revenue_model)

@@ -151,7 +151,8 @@ def run_tables(spark: SparkSession, folder: str, segments: bool = False) -> dict
         F.max("days_since_last_purchase").alias("xr"), F.max("transaction_count").alias("xf"),
         F.min("transaction_count").alias("nf"), F.max("total_amount").alias("xm"),
     )
-    wide = rows.join(tops, key)
+    # One written table feeds every result, as the stored tables of a run would.
+    wide = materialize(rows.join(tops, key), "run-rows")
     p = (
         F.lit(WEIGHTS["recency_days"]) * F.col("days_since_last_purchase") / F.col("xr")
         + F.lit(WEIGHTS["frequency"]) * (1 - F.col("transaction_count") / F.col("xf"))
@@ -169,14 +170,14 @@ def run_tables(spark: SparkSession, folder: str, segments: bool = False) -> dict
         (F.col("total_amount") / F.col("transaction_count")).alias("avg_transaction_value"),
     )
     if segments:
-        revenue = value_segments(materialize(revenue, "run-revenue"))
-    people = rows.select(
+        revenue = value_segments(revenue)
+    people = wide.select(
         *key, "customer_id", "customer_name", F.lit(None).cast("int").alias("age"),
         F.lit(None).cast("string").alias("gender"), "country", F.col("total_amount").alias("total_spent"),
         "transaction_count", F.to_date("first_purchase").alias("first_purchase_date"),
         F.to_date("last_purchase").alias("last_purchase_date"),
     )
-    stamps = rows.groupBy(*key).agg(F.max("last_purchase").alias("timestamp"))
+    stamps = wide.groupBy(*key).agg(F.max("last_purchase").alias("timestamp"))
     history = run_totals(churn, revenue).join(stamps, key)
     history = rounded(history, total_predicted_revenue=4, avg_predicted_revenue=4)
     return {"history": history, "churn": churn, "revenue": revenue, "customers": people}
