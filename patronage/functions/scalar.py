@@ -62,8 +62,11 @@ def at_least(c: Column, floor: float) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    """Number from text, null when it is none."""
-    return c.try_cast("double")
+    """Number from text, null when it is none.
+
+    Only what begins like a number is cast: a failing cast throws inside the JVM.
+    """
+    return F.when(c.rlike(r"^\s*[+-]?(\.?\d|[iI]nf)"), c.try_cast("double"))
 
 
 def parse_instant(c: Column, t: T.DataType | None = None) -> Column:

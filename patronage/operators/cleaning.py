@@ -35,10 +35,11 @@ def with_dates(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_numbers(df: DataFrame, columns: dict[str, float | None]) -> DataFrame:
-    """Parse numbers; what cannot be read becomes the given default (or null)."""
+    """Parse numbers; what cannot be read (or is no number) becomes the given default, or null."""
     new = {}
     for c, default in columns.items():
         n = F.col(c).cast("double") if is_numeric(dtype(df, c)) else parse_number(F.col(c))
+        n = F.nanvl(n, F.lit(None).cast("double"))
         new[c] = n if default is None else F.coalesce(n, F.lit(float(default)))
     return df.withColumns(new)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from patronage.functions.scalar import dtype, is_numeric, is_temporal, parse_instant, parse_number
+from patronage.functions.scalar import is_numeric, is_temporal, parse_instant, parse_number
 from patronage.operators.joins import join_one
 from patronage.operators.selection import scalars, with_row_index
 

@@ -46,22 +46,29 @@ def shortest_words(words: list[str]) -> list[str]:
 KEYWORD_PATTERN = "|".join(shortest_words(KEYWORDS))
 
 
+def _literal(pattern: str) -> str | None:
+    """The plain text a pattern stands for, None if it has operators or classes."""
+    if re.search(r"(?<!\\)[][(){}+*?.|^$]", pattern) or re.search(r"\\[A-Za-z]", pattern):
+        return None
+    return re.sub(r"\\(\W)", r"\1", pattern)
+
+
 def matches_any(text: Column, upper: Column, patterns: list[str] = PATTERNS) -> Column:
     """Whether any pattern occurs, whatever the case; ``upper`` is the text in capitals.
 
-    A plain substring test decides for patterns without operators, and stands
-    before the expression for those that begin with a word, so most texts are
-    settled without walking the expression.
+    Plain patterns are substring tests. One that begins with a word is tried only
+    on texts that hold the word, and the sign it needs, so that most texts are
+    settled without walking an expression.
     """
     tests = []
     for p in patterns:
-        word = re.match(r"[A-Za-z_@-]*", p).group()
-        if word == p:
-            tests.append(upper.contains(word.upper()))
-        elif len(word) > 1:
-            tests.append(upper.contains(word.upper()) & text.rlike("(?i)" + p))
-        else:
-            tests.append(text.rlike("(?i)" + p))
+        plain = _literal(p)
+        if plain is not None:
+            tests.append(upper.contains(plain.upper()))
+            continue
+        needed = [w for w in (re.match(r"[A-Za-z0-9_]*", p).group().upper(), "=" if "=" in p else "", "(" if "\\(" in p else "") if w]
+        gates = [upper.contains(w) for w in needed]
+        tests.append(reduce(lambda a, b: a & b, [*gates, text.rlike("(?i)" + p)]))
     return reduce(lambda a, b: a | b, tests)
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patronage.operators import mapping as m
-from patronage.operators.selection import with_row_index
-from patronage.queries.base import CUSTOMERS, DASHBOARD, RUNS, TX, customers, dashboard, query, rounded, run_tables, table, transactions
+from patronage.queries.base import CUSTOMERS, DASHBOARD, RUNS, TX, customers, dashboard, query, run_tables, table, transactions
 
 KINDS = {"long": "int", "int": "int", "double": "float", "string": "text", "timestamp": "time"}
 

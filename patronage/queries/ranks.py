@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from patronage.operators import quantiles as q
 from patronage.operators import reports as r
 from patronage.operators.selection import quantiles
-from patronage.operators.runs import history_listing
 from patronage.queries.base import (
-    AS_OF, CHURN, DASHBOARD, REVENUE, RFM_CHURN, ROLLUP, RUNS, TX, dashboard, query, rounded, run_tables, scored, segmented,
+    AS_OF, CHURN, REVENUE, RFM_CHURN, RUNS, TX, query, rounded, run_tables, scored, segmented,
     table, transactions,
 )
 from patronage.operators.rollups import customer_rollup

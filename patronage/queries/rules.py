@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from patronage.operators import churn as c
 from patronage.operators import features, revenue
 from patronage.operators.rollups import customer_rollup
-from patronage.operators.selection import scalars
 from patronage.plans.analysis import segment_customers
 from patronage.queries.base import (
-    AS_OF, CHURN, CUSTOMERS, REVENUE, ROLLUP, customers, query, rounded, scored, segmented, table, transactions,
+    AS_OF, CHURN, CUSTOMERS, REVENUE, customers, query, rounded, scored, segmented, table, transactions,
 )
-from patronage.session import materialize
 
 
 @query("r1_risk_levels", f"WITH {CHURN} SELECT customer_id, risk_level FROM risk")

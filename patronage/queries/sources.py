@@ -6,11 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from patronage.functions.scalar import whole_days
-from patronage.operators import cleaning, mapping, reports
+from patronage.operators import cleaning
 from patronage.queries.base import (
-    AS_OF, CUSTOMERS, DASHBOARD, ROLLUP, RUNS, TX, customers, dashboard, query, rounded, run_tables, scored, segmented,
-    table, transactions,
+    AS_OF, CHURN, CUSTOMERS, DASHBOARD, REVENUE, ROLLUP, RUNS, TX, customers, dashboard, query, run_tables, scored, segmented,
+    transactions,
 )
 from patronage.session import scratch_path
 from patronage.sources import files, store
@@ -146,7 +145,14 @@ def stored_run(spark, folder):
     return runs, runs.save_run("tenant@example.com", *rule_run(spark, folder), at=AT)
 
 
-@query("s9_append_results")
+RULE_RUN = f"""churn AS (WITH {CHURN} SELECT * FROM risk), revenue AS (WITH {REVENUE} SELECT * FROM segmented)"""
+
+
+@query(
+    "s9_append_results",
+    f"""WITH {RULE_RUN} SELECT 'tenant@example.com' AS user_id, (SELECT count(*) FROM churn) AS churn_rows,
+    (SELECT count(*) FROM revenue) AS revenue_rows""",
+)
 def s9(spark, folder):
     runs = store.RunStore(spark, scratch_path(spark, "append"))
     churn, revenue, _ = rule_run(spark, folder)
@@ -156,16 +162,31 @@ def s9(spark, folder):
     return c.join(r, "user_id")
 
 
-@query("s10_save_run")
+@query(
+    "s10_save_run",
+    f"""WITH {RULE_RUN}, c AS (SELECT CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (p > 0.5) AS INTEGER) AS high FROM churn),
+    r AS (SELECT CAST(CAST(sum(target_revenue) AS DECIMAL(15,2)) AS DOUBLE) AS total,
+      CAST(CAST(avg(target_revenue) AS DECIMAL(15,2)) AS DOUBLE) AS mean FROM revenue)
+    SELECT TIMESTAMP '2001-08-02 12:00:00' AS timestamp, n AS total_customers, high AS high_risk_customers,
+    total AS total_predicted_revenue, mean AS avg_predicted_revenue,
+    format('Analysis completed for {{}} customers.', n) AS analysis_summary FROM c, r""",
+)
 def s10(spark, folder):
     runs, _ = stored_run(spark, folder)
     return runs.history("tenant@example.com").drop("analysis_id")
 
 
-@query("s11_reload_run")
+@query(
+    "s11_reload_run",
+    f"""WITH {RULE_RUN} SELECT CAST(customer_id AS VARCHAR) AS customer_id, CAST(CAST(p AS DECIMAL(5,4)) AS DOUBLE) AS churn_probability,
+    risk_level, CAST(CAST(total_amount AS DECIMAL(15,2)) AS DOUBLE) AS total_amount,
+    CAST(transaction_count AS INTEGER) AS transaction_count, CAST(days_since_last_purchase AS INTEGER) AS days_since_last_purchase,
+    CAST(last_purchase AS DATE) AS last_activity, 'tenant@example.com' AS user_id FROM churn""",
+)
 def s11(spark, folder):
     runs, run = stored_run(spark, folder)
-    return runs.run_rows("churn_data", "tenant@example.com", run).drop("analysis_id")
+    rows = runs.run_rows("churn_data", "tenant@example.com", run).drop("analysis_id")
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("churn_probability", "total_amount")})
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from patronage.queries.base import EVENTS_AS_OF, query, table
 from patronage.streaming import limiter, retention, sessions
 
