@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def build_session(app: str = "patronage", master: str | None = None, **conf) -> SparkSession:
@@ -36,13 +37,13 @@ def scratch_root(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a folder of its own;
     anywhere else a machine-local folder would be lost with its machine.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get(CHECKPOINT_KEY, None) or _local_roots.get(app)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="patronage-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    return f"{root.rstrip('/')}/patronage/{spark.sparkContext.applicationId}"
+        root = _local_roots[app] = tempfile.mkdtemp(prefix="patronage-")
+    return f"{root.rstrip('/')}/patronage/{app}"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
