@@ -69,7 +69,29 @@ def m2(spark, folder):
     return m.describe_types(df, m.sample_stats(df, "c_custkey"))
 
 
-@query("m3_auto_map")
+def _first_rows(c):
+    return f"(SELECT {c} FROM orders WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 100)"
+
+
+PLACE = "list_position([" + ", ".join(f"'{c}'" for c, _ in ORDERS) + "], column_name)"
+
+
+def _pick(role, fallback="false"):
+    return f"""SELECT '{role}' AS role, coalesce((SELECT arg_min(column_name, {PLACE}) FROM heads WHERE semantic_type = '{role}'),
+    (SELECT arg_min(column_name, {PLACE}) FROM wholes WHERE {fallback})) AS column_name"""
+
+
+MAP_SQL = (
+    f"WITH heads AS (WITH {types_sql([_probe(_first_rows(c), c, k) for c, k in ORDERS])} SELECT * FROM typed), "
+    f"wholes AS (SELECT *, (SELECT count(*) FROM orders) AS n FROM ({' UNION ALL '.join(_probe('orders', c, k) for c, k in ORDERS)})) "
+    + " UNION ALL ".join([
+        _pick("customer_id", "uniq > n * 0.8"), _pick("date", "dates = non_null"), _pick("amount", "numbers > 0 AND low > 0"),
+        *[_pick(r) for r in m.ROLES[3:]],
+    ])
+)
+
+
+@query("m3_auto_map", MAP_SQL)
 def m3(spark, folder):
     chosen = m.auto_map(table(spark, folder, "orders"), "o_orderkey")
     return spark.createDataFrame(list(chosen.items()), "role string, column_name string")

@@ -61,18 +61,29 @@ class RunStore:
     def _schema(self, table: str) -> T.StructType:
         return T.StructType.fromDDL(f"{SCHEMAS[table]}, {RUN_COLUMNS}")
 
-    def table(self, name: str) -> DataFrame:
-        """All rows on file, including those of runs without a history row."""
-        schema = self._schema(name)
-        if not path_exists(self.spark, self._path(name)):
+    def _folder(self, name: str, user_id: str | None = None, analysis_id: int | None = None) -> str:
+        path = self._path(name)
+        if user_id is not None:
+            escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+            path += f"/user_id={escape(user_id)}"
+            if analysis_id is not None:
+                path += f"/analysis_id={analysis_id}"
+        return path
+
+    def table(self, name: str, user_id: str | None = None, analysis_id: int | None = None) -> DataFrame:
+        """Rows on file, including those of runs without a history row.
+
+        With a tenant (and run) only that folder is listed: the cost of one
+        tenant's read does not grow with the number of tenants.
+        """
+        schema, folder = self._schema(name), self._folder(name, user_id, analysis_id)
+        if not path_exists(self.spark, folder):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(name))
+        return self.spark.read.schema(schema).option("basePath", self._path(name)).parquet(folder)
 
     def rows(self, name: str, user_id: str | None = None) -> DataFrame:
-        """Rows of finished runs; the tenant filter prunes partitions on both sides."""
-        df, history = self.table(name), self.table(HISTORY)
-        if user_id is not None:
-            df, history = df.where(F.col("user_id") == user_id), history.where(F.col("user_id") == user_id)
+        """Rows of finished runs, of one tenant or of all."""
+        df, history = self.table(name, user_id), self.table(HISTORY, user_id)
         if name == HISTORY:
             return df
         key = ["user_id", "analysis_id"]
@@ -80,7 +91,8 @@ class RunStore:
 
     def run_rows(self, name: str, user_id: str, analysis_id: int) -> DataFrame:
         """One run's rows, read from its partition only."""
-        return joins.owned_children(self.table(name), self.table(HISTORY), user_id, analysis_id)
+        mine = (user_id, analysis_id)
+        return joins.owned_children(self.table(name, *mine), self.table(HISTORY, *mine), *mine)
 
     # --- writing ---------------------------------------------------------------
 
@@ -88,11 +100,7 @@ class RunStore:
         conform(df, self._schema(name)).write.mode("append").partitionBy("user_id", "analysis_id").parquet(self._path(name))
 
     def _drop_run(self, name: str, user_id: str, analysis_id=None) -> None:
-        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        path = f"{self._path(name)}/user_id={escape(user_id)}"
-        if analysis_id is not None:
-            path += f"/analysis_id={analysis_id}"
-        delete_path(self.spark, path)
+        delete_path(self.spark, self._folder(name, user_id, analysis_id))
 
     def append_results(self, user_id: str, analysis_id: int, churn: DataFrame, revenue: DataFrame, as_of) -> None:
         """Append churn and revenue rows of a run: both or neither."""
@@ -115,7 +123,8 @@ class RunStore:
     def save_run(self, user_id: str, churn: DataFrame, revenue: DataFrame, customers: DataFrame, at: dt.datetime) -> int:
         """Store a run at customer grain and return its number.
 
-        Children first, the history row last: that row is the commit.
+        Children first, the history row last: that row is the commit. The
+        frames are read a few times, so pass tables or written stages.
         """
         run = new_run_id(at)
         p = "churn_probability_final" if "churn_probability_final" in churn.columns else "churn_probability"
@@ -134,7 +143,7 @@ class RunStore:
     # --- history, retention, deletion ---------------------------------------------
 
     def history(self, user_id: str) -> DataFrame:
-        return runs.history_listing(self.table(HISTORY), user_id)
+        return runs.history_listing(self.table(HISTORY, user_id), user_id)
 
     def details(self, user_id: str, analysis_id: int) -> dict[str, DataFrame]:
         """Three child projections of a run, empty unless the tenant owns it."""
@@ -148,8 +157,7 @@ class RunStore:
 
     def delete_run(self, user_id: str, analysis_id: int) -> bool:
         """Delete a run of the tenant; False if it has none of that number."""
-        mine = self.table(HISTORY).where((F.col("user_id") == user_id) & (F.col("analysis_id") == analysis_id))
-        if mine.isEmpty():
+        if self.table(HISTORY, user_id, analysis_id).isEmpty():
             return False
         for name in (HISTORY, *CHILDREN):
             self._drop_run(name, user_id, analysis_id)
@@ -157,7 +165,7 @@ class RunStore:
 
     def cleanup(self, user_id: str, as_of) -> list[int]:
         """Delete the tenant's expired runs: a few partitions, found in its history."""
-        old = runs.expired_runs(self.table(HISTORY), as_of, user_id=user_id).select("analysis_id")
+        old = runs.expired_runs(self.table(HISTORY, user_id), as_of).select("analysis_id")
         doomed = sorted(r["analysis_id"] for r in old.collect())  # one tenant's runs, bounded by its quota
         for run in doomed:
             for name in (HISTORY, *CHILDREN):
@@ -201,8 +209,7 @@ class RunStore:
         plan = self.users().where(F.col("email") == user_id).select("subscription", "role").first()
         plan_name = (plan and plan["subscription"]) or runs.DEFAULT_PLAN
         role = (plan and plan["role"]) or runs.DEFAULT_ROLE
-        mine = self.table(HISTORY).where(F.col("user_id") == user_id)
-        used = mine.where(F.to_date("timestamp") == F.lit(day)).count()
+        used = self.table(HISTORY, user_id).where(F.to_date("timestamp") == F.lit(day)).count()
         if role == runs.UNLIMITED_ROLE or plan_name == runs.UNLIMITED_PLAN:
             return {"runs": used, "allowed": True, "remaining": None}
         return {"runs": used, "allowed": used < runs.FREE_RUNS_PER_DAY, "remaining": max(runs.FREE_RUNS_PER_DAY - used, 0)}
@@ -229,9 +236,7 @@ class RunStore:
 
     def dashboard(self, user_id: str | None = None, inner: bool = False) -> DataFrame:
         """Dashboard rows of finished runs."""
-        parts = [self.table(n) for n in ("customer_data", HISTORY, "churn_data", "revenue_data")]
-        if user_id is not None:
-            parts = [p.where(F.col("user_id") == user_id) for p in parts]
+        parts = [self.table(n, user_id) for n in ("customer_data", HISTORY, "churn_data", "revenue_data")]
         if inner:
             return joins.dashboard_join_inner(*parts)
         return joins.dashboard_join(*parts).where("created_at is not null")
@@ -243,7 +248,7 @@ class RunStore:
         """Dashboard rows of the tenant's newest run; none for an unknown tenant."""
         if self.users().where(F.col("email") == user_id).isEmpty():
             return self.dashboard(user_id).limit(0)
-        newest = self.table(HISTORY).where(F.col("user_id") == user_id).agg(F.max("analysis_id").alias("id")).first()["id"]
+        newest = self.table(HISTORY, user_id).agg(F.max("analysis_id").alias("id")).first()["id"]
         rows = self.dashboard(user_id)
         # The literal run number prunes partitions under the whole join.
         return rows.where(F.col("analysis_id") == F.lit(newest)) if newest is not None else rows.limit(0)
