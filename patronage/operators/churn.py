@@ -113,18 +113,24 @@ def label_churn(
 def label_rows(df: DataFrame, mode: str = "as_written", key: str = "customer_id") -> DataFrame:
     """Label, balance and class guard of rows that have their probability."""
     scored = initial_label(df)
-    counts = class_counts(scored)
+    return _settle_labels(scored, mode, key, class_counts(scored))
+
+
+def _settle_labels(scored: DataFrame, mode: str, key: str, counts: tuple[int, int]) -> DataFrame:
     balanced = balance_labels(scored, mode, key=key, counts=counts)
     return ensure_both_classes(balanced, key=key, counts=counts if balanced is scored else None)
 
 
-def risk_levels(df: DataFrame, p: str = "churn_probability_final", key: str = "customer_id") -> DataFrame:
+def risk_levels(
+    df: DataFrame, p: str = "churn_probability_final", key: str = "customer_id", n: int | None = None
+) -> DataFrame:
     """High from the value at sorted position ``int(.9 n)`` on, Medium from ``int(.7 n)``.
 
     Below ten rows the levels go by rank instead. ``df`` is scanned again for
-    the thresholds, so ``p`` must read the same values each time.
+    the thresholds, so ``p`` must read the same values each time. ``n`` is its
+    number of rows, if known.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n < SMALL:
         return _risk_by_rank(df, n, p, key)
     value = F.coalesce(F.col(p), F.lit(0.0))
@@ -162,4 +168,6 @@ def score_by_rules(df: DataFrame, noise: float = 0.0, seed: int = 42, mode: str
     ``df`` holds the features as read from a table or a written stage; what is
     added is arithmetic on them, the same in every pass.
     """
-    return risk_levels(label_churn(df, noise, seed, mode), "churn_probability")
+    scored = initial_label(churn_probability(df, noise, seed))
+    counts = class_counts(scored)
+    return risk_levels(_settle_labels(scored, mode, "customer_id", counts), "churn_probability", n=counts[0])
