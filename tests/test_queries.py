@@ -9,7 +9,8 @@ from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 entry = importlib.import_module("__spark_entry__")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+base = importlib.import_module("patronage.queries.base")
+QUERIES, SQL = base.QUERIES, base.SQL
 
 
 @pytest.fixture(scope="module")
