@@ -13,6 +13,7 @@ The result is that of merging pairs by rank.
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Pieces a worker remembers in each of two halves; when the young half is full it becomes the old one.
-MEMO = 3 << 17
+MEMO = 1 << 17
 #: Longer pieces are not remembered.
 MEMO_CHARS = 48
 
@@ -33,6 +34,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class Memo(dict):
+    """Tokens by piece, as packed 32-bit numbers; what is missing is computed.
+
+    Bounded: a full memory moves to ``old`` and a new one is begun, which takes
+    over from ``old`` what is asked for again.
+    """
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = self.compute(piece.encode().decode("latin-1"))
+            packed = struct.pack(f"={len(ids)}i", *ids)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class Coder:
     """Encoder and decoder over one vocabulary, built once in each worker."""
 
@@ -50,10 +75,9 @@ class Coder:
         if self.ids:
             self.automaton.make_automaton()
         self.shorter = self._shorter()
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.compatible = lru_cache(1 << 17)(self._compatible)
         self._find_halves()
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.piece)
 
     def _shorter(self) -> list[int]:
         """For each token the longest token that it starts with, or -1."""
@@ -129,21 +153,8 @@ class Coder:
             token = out.pop()
             at -= width[token]
 
-    def _remember(self, piece: str) -> tuple[int, ...]:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = tuple(self.piece(piece.encode().decode("latin-1")))
-        if len(piece) <= MEMO_CHARS:
-            if len(self.young) >= MEMO:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.split(text):
-            out += self.young.get(piece) or self._remember(piece)
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -177,7 +188,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     def ids(texts: pa.Array) -> pa.Array:
         coder, offsets, parts = _coder(vocabulary, pattern), [0], []
         for t in texts:
-            one = np.array(coder.encode(t.as_py() or ""), np.int32)
+            one = coder.encode(t.as_py() or "")
             parts.append(one)
             offsets.append(offsets[-1] + len(one))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts or [np.empty(0, np.int32)])))
