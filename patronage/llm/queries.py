@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, mixing, quality
+from patronage.llm import bpe, mixing, ngram_join, quality
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -76,3 +76,8 @@ JOIN ordered o ON s.source IS NOT DISTINCT FROM o.source AND s.place = o.place""
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, (5, 2, 1), 1.5).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_ngram_join")
+def ngram_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, folder, "documents"))
