@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, mixing, ngram_join, quality
+from patronage.llm import bpe, mixing, ngram_join, quality, repeats
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -81,3 +81,9 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_join")
 def ngram_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, folder, "documents"))
+
+
+@query("op10_run_length_index")
+def run_length_index(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
