@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, mixing, ngram_join, quality, repeats
+from patronage.llm import bpe, html_text, mixing, ngram_join, quality, repeats
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -87,3 +87,9 @@ def ngram_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def run_length_index(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_html_text")
+def html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
