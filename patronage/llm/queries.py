@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, html_text, mixing, ngram_join, quality, repeats
+from patronage.llm import bpe, html_text, language, mixing, ngram_join, quality, repeats
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -93,3 +93,12 @@ def run_length_index(spark: SparkSession, folder: str) -> DataFrame:
 def html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op9_language")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs)
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
