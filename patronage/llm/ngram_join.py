@@ -8,6 +8,8 @@ size, and two blocks that share a bucket meet in one task, with whole sets,
 once. There the overlap of all pairs is counted by a sparse product over
 shared n-grams; only link counts and a spanning forest leave the task, never
 the pairs. Components then come from the forests.
+
+Joins ask for a merge, so the job has one plan at every size.
 """
 
 from __future__ import annotations
@@ -166,7 +168,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> Da
             )
 
     texts = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("t"))
-    return wanted.select("doc", "digest").join(texts, "doc").select("digest", "t").mapInArrow(read, "digest binary, set binary")
+    return wanted.select("doc", "digest").join(texts.hint("merge"), "doc").select("digest", "t").mapInArrow(read, "digest binary, set binary")
 
 
 def near_copies(
@@ -192,26 +194,26 @@ def near_copies(
     )
     met = classes.select("digest", F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("c"), F.min("digest").alias("hub")).where("c > 1")
-    members = materialize(met.join(shared, "bucket").select("bucket", "digest", "hub"), "buckets")
+    members = materialize(met.join(shared.hint("merge"), "bucket").select("bucket", "digest", "hub"), "buckets")
 
-    homes = members.groupBy("digest").agg(F.min("hub").alias("home")).join(classes.select("digest", "doc", "copies", "grams"), "digest")
+    homes = members.groupBy("digest").agg(F.min("hub").alias("home")).join(classes.select("digest", "doc", "copies", "grams").hint("merge"), "digest")
     homes = materialize(homes, "homes")
     blocks = homes.groupBy("home").agg(F.count("*").alias("c"), F.sum("grams").alias("g")).select(
         "home", F.ceil(F.greatest(F.col("c") / BLOCK_TEXTS, F.col("g") / BLOCK_GRAMS)).alias("parts")
     )
     homes = materialize(
-        homes.join(blocks, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("digest"), F.col("parts")))).drop("home"), "blocks"
+        homes.join(blocks.hint("merge"), "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("digest"), F.col("parts")))).drop("home"), "blocks"
     )
     # Blocks meet if a bucket has members of both; each pair of blocks once, each block once with itself.
-    meet = members.join(homes.select("digest", "block"), "digest").select("bucket", "block").distinct()
+    meet = members.join(homes.select("digest", "block").hint("merge"), "digest").select("bucket", "block").distinct()
     meet = meet.groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("s")).where(F.size("s") > 1).select("s").distinct()
     apart = meet.select("s", F.explode("s").alias("a")).select("a", F.explode("s").alias("b")).where("a < b").distinct()
     own = homes.groupBy("block").agg(F.count("*").alias("c")).where("c > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
     pairs = materialize(apart.union(own), "pairs")
     places = pairs.select(F.col("a").alias("block"), "a", "b").union(pairs.where("a <> b").select(F.col("b").alias("block"), "a", "b"))
 
-    sets = _sets(docs, homes, key, text, n).join(homes.select("digest", "block", "copies"), "digest")
-    found = sets.join(places, "block").select("a", "b", "block", "digest", "copies", "set").groupBy("a", "b").applyInArrow(
+    sets = _sets(docs, homes, key, text, n).join(homes.select("digest", "block", "copies").hint("merge"), "digest")
+    found = sets.join(places.hint("merge"), "block").select("a", "b", "block", "digest", "copies", "set").groupBy("a", "b").applyInArrow(
         _verify(similarity), "digest binary, links long, root binary"
     )
     found = materialize(found, "links")
@@ -220,8 +222,8 @@ def near_copies(
     linked = links.join(reached, links["digest"] == reached["node"]).drop("node").join(classes.select("digest", "doc"), "digest")
     first = linked.groupBy("component_id").agg(F.min("doc").alias("class_id"))
     linked = linked.join(first, "component_id").select("digest", "links", "class_id")
-    each = classes.select("digest", F.col("doc").alias("copy_of"), "copies").join(linked, "digest", "left")
-    return sigs.select("doc", F.when(F.col("doc").isNotNull(), F.col("digest")).alias("digest")).join(each, "digest", "left").select(
+    each = classes.select("digest", F.col("doc").alias("copy_of"), "copies").join(linked.hint("merge"), "digest", "left")
+    return sigs.select("doc", F.when(F.col("doc").isNotNull(), F.col("digest")).alias("digest")).join(each.hint("merge"), "digest", "left").select(
         F.col("doc").alias(key), F.coalesce("class_id", "copy_of", "doc").alias("class_id"),
         F.when(F.col("doc").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("copy_of", "doc").alias("copy_of"),
