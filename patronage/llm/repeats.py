@@ -16,7 +16,8 @@ its segment occurs more than once. Spans then go back to all occurrences.
 
 A route whose distinct segments exceed a bucket, such as a passage in a large
 share of all texts, each time with other neighbours, is dealt string by string
-instead, counted before the shuffle.
+instead, counted before the shuffle. Joins ask for a merge, so the job has one
+plan at every size.
 """
 
 from __future__ import annotations
@@ -271,17 +272,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     routes = slim.mapInArrow(_scan(length, False), "route long").groupBy("route").agg(F.count("*").alias("c"))
     routes = materialize(routes.where("c > 1").select("route"), "routes")
     found = slim.mapInArrow(_scan(length, True), "d long, c long, route long, digest long, at long, starts int")
-    found = materialize(found.join(routes, "route"), "segments")
+    found = materialize(found.join(routes.hint("merge"), "route"), "segments")
 
     # Of equal segments one is read and indexed.
     reps = found.groupBy("route", "digest").agg(F.count("*").alias("n"), F.min(F.struct("d", "c", "at", "starts")).alias("x"))
     reps = materialize(reps.select("route", "digest", "n", "x.*"), "segments")
     size = F.col("starts") + (length - 1)
     hot = reps.groupBy("route").agg(F.sum(size).alias("b")).where(F.col("b") > ROUTE_BYTES).select("route", F.lit(True).alias("hot"))
-    wanted = reps.join(hot, "route", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = reps.join(hot.hint("merge"), "route", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = wanted.groupBy("d", "c").agg(F.collect_list(F.struct("route", "digest", "n", "hot", "at", "starts")).alias("wanted"))
     same = (F.col("_d") == F.col("d")) & (F.col("_c") == F.col("c"))
-    cut = slim.join(wanted, same).select("_t", "wanted").mapInArrow(
+    cut = slim.join(wanted.hint("merge"), same).select("_t", "wanted").mapInArrow(
         _cut_out(length), "route long, digest long, n long, hot boolean, bytes binary"
     )
     cut = materialize(cut, "segment-bytes")
@@ -294,14 +295,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         _strings(length), "route long, digest long, n long, at int, string binary"
     )
     often = strings.groupBy("string").agg(F.sum("n").alias("total")).where("total > 1").select("string")
-    single = strings.join(often, "string").groupBy("route", "digest").agg(
+    single = strings.join(often.hint("merge"), "string").groupBy("route", "digest").agg(
         F.flatten(F.collect_list(F.array("at", F.col("at") + length))).alias("spans")
     )
     spans = materialize(spans.union(single), "spans")
     at = F.col("at").cast("int")
-    marks = found.join(spans, ["route", "digest"]).select("d", "c", F.transform("spans", lambda x: x + at).alias("s"))
+    marks = found.join(spans.hint("merge"), ["route", "digest"]).select("d", "c", F.transform("spans", lambda x: x + at).alias("s"))
     marks = marks.groupBy("d", "c").agg(F.flatten(F.collect_set("s")).alias("spans"))
-    return named.drop("spans").join(marks, same, "left").drop("_d", "_c", "_t", "d", "c")
+    return named.drop("spans").join(marks.hint("merge"), same, "left").drop("_d", "_c", "_t", "d", "c")
 
 
 def merged(spans: list[int] | None) -> np.ndarray:
