@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, html_text, language, mixing, ngram_join, quality, repeats
+from patronage.llm import bpe, html_text, language, mixing, ngram_join, quality, repeats, vector_links
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -102,3 +102,8 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op7_vector_links")
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links.link_vectors(table(spark, folder, "embeddings"))
