@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, html_text, language, mixing, ngram_join, quality, repeats, vector_links
+from patronage.llm import bpe, chat, html_text, language, mixing, ngram_join, quality, repeats, vector_links
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -107,3 +107,14 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_vector_links")
 def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vector_links.link_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op1_chat_windows")
+def chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    return chat.read_back(chat.windows(turns.unionByName(planted)))
