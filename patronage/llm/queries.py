@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, chat, html_text, language, mixing, ngram_join, quality, repeats, vector_links
+from patronage.llm import bpe, chat, html_text, language, licenses, mixing, ngram_join, quality, repeats, vector_links
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -118,3 +118,9 @@ def chat_windows(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
     )
     return chat.read_back(chat.windows(turns.unionByName(planted)))
+
+
+@query("op6_licenses", licenses.scan_sql())
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(docs).withColumn("score", F.round("score", 6)).drop("text")
