@@ -1,11 +1,12 @@
 """Licence notices in texts, by a positional index over rare licence words.
 
-The index lists, for every word of the licence templates, the templates and
-places that have it. A file looks up its rarest licence words (by document
-frequency over the corpus), every meeting of word and posting proposes that a
-template lies at one offset, and equal proposals are one. At each proposed
-place the template's words are compared, weighed by rarity; a notice counts
-if enough of them are there and its key phrase is there whole.
+The index lists, for the rarest words of each template's key phrase (by
+document frequency over the corpus), the templates and places that have them.
+A file looks up the rarest of these words that it has, every meeting of word
+and posting proposes that a template lies at one offset, and equal proposals
+are one. At each proposed place the template's words are compared, weighed by
+rarity; a notice counts if enough of them are there and its key phrase is
+there whole.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ TEMPLATES = (
 )
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Licence words that a file looks up at most, and the weighed share of a template that must be there.
-RARE_WORDS, MATCH = 16, 0.6
+#: Words of a key phrase that are indexed, indexed words that a file looks up at most, and the weighed share of a
+#: template that must be there.
+INDEXED, RARE_WORDS, MATCH = 2, 16, 0.6
 
 VOCABULARY = sorted({w for _, _, text in TEMPLATES for w in text.split()} | {w for p, _ in PHRASES for w in p.split()})
 
@@ -63,22 +65,35 @@ def rarity(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1e-9 for w in VOCABULARY}
 
 
-def _alignments(words: Column, hits: Column, idf: dict[str, float]) -> Column:
-    """Distinct (template, offset) proposed by the rarest licence words of a file."""
-    weight = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
-    postings: dict[str, list[Column]] = {w: [] for w in VOCABULARY}
-    for t, (_, _, text) in enumerate(TEMPLATES):
-        for at, w in enumerate(text.split()):
-            postings[w].append(F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")))
-    empty = F.array().cast("array<struct<t:int,at:int>>")
-    index = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.array(*postings[w]) if postings[w] else empty)])
-    present = F.array_distinct(F.transform(hits, lambda h: h["w"]))
-    ranked = F.sort_array(F.transform(present, lambda w: F.struct((-F.element_at(weight, w)).alias("r"), w.alias("w"))))
-    rare = F.transform(F.slice(ranked, 1, RARE_WORDS), lambda x: x["w"])
-    return let(rare, lambda known: F.array_distinct(F.flatten(F.transform(
-        F.filter(hits, lambda h: F.array_contains(known, h["w"])),
-        lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("off"))),
-    ))))
+def _index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """Templates and places of the indexed words."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, key, text) in enumerate(TEMPLATES):
+        for w in sorted(set(key.split()), key=lambda w: (-idf[w], w))[:INDEXED]:
+            out.setdefault(w, []).extend((t, at) for at, x in enumerate(text.split()) if x == w)
+    return out
+
+
+def _alignments(hits: Column, index: dict[str, list[tuple[int, int]]], idf: dict[str, float]) -> Column:
+    """Distinct (template, offset) proposed by the rarest indexed words of a file."""
+    entries = F.array(*[
+        F.struct(
+            F.lit(w).alias("w"), F.lit(-idf[w]).alias("r"),
+            F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places]).alias("places"),
+        ) for w, places in sorted(index.items())
+    ])
+    indexed = F.filter(hits, lambda h: h["w"].isin(list(index)))
+    propose = lambda found: let(F.array_distinct(F.transform(found, lambda h: h["w"])), lambda present: let(
+        F.slice(F.array_sort(F.transform(
+            F.filter(entries, lambda e: F.array_contains(present, e["w"])),
+            lambda e: F.struct(e["r"].alias("r"), e["w"].alias("w"), e["places"].alias("places")),
+        )), 1, RARE_WORDS),
+        lambda rare: F.array_distinct(F.flatten(F.transform(rare, lambda e: F.flatten(F.transform(
+            F.filter(found, lambda h: h["w"] == e["w"]),
+            lambda h: F.transform(e["places"], lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("off"))),
+        ))))),
+    ))
+    return let(indexed, lambda found: F.when(F.size(found) > 0, propose(found)).otherwise(F.array().cast("array<struct<t:int,off:int>>")))
 
 
 def _verified(words: Column, alignments: Column, idf: dict[str, float]) -> Column:
@@ -92,10 +107,9 @@ def _verified(words: Column, alignments: Column, idf: dict[str, float]) -> Colum
             for i, w in enumerate(ws)
         ]
         rows.append(F.struct(F.lit(label).alias("label"), F.array(*parts).alias("parts")))
-    templates = F.array(*rows)
     place = lambda off, i: F.when(off + i >= 0, F.get(words, off + i))
 
-    def score(a: Column) -> Column:
+    def score(a: Column, templates: Column) -> Column:
         return let(F.get(templates, a["t"]), lambda t: let(
             F.transform(t["parts"], lambda p, i: F.struct(
                 F.coalesce(place(a["off"], i) == p["w"], F.lit(False)).alias("met"), p["share"].alias("share"), p["key"].alias("key"))),
@@ -106,7 +120,9 @@ def _verified(words: Column, alignments: Column, idf: dict[str, float]) -> Colum
             ),
         ))
 
-    return F.filter(F.transform(alignments, score), lambda s: s["whole"] & (s["score"] >= MATCH))
+    scores = lambda ts: F.filter(F.transform(alignments, lambda a: score(a, ts)), lambda s: s["whole"] & (s["score"] >= MATCH))
+    none = F.array().cast("array<struct<label:string,score:double,whole:boolean>>")
+    return F.when(F.size(alignments) > 0, let(F.array(*rows), scores)).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -119,9 +135,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     each row in; an empty table gives an empty one.
     """
     idf = rarity(docs, text)
+    index = _index(idf)
+    looked_up = sorted({*index, *(p.split()[0] for p, _ in PHRASES)})
 
     def found(words: Column) -> Column:
-        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda h: h["w"].isin(VOCABULARY))
+        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda h: h["w"].isin(looked_up))
 
         def phrases(h: Column) -> Column:
             label = F.lit(None).cast("string")
@@ -135,7 +153,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return let(hits, lambda hits: F.struct(
             F.size(words).alias("n"), F.filter(F.transform(hits, phrases), lambda x: x["label"].isNotNull()).alias("base"),
-            let(_alignments(words, hits, idf), lambda a: _verified(words, a, idf)).alias("notices"),
+            let(_alignments(hits, index, idf), lambda a: _verified(words, a, idf)).alias("notices"),
         ))
 
     marked = docs.withColumn("_found", let(license_words(F.col(text)), found))
@@ -171,10 +189,12 @@ each AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS po
 placed AS (SELECT rid, w, pos FROM each WHERE w IN (SELECT w FROM vocabulary)),
 weights AS (SELECT v.w, ln((1 + (SELECT count(*) FROM rows)) / (1 + count(DISTINCT p.rid))) + 1e-9 AS idf
   FROM vocabulary v LEFT JOIN placed p ON p.w = v.w GROUP BY v.w),
+keys AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY idf DESC, w) AS r FROM (SELECT DISTINCT t, w FROM templates WHERE key) JOIN weights USING (w)),
+indexed AS (SELECT x.* FROM templates x JOIN keys k ON k.t = x.t AND k.w = x.w AND k.r <= {INDEXED}),
 ranked AS (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, w) AS r
-  FROM (SELECT DISTINCT rid, w FROM placed) JOIN weights USING (w)),
+  FROM (SELECT DISTINCT rid, w FROM placed WHERE w IN (SELECT w FROM indexed)) JOIN weights USING (w)),
 aligned AS (SELECT DISTINCT p.rid, t.t, t.label, p.pos - t.pos AS off FROM placed p JOIN ranked r ON r.rid = p.rid AND r.w = p.w AND r.r <= {RARE_WORDS}
-  JOIN templates t ON t.w = p.w),
+  JOIN indexed t ON t.w = p.w),
 scored AS (SELECT a.rid, a.label, sum(CASE WHEN p.w = t.w THEN idf ELSE 0 END) / sum(idf) AS score, bool_and(NOT t.key OR coalesce(p.w = t.w, false)) AS whole
   FROM aligned a JOIN templates t ON t.t = a.t JOIN weights v ON v.w = t.w LEFT JOIN placed p ON p.rid = a.rid AND p.pos = a.off + t.pos
   GROUP BY a.rid, a.t, a.label, a.off),
