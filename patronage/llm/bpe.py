@@ -13,8 +13,8 @@ The result is that of merging pairs by rank.
 from __future__ import annotations
 
 import base64
-import struct
-from functools import lru_cache
+import gc
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -23,7 +23,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Pieces a worker remembers in each of two halves; when the young half is full it becomes the old one.
-MEMO = 1 << 17
+MEMO = 3 << 16
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 1 << 18
 #: Longer pieces are not remembered.
 MEMO_CHARS = 48
 
@@ -48,8 +50,7 @@ class Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.old.get(piece)
         if packed is None:
-            ids = self.compute(piece.encode().decode("latin-1"))
-            packed = struct.pack(f"={len(ids)}i", *ids)
+            packed = array("i", self.compute(piece.encode().decode("latin-1"))).tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.old = dict(self)
@@ -71,11 +72,11 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ids.items():
-            self.automaton.add_word(token, rank)
+            self.automaton.add_word(token, (rank, len(token) - 1))
         if self.ids:
             self.automaton.make_automaton()
         self.shorter = self._shorter()
-        self.compatible = lru_cache(1 << 17)(self._compatible)
+        self.pairs: dict[int, bool] = {}
         self._find_halves()
         self.memo = Memo(self.piece)
 
@@ -126,32 +127,43 @@ class Coder:
             else:
                 return True
 
+    def compatible(self, a: int, b: int) -> bool:
+        known = self.pairs.get(a << 32 | b)
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a << 32 | b] = self._compatible(a, b)
+        return known
+
     def piece(self, s: str) -> list[int]:
         """Tokens of one piece, given as Latin-1 characters."""
         if (whole := self.ids.get(s)) is not None:
             return [whole]
-        width, end_of_piece = self.width, len(s)
-        longest = [-1] * end_of_piece
-        for last, token in self.automaton.iter(s):
-            longest[last - width[token] + 1] = token
-        dead = bytearray(end_of_piece + 1)
+        width, shorter, compatible, known, end_of_piece = self.width, self.shorter, self.compatible, self.pairs, len(s)
+        longest = {last - reach: token for last, (token, reach) in self.automaton.iter(s)}  # later ones are longer
+        dead: set[int] = set()
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, previous = 0, longest.get(0, -1), -1
         while True:
-            while token >= 0 and (dead[at + width[token]] or out and not self.compatible(out[-1], token)):
-                token = self.shorter[token]
+            while token >= 0:
+                if at + width[token] not in dead and (
+                    previous < 0 or (fits := known.get(previous << 32 | token)) or fits is None and compatible(previous, token)
+                ):
+                    break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += width[token]
                 if at == end_of_piece:
                     return out
-                token = longest[at]
+                previous, token = token, longest.get(at, -1)
                 continue
-            dead[at] = 1
+            dead.add(at)
             if not out:
                 raise ValueError("the vocabulary cannot spell a piece: single bytes are missing")
             token = out.pop()
             at -= width[token]
+            previous = out[-1] if out else -1
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), np.int32)
@@ -169,6 +181,7 @@ def _coder(vocabulary, pattern: str) -> Coder:
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(vocabulary.value[1], pattern)
+        gc.freeze()  # the tables stay as long as the worker: the collector need not walk them
     return _coders[key]
 
 
@@ -204,7 +217,8 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     @F.arrow_udf("binary")
     def spelled(lists: pa.Array) -> pa.Array:
         coder = _coder(vocabulary, pattern)
-        return pa.array([coder.decode(x.as_py() or []) for x in lists], pa.binary())
+        ids, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        return pa.array([coder.decode(ids[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
 
     return df.withColumn(out, spelled(F.col(ids)))
 

@@ -22,6 +22,7 @@ STRICT = {"n_repeat_words": 20, "n_dup_lines": 30, "n_symbols": 10}
 HOST_LIMIT = 0.5
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ADDED = (*MEASURES, "base_failed", "strict_failed", "host_rejected", "kept")
 
 
 def repeated_words(words: Column) -> Column:
@@ -96,13 +97,20 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
     return per.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") > limit)
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def judge(
+    docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT, carry: list[str] | None = None
+) -> DataFrame:
     """Add measures, ``host_rejected`` and ``kept``; one row out for each row in, repeated rows included.
 
     ``kept`` is false if the document fails the base rules, or if its host is
-    rejected and it fails the strict ones. An empty table gives an empty one.
+    rejected and it fails the strict ones. ``carry`` names the columns of
+    ``docs`` to return (all, if not given). Documents are measured once and
+    written, as hosts must be known before any verdict. An empty table gives
+    an empty one.
     """
-    measured = measure(docs, text).drop("host_rejected", "kept")
-    hosts = host_verdicts(measured, host, limit).select("_host", "host_rejected")
-    joined = measured.join(hosts, measured[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
+    own = [c for c in (docs.columns if carry is None else carry) if c not in (*ADDED, "_host_of")]
+    measured = measure(docs, text).withColumn("_host_of", F.col(host)).select(*own, "_host_of", *MEASURES, "base_failed", "strict_failed")
+    measured = materialize(measured, "measured")
+    hosts = host_verdicts(measured, "_host_of", limit).select("_host", "host_rejected")
+    joined = measured.join(hosts, F.col("_host_of").eqNullSafe(F.col("_host")), "left").drop("_host", "_host_of")
     return joined.withColumn("kept", ~(F.col("base_failed") | (F.col("host_rejected") & F.col("strict_failed"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,6 +11,8 @@ from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
 
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
 
 @query("op5_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +53,7 @@ FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source"""
 @query("op4_quality_rules", OP4)
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return quality.judge(docs).select("doc_id", *quality.MEASURES, "base_failed", "kept", "host_rejected")
+    return quality.judge(docs, carry=["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept", "host_rejected")
 
 
 OP3 = r"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
