@@ -34,7 +34,7 @@ from patronage.session import materialize
 
 LENGTH, GRAM = 200, 32
 #: Starts of one segment at most; bytes of a bucket, and of a route that is dealt by segments.
-SEGMENT_STARTS, BUCKET_BYTES, ROUTE_BYTES = 1024, 2_000_000, 1_000_000
+SEGMENT_STARTS, BUCKET_BYTES, ROUTE_BYTES = 1024, 250_000, 1_000_000
 #: Starts hashed at a time, so that the longest text needs no more memory than its bytes.
 CHUNK = 1 << 20
 #: Ends a segment in the joined text; no byte of UTF-8.
