@@ -50,8 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token numbers of each text, with digests of the numbers and of the bytes that they spell."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "source", "lang", "text"), path, pattern).drop("text")
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), path, pattern).select(
         "doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.id_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

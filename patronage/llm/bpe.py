@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Pieces a worker remembers in each of two halves; when the young half is full it becomes the old one.
-MEMO = 3 << 16
+MEMO = 1 << 17
 #: Pairs of tokens whose compatibility a worker remembers.
 PAIRS = 1 << 18
 #: Longer pieces are not remembered.
@@ -165,10 +165,14 @@ class Coder:
             at -= width[token]
             previous = out[-1] if out else -1
 
+    def pack(self, text: str) -> bytes:
+        """Token numbers as packed 32-bit numbers."""
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), np.int32)
+        return np.frombuffer(self.pack(text), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -199,17 +203,43 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        coder, offsets, parts = _coder(vocabulary, pattern), [0], []
+        coder, flat, ends = _coder(vocabulary, pattern), bytearray(), [0]
         for t in texts:
-            one = coder.encode(t.as_py() or "")
-            parts.append(one)
-            offsets.append(offsets[-1] + len(one))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts or [np.empty(0, np.int32)])))
+            flat += coder.pack(t.as_py() or "")
+            ends.append(len(flat) // 4)
+        return _lists(flat, ends)
 
     # Marked so that a reader of the numbers, such as decode, does not make the planner encode twice.
     return df.withColumn(out, ids.asNondeterministic()(F.col(text)))
 
 
+def _lists(flat: bytearray, ends: list[int]) -> pa.Array:
+    """Lists of 32-bit numbers that end at ``ends``, over the packed numbers as they are."""
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(flat)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add both ``encode``'s numbers and the bytes that ``decode`` spells from them, in one pass over the texts."""
+    vocabulary = _ship(df.sparkSession, ranks_path)
+
+    @F.arrow_udf("struct<ids array<int>, decoded binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        coder, flat, ends, spelled, byte_ends = _coder(vocabulary, pattern), bytearray(), [0], bytearray(), [0]
+        for t in texts:
+            packed = coder.pack(t.as_py() or "")
+            flat += packed
+            ends.append(len(flat) // 4)
+            spelled += coder.decode(array("i", packed))
+            byte_ends.append(len(spelled))
+        offsets = pa.py_buffer(np.array(byte_ends, np.int32))
+        bytes_ = pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(spelled)])
+        return pa.StructArray.from_arrays([_lists(flat, ends), bytes_], ["ids", "decoded"])
+
+    added = df.drop(out, decoded).withColumn("_both", both.asNondeterministic()(F.col(text)))
+    return added.select("*", F.col("_both.ids").alias(out), F.col("_both.decoded").alias(decoded)).drop("_both")
+
+
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``, the bytes that the token numbers spell; a null list gives no bytes."""
     vocabulary = _ship(df.sparkSession, ranks_path)

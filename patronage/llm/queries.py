@@ -18,8 +18,7 @@ query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(docs, path, pattern).select("doc_id", "ids")
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.round_trip(docs, path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.id_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -61,6 +61,8 @@ def test_tables(spark, frame, library):
     rows = {r.doc_id: r for r in bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()}
     for i, t in enumerate(texts):
         assert rows[i].ids == library.encode_ordinary(t or "") and bytes(rows[i].decoded) == (t or "").encode()
+    for r in bpe.round_trip(df, PATH, PATTERN).collect():
+        assert (r.ids, r.decoded, r.text) == (rows[r.doc_id].ids, rows[r.doc_id].decoded, rows[r.doc_id].text)
     empty = df.where("doc_id < 0")
     assert bpe.decode(bpe.encode(empty, PATH, PATTERN), PATH, PATTERN).count() == 0
 
