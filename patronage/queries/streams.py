@@ -12,9 +12,11 @@ sessions AS (SELECT user_id, CAST(session_no AS BIGINT) AS session_no, min(ts) A
   count(*) AS events FROM numbered GROUP BY 1, 2)"""
 
 
-def event_stream(spark, folder):
+def to_the_end(spark, folder, make, tag):
+    """Run ``make`` on the event stream, closing row included, so that nothing stays open."""
     schema = table(spark, folder, "events").schema
-    return retention.read_folder(spark, folder, schema, "events.parquet")
+    stream, closing = retention.with_closing(retention.read_folder(spark, folder, schema, "events.parquet"), "ts", tag)
+    return retention.run_to_end(make(stream), tag, lambda: retention.close_with(spark, schema, "ts", closing, "2200-06-01 00:00:00"))
 
 
 @query("w1_sessions", f"WITH {SESSIONS} SELECT * FROM sessions")
@@ -24,23 +26,32 @@ def w1(spark, folder):
 
 @query(
     "w1_stream_sessions",
-    f"""WITH {SESSIONS} SELECT user_id, session_start, last_event, events FROM sessions
-    WHERE last_event + INTERVAL 30 MINUTE <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""",
+    f"WITH {SESSIONS} SELECT user_id, session_start, last_event, events FROM sessions",
 )
 def w1_stream(spark, folder):
     sessions.merge_locally(spark)
-    return retention.run_to_end(sessions.stream_sessions(event_stream(spark, folder)), "session-stream")
+    return to_the_end(spark, folder, sessions.stream_sessions, "session-stream")
 
 
-@query("w2_limit_attempts")
+# An attempt is refused if the third last admitted one is less than the window ago; the recursion walks all keys at once.
+ATTEMPTS = """RECURSIVE placed AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+walked AS (SELECT event_id, user_id, ts, place, true AS allowed, ts AS a, NULL::TIMESTAMP AS b, NULL::TIMESTAMP AS c FROM placed WHERE place = 1
+  UNION ALL SELECT p.event_id, p.user_id, p.ts, p.place, w.c IS NULL OR p.ts - w.c >= INTERVAL 5 MINUTE,
+    CASE WHEN w.c IS NULL OR p.ts - w.c >= INTERVAL 5 MINUTE THEN p.ts ELSE w.a END,
+    CASE WHEN w.c IS NULL OR p.ts - w.c >= INTERVAL 5 MINUTE THEN w.a ELSE w.b END,
+    CASE WHEN w.c IS NULL OR p.ts - w.c >= INTERVAL 5 MINUTE THEN w.b ELSE w.c END
+  FROM walked w JOIN placed p ON p.user_id = w.user_id AND p.place = w.place + 1)"""
+
+
+@query("w2_limit_attempts", f"WITH {ATTEMPTS} SELECT event_id, ts, user_id, allowed FROM walked")
 def w2(spark, folder):
     e = table(spark, folder, "events").select("event_id", "ts", "user_id")
     return limiter.limit_attempts(e, "user_id", "ts", "event_id")
 
 
-@query("w2_stream_limit_attempts")
+@query("w2_stream_limit_attempts", f"WITH {ATTEMPTS} SELECT user_id, event_id, ts, allowed FROM walked")
 def w2_stream(spark, folder):
-    return retention.run_to_end(limiter.stream_limit_attempts(event_stream(spark, folder), "user_id", "ts"), "limiter-stream")
+    return to_the_end(spark, folder, lambda e: limiter.stream_limit_attempts(e, "user_id", "ts", "event_id"), "limiter-stream")
 
 
 @query("w3_retention", f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 3 DAY")
@@ -50,8 +61,7 @@ def w3(spark, folder):
 
 @query(
     "w3_stream_daily_counts",
-    """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events FROM events
-    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY GROUP BY 1, 2""",
+    "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 )
 def w3_stream(spark, folder):
-    return retention.run_to_end(retention.stream_daily_counts(event_stream(spark, folder)), "daily-stream")
+    return to_the_end(spark, folder, retention.stream_daily_counts, "daily-stream")

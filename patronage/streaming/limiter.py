@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The window and how many attempts it admits.
@@ -56,12 +56,14 @@ def limit_attempts(
 ) -> DataFrame:
     """Add ``allowed`` to every attempt, in time order per key (``tie`` breaks equal times).
 
+    An attempt without key or time cannot be judged: it stays, with a null.
     Each task walks its sorted rows batch by batch and carries at most
     ``limit`` stamps from one batch to the next, so no burst is held in memory.
     """
     span = seconds * 1_000_000
     micros = F.unix_micros(F.col(stamp).cast("timestamp"))
-    work = _bursts(events, key, stamp, seconds).withColumn("_us", micros)
+    known = F.col(key).isNotNull() & F.col(stamp).isNotNull()
+    work = _bursts(events.where(known), key, stamp, seconds).withColumn("_us", micros)
     work = work.repartition(key, "_burst").sortWithinPartitions(key, "_burst", "_us", tie)
     names = events.columns
 
@@ -81,35 +83,54 @@ def limit_attempts(
                 flags[a:b], live = admit(times[a:b], live, span, limit)
             yield pdf[names].assign(allowed=flags)
 
-    schema = events.schema.add("allowed", "boolean")
-    return work.mapInPandas(walk, schema)
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
+    unjudged = events.where(~known).withColumn("allowed", F.lit(None).cast("boolean"))
+    return work.mapInPandas(walk, schema).unionByName(unjudged)
 
 
 def stream_limit_attempts(
-    events: DataFrame, key: str, stamp: str, seconds: int = WINDOW_SECONDS, limit: int = LIMIT, delay: str = "10 minutes"
+    events: DataFrame, key: str, stamp: str, tie: str, seconds: int = WINDOW_SECONDS, limit: int = LIMIT, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Admitted and refused attempts per key and micro-batch, with remembered stamps as state."""
+    """Admitted and refused attempts with their number ``tie``, decided in the order of their times.
+
+    An attempt waits in the state until the watermark has passed it, so one
+    that arrives late, but within ``delay``, still takes its place. The state
+    is what waits and at most ``limit`` remembered stamps. Attempts without
+    key or time are left to the batch form; later than ``delay`` ones are
+    dropped by the watermark.
+    """
     span = seconds * 1_000_000
-    timed = events.select(F.col(key), F.col(stamp).cast("timestamp").alias("_ts")).withWatermark("_ts", delay)
+    timed = events.where(F.col(stamp).isNotNull()).select(F.col(key), F.col(tie).cast("long").alias("_id"), F.col(stamp).cast("timestamp").alias("_ts"))
+    timed = timed.withWatermark("_ts", delay)
 
     def step(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        if pd.isna(group[0]):  # no key to judge by; a closing row, for one
             return
-        live = list(state.get[0]) if state.exists else []
-        stamps = [b["_ts"].astype("datetime64[us]").astype("int64").to_numpy() for b in batches]
-        times = np.sort(np.concatenate(stamps))
-        flags, live = admit(times, live, span, limit)
-        state.update((live,))
-        if live:
-            horizon = (live[-1] + span) // 1000 + 1
-            state.setTimeoutTimestamp(max(horizon, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {key: [group[0]] * len(times), "ts": pd.to_datetime(times, unit="us"), "allowed": flags}
-        )
+        live, times, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for b in batches:
+                times += b["_ts"].astype("datetime64[us]").astype("int64").tolist()
+                ids += b["_id"].tolist()
+        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i]))
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = [i for i in order if times[i] < passed]
+        done = np.array([times[i] for i in ready], np.int64)
+        flags, live = admit(done, live, span, limit)
+        waiting = order[len(ready):]
+        if waiting:
+            state.update((live, [times[i] for i in waiting], [ids[i] for i in waiting]))
+            state.setTimeoutTimestamp(max(times[waiting[0]] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif any(passed - t < span for t in live):
+            state.update((live, [], []))
+            state.setTimeoutTimestamp(max((live[-1] + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({
+            key: [group[0]] * len(ready), tie: [ids[i] for i in ready], "ts": pd.to_datetime(done, unit="us"), "allowed": flags,
+        })
 
     kind = events.schema[key].dataType.simpleString()
     return timed.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, ts timestamp_ntz, allowed boolean", "stamps array<long>", "append",
+        step, f"{key} {kind}, {tie} long, ts timestamp_ntz, allowed boolean", "live array<long>, times array<long>, ids array<long>", "append",
         GroupStateTimeout.EventTimeTimeout,
     )

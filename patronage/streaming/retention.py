@@ -15,11 +15,15 @@ def within_retention(rows: DataFrame, as_of, stamp: str = "ts", days: int = RETE
 
 
 def stream_daily_counts(events: DataFrame, stamp: str = "ts", days: int = RETENTION_DAYS) -> DataFrame:
-    """Events per day and type; rows older than the horizon behind the newest are dropped."""
+    """Events per day and type; rows older than the horizon behind the newest of earlier batches are dropped.
+
+    Rows without a type are not counted.
+    """
     timed = events.withColumn("_ts", F.col(stamp).cast("timestamp")).withWatermark("_ts", f"{days} days")
     return (
         timed.groupBy(F.window("_ts", "1 day").alias("_w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("events"))
+        .agg(F.count("event_type").alias("events"))
+        .where("events > 0")  # on the type itself it would be moved below the watermark
         .select(F.col("_w.start").cast("date").alias("day"), "event_type", "events")
     )
 
@@ -29,17 +33,45 @@ def read_folder(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def run_to_end(stream: DataFrame, tag: str) -> DataFrame:
-    """Process what is there, write it as a table in the shared folder, read that back."""
+def with_closing(stream: DataFrame, stamp: str, tag: str) -> tuple[DataFrame, str]:
+    """The stream joined with a folder of closing rows, in which all but the time is null.
+
+    A closing row beyond all others carries the watermark past every open
+    group; see ``run_to_end``. Consumers must leave rows with a null key out.
+    """
+    spark = stream.sparkSession
+    folder = scratch_path(spark, f"{tag}-closing")
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+    closing = spark.readStream.schema(stream.schema).parquet(folder)
+    return stream.unionByName(closing), folder
+
+
+def close_with(spark: SparkSession, schema: T.StructType, stamp: str, folder: str, at) -> None:
+    """Put a closing row at the time ``at`` into the folder of ``with_closing``."""
+    row = [F.lit(at).cast(f.dataType).alias(f.name) if f.name == stamp else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run_to_end(stream: DataFrame, tag: str, close=None) -> DataFrame:
+    """Process what is there, write it as a table in the shared folder, read that back.
+
+    ``close`` is called when all input has been read, to add a closing row;
+    the query then goes on from its checkpoint and gives out what was open.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, tag)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}-progress")
-        .option("path", path)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    for last in (False, True):
+        if last:
+            if close is None:
+                break
+            close()
+        query = (
+            stream.writeStream.format("parquet")
+            .option("checkpointLocation", f"{path}-progress")
+            .option("path", path)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

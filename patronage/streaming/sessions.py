@@ -37,13 +37,17 @@ def stream_sessions(
 ) -> DataFrame:
     """The same sessions on a stream; each is emitted once the watermark has passed it.
 
+    Events without a key are left out, as in batch, but move the watermark, so
+    a closing row ends what is open (``retention.run_to_end``).
+
     Start the query with ``merge_locally(spark)`` so that a hot key's windows
     are merged inside each task before the shuffle.
     """
     timed = events.withColumn("_ts", F.col(stamp).cast("timestamp")).withWatermark("_ts", delay)
     return (
         timed.groupBy(key, F.session_window("_ts", f"{minutes} minutes").alias("_s"))
-        .agg(F.max("_ts").alias("last_event"), F.count(F.lit(1)).alias("events"))
+        .agg(F.max("_ts").alias("last_event"), F.count(key).alias("events"))
+        .where("events > 0")  # on the key itself it would be moved below the watermark
         .select(
             key,
             F.col("_s.start").cast("timestamp_ntz").alias("session_start"),

@@ -86,10 +86,53 @@ def test_streams_agree_with_batch(spark, frame, tmp_path):
     batch = frame(rows, schema)
     stream = retention.read_folder(spark, folder, batch.schema)
     last = max(t for _, t, _ in rows)
-    closed = [r for r in values(sessions.sessions(batch), "user_id", "session_start", "last_event", "events")
-              if r[2] + dt.timedelta(minutes=30) <= last - dt.timedelta(minutes=10)]
+    every = values(sessions.sessions(batch), "user_id", "session_start", "last_event", "events")
+    closed = [r for r in every if r[2] + dt.timedelta(minutes=30) <= last - dt.timedelta(minutes=10)]
     got = retention.run_to_end(sessions.stream_sessions(stream), "t-sessions")
     assert values(got, "user_id", "session_start", "last_event", "events") == closed
-    limited = retention.run_to_end(limiter.stream_limit_attempts(stream, "user_id", "ts"), "t-limit")
-    want = limiter.limit_attempts(batch, "user_id", "ts", "event_type")
-    assert values(limited, "user_id", "ts", "allowed") == values(want, "user_id", "ts", "allowed")
+    assert values(to_end(spark, stream, sessions.stream_sessions, "t-all"), "user_id", "session_start", "last_event", "events") == every
+
+
+def to_end(spark, stream, make, tag):
+    both, closing = retention.with_closing(stream, "ts", tag)
+    return retention.run_to_end(make(both), tag, lambda: retention.close_with(spark, stream.schema, "ts", closing, "2200-06-01 00:00:00"))
+
+
+def test_stream_limiter_decides_in_time_order(spark, tmp_path):
+    # Files arrive as 100, 200 / 50 / 340, 360 seconds: the late 50 takes its place, so 360 is admitted.
+    schema = "id long, user_id long, ts timestamp_ntz"
+    folder, rows = str(tmp_path / "late"), [(0, 100), (1, 200), (2, 50), (3, 340), (4, 360)]
+    for k, part in enumerate((rows[:2], rows[2:3], rows[3:])):
+        stamped = [(i, 7, at(s)[0]) for i, s in part]
+        spark.createDataFrame(stamped, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = retention.read_folder(spark, folder, spark.read.parquet(folder).schema)
+    got = dict(values(to_end(spark, stream, lambda e: limiter.stream_limit_attempts(e, "user_id", "ts", "id"), "t-order"), "id", "allowed"))
+    order = sorted(rows, key=lambda r: r[1])
+    assert got == dict(zip([i for i, _ in order], brute_limit([s for _, s in order])))
+
+
+def test_limiter_keeps_what_it_cannot_judge(frame):
+    rows = [(1, None, T0), (2, "k", None), (3, "k", T0)]
+    got = values(limiter.limit_attempts(frame(rows, "id long, ip string, ts timestamp_ntz"), "ip", "ts", "id"), "id", "allowed")
+    assert got == [(1, None), (2, None), (3, True)]
+
+
+def test_stream_retention_drops_what_is_late(spark, tmp_path):
+    # A row four days behind the newest of an earlier file is dropped, one two days behind counts.
+    folder, day = str(tmp_path / "days"), dt.timedelta(days=1)
+    schema = "user_id long, ts timestamp_ntz, event_type string"
+    spark.createDataFrame([(1, T0 + 10 * day, "a")], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = retention.stream_daily_counts(retention.read_folder(spark, folder, spark.read.parquet(folder).schema))
+    path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def go():
+        q = stream.writeStream.format("parquet").option("checkpointLocation", progress).option("path", path).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    go()
+    spark.createDataFrame([(1, T0 + 6 * day, "a"), (1, T0 + 8 * day, "a")], schema).coalesce(1).write.mode("append").parquet(folder)
+    go()
+    spark.createDataFrame([(1, T0 + 30 * day, "a")], schema).coalesce(1).write.mode("append").parquet(folder)
+    go()
+    assert values(spark.read.schema(stream.schema).parquet(path), "day", "events") == [
+        ((T0 + 10 * day).date(), 1), ((T0 + 8 * day).date(), 1)]  # in the order of their spelling
