@@ -24,6 +24,9 @@ REVENUE_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 30], "minInstanc
 SEED = 42
 TEST_SHARE = 0.2
 FOLDS = 3
+#: Forests are held whole by the driver and grow with their rows, so at most about so many training rows, chosen by key
+#: hash, are fitted. Splits, metrics and scores cover all rows.
+MAX_FIT_ROWS = 200_000
 
 
 # --- split -----------------------------------------------------------------------
@@ -68,6 +71,14 @@ def fold_column(df: DataFrame, key: str, folds: int, seed: int = SEED) -> DataFr
     return df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(folds)).cast("int"))
 
 
+def fit_rows(train: DataFrame, key: str, most: int = MAX_FIT_ROWS, seed: int = SEED) -> DataFrame:
+    """The training rows to fit: all, or about ``most`` of them by key hash."""
+    n = train.count()
+    if n <= most:
+        return train
+    return train.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 2)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 # --- feature selection and search --------------------------------------------------
 
 
@@ -85,7 +96,7 @@ def grid(estimator, settings: dict[str, list]):
     return b.build()
 
 
-def search(estimator, evaluator, train: DataFrame, settings: dict, key: str, folds: int = FOLDS, parallelism: int = 4):
+def search(estimator, evaluator, train: DataFrame, settings: dict, key: str, folds: int = FOLDS, parallelism: int = 8):
     """Best model of a cross-validated grid; folds come from the key."""
     cv = CrossValidator(
         estimator=estimator, estimatorParamMaps=grid(estimator, settings), evaluator=evaluator,
@@ -128,22 +139,25 @@ def _forest(kind, label: str, trees: int, features: str = "features", depth: int
 def train_churn(
     df: DataFrame, names: list[str], label: str = "churn_label", key: str = "customer_id",
     settings: dict | None = CHURN_GRID, selector_trees: int = 100, selector_depth: int = 30, folds: int = FOLDS,
+    max_fit_rows: int = MAX_FIT_ROWS,
 ) -> Fitted:
     """Forest on 80 % of the rows after feature selection and a grid search.
 
-    One class only: nothing can be learned, the score is 0 everywhere.
-    ``settings=None`` skips the search and grows the default forest.
+    One class only: nothing can be learned, that class is predicted and the
+    churn score is 0 everywhere. ``settings=None`` skips the search and grows
+    the default forest.
     """
     everything = list(range(len(names)))
     classes = scalars(df, n0=F.count_if(F.col(label) == 0), n1=F.count_if(F.col(label) == 1))
     if not (classes["n0"] and classes["n1"]):
-        return Fitted(None, names, everything, df, df, constant=0.0)
+        return Fitted(None, names, everything, df, df, constant=1.0 if classes["n1"] else 0.0)
     work = split_rows(duplicate_lone_class(df, label), key, label).persist()
     train, test = work.where("is_train"), work.where("not is_train")
     try:
         selector = _forest(RandomForestClassifier, label, selector_trees, depth=selector_depth)
-        fitted = Fitted(None, names, select_features(train, names, selector, False), train, test)
-        sliced = fitted.slice(train)
+        fitting = fit_rows(train, key, max_fit_rows)
+        fitted = Fitted(None, names, select_features(fitting, names, selector, False), train, test)
+        sliced = fitted.slice(fitting)
         forest = _forest(RandomForestClassifier, label, 100, "kept", depth=selector_depth)
         if settings:
             auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", metricName="areaUnderROC")
@@ -158,6 +172,7 @@ def train_churn(
 def train_revenue(
     df: DataFrame, names: list[str], label: str = "target_revenue", key: str = "customer_id",
     settings: dict | None = REVENUE_GRID, selector_trees: int = 100, selector_depth: int = 30, folds: int = FOLDS,
+    max_fit_rows: int = MAX_FIT_ROWS,
 ) -> Fitted:
     """Regression forest; below five rows a forest of ten on all rows, without a split."""
     n = df.count()
@@ -170,8 +185,9 @@ def train_revenue(
     train, test = work.where("is_train"), work.where("not is_train")
     try:
         selector = _forest(RandomForestRegressor, label, selector_trees, depth=selector_depth)
-        fitted = Fitted(None, names, select_features(train, names, selector, True), train, test)
-        sliced = fitted.slice(train)
+        fitting = fit_rows(train, key, max_fit_rows)
+        fitted = Fitted(None, names, select_features(fitting, names, selector, True), train, test)
+        sliced = fitted.slice(fitting)
         rows = n - math.ceil(n * TEST_SHARE)
         if settings and rows >= 5:
             forest = _forest(RandomForestRegressor, label, 100, "kept", depth=selector_depth)
@@ -190,7 +206,7 @@ def train_revenue(
 def score_churn(fitted: Fitted, df: DataFrame, out: str = "churn_probability_final") -> DataFrame:
     """Probability of the churn class for every row, within 0..1."""
     if fitted.model is None:
-        return df.withColumns({out: F.lit(0.0), "prediction": F.lit(0.0)})
+        return df.withColumns({out: F.lit(0.0), "prediction": F.lit(fitted.constant)})
     scored = fitted.model.transform(fitted.slice(df))
     p = F.coalesce(vector_to_array("probability")[1], F.lit(0.0))
     scored = scored.withColumn(out, F.least(F.greatest(F.nanvl(p, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))

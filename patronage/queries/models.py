@@ -1,4 +1,4 @@
-"""Model steps. Training runs use a small grid; the full grids are the defaults of the library."""
+"""Model steps. Each search runs once per session and table, over the whole declared grid; the queries share its result."""
 
 from __future__ import annotations
 
@@ -12,8 +12,15 @@ from patronage.plans import analysis
 from patronage.queries.base import AS_OF, CHURN, customers, query, rounded, scored, table, transactions
 from patronage.session import materialize
 
-QUICK = {"numTrees": [10], "maxDepth": [4], "minInstancesPerNode": [1, 2]}
-FAST = {"settings": QUICK, "selector_trees": 10, "selector_depth": 4, "folds": 2}
+_searched: dict[tuple, object] = {}
+
+
+def once(spark, folder, name, make):
+    """The result of a training run, made once per session, table folder and name."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _searched:
+        _searched[key] = make()
+    return _searched[key]
 
 
 def churn_table(spark, folder):
@@ -29,6 +36,28 @@ def revenue_table(spark, folder):
     return materialize(table_, "revenue-table"), names
 
 
+def churn_model(spark, folder):
+    """The churn table and the model of the whole search."""
+    def make():
+        df, names = churn_table(spark, folder)
+        return df, m.train_churn(df, names)
+
+    return once(spark, folder, "churn", make)
+
+
+def revenue_model(spark, folder):
+    def make():
+        df, names = revenue_table(spark, folder)
+        return df, m.train_revenue(df, names)
+
+    return once(spark, folder, "revenue", make)
+
+
+def settings_of(spark, fitted):
+    p = {k: fitted.model.getOrDefault(k) for k in ("numTrees", "maxDepth", "minInstancesPerNode")}
+    return spark.createDataFrame([(p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])], "trees int, depth int, min_leaf int")
+
+
 @query(
     "l1_stratified_split",
     f"""WITH {CHURN} SELECT first_label AS churn_label, count(*) - CAST(ceil(count(*) * 0.2e0) AS BIGINT) AS train_rows,
@@ -43,34 +72,34 @@ def l1(spark, folder):
 
 @query("l2_feature_selection")
 def l2(spark, folder):
-    df, names = churn_table(spark, folder)
-    forest = m._forest(m.RandomForestClassifier, "churn_label", 10, depth=4)
-    kept = m.select_features(df, names, forest, False)
-    return spark.createDataFrame([(i, names[i]) for i in kept], "place int, feature string")
+    _, fitted = churn_model(spark, folder)
+    return spark.createDataFrame([(i, fitted.names[i]) for i in fitted.kept], "place int, feature string")
 
 
 @query("l3_churn_search")
 def l3(spark, folder):
-    df, names = churn_table(spark, folder)
-    fitted = m.train_churn(df, names, **FAST)
-    p = {k: fitted.model.getOrDefault(k) for k in ("numTrees", "maxDepth", "minInstancesPerNode")}
-    return spark.createDataFrame([(p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])], "trees int, depth int, min_leaf int")
+    return settings_of(spark, churn_model(spark, folder)[1])
 
 
 @query("l4_revenue_search")
 def l4(spark, folder):
-    df, names = revenue_table(spark, folder)
-    fitted = m.train_revenue(df, names, **FAST)
-    p = {k: fitted.model.getOrDefault(k) for k in ("numTrees", "maxDepth", "minInstancesPerNode")}
-    return spark.createDataFrame([(p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])], "trees int, depth int, min_leaf int")
+    return settings_of(spark, revenue_model(spark, folder)[1])
 
 
-@query("l5_single_class", "SELECT o_custkey AS customer_id, CAST(0 AS DOUBLE) AS churn_probability_final FROM orders GROUP BY o_custkey")
+@query(
+    "l5_single_class",
+    """WITH c AS (SELECT DISTINCT o_custkey AS customer_id FROM orders)
+    SELECT customer_id, k AS churn_label, CAST(k AS DOUBLE) AS prediction, CAST(0 AS DOUBLE) AS churn_probability_final FROM c, (VALUES (0), (1)) v(k)""",
+)
 def l5(spark, folder):
+    """All customers in one class, once the one and once the other."""
     df, names = churn_table(spark, folder)
-    df = df.withColumn("churn_label", F.lit(0))
-    fitted = m.train_churn(df, names, **FAST)
-    return m.score_churn(fitted, df).select("customer_id", "churn_probability_final")
+    parts = []
+    for k in (0, 1):
+        one = df.withColumn("churn_label", F.lit(k))
+        scored_ = m.score_churn(m.train_churn(one, names), one)
+        parts.append(scored_.select("customer_id", "churn_label", "prediction", "churn_probability_final"))
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -96,10 +125,21 @@ def l7(spark, folder):
     return m.score_revenue(m.train_revenue(df, names), df).select("customer_id", "predicted_revenue")
 
 
-@query("l8_score_churn")
+@query(
+    "l8_score_churn",
+    "SELECT o_custkey AS customer_id, true AS scored FROM orders GROUP BY o_custkey",
+)
 def l8(spark, folder):
-    df, names = churn_table(spark, folder)
-    fitted = m.train_churn(df, names, **{**FAST, "settings": None})
+    """Every customer is scored, within 0..1, and the class is the one that the probability says."""
+    df, fitted = churn_model(spark, folder)
+    p = F.col("churn_probability_final")
+    agrees = (F.col("prediction") == (p > 0.5).cast("double")) | (p == 0.5)
+    return m.score_churn(fitted, df).select("customer_id", (p.between(0, 1) & agrees).alias("scored"))
+
+
+@query("l8_churn_scores")
+def l8_scores(spark, folder):
+    df, fitted = churn_model(spark, folder)
     return m.score_churn(fitted, df).select("customer_id", "churn_probability_final")
 
 
@@ -143,26 +183,100 @@ def l11(spark, folder):
 
 @query("l12_model_run")
 def l12(spark, folder):
-    df, names = churn_table(spark, folder)
-    fitted = m.train_churn(df, names, **{**FAST, "settings": None})
+    df, fitted = churn_model(spark, folder)
     return m.model_run(df, "EnhancedRandomForest", fitted.used, m.evaluate_churn(fitted))
 
 
+@query("l12_metrics_agree", "SELECT true AS accuracy, true AS recall, true AS roc_auc")
+def l12_agree(spark, folder):
+    """The stated metrics against plain formulas over the stored test predictions."""
+    _, fitted = churn_model(spark, folder)
+    stated = m.evaluate_churn(fitted)
+    t = materialize(m.score_churn(fitted, fitted.test).selectExpr("churn_label AS y", "prediction AS g", "churn_probability_final AS p"), "test-scores")
+    at = t.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    below = at.alias("a").join(at.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p", "a.pos", "a.neg").agg(
+        F.coalesce(F.sum("b.neg"), F.lit(0)).alias("under")
+    )  # scores of one forest: few distinct values
+    auc = below.agg((F.sum(F.expr("pos * (under + neg / 2)")) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    near = lambda c, k: F.abs(c - F.lit(float(stated[k]))) < 1e-9
+    plain = t.agg(
+        near(F.avg((F.col("y") == F.col("g")).cast("double")), "accuracy").alias("accuracy"),
+        near(F.sum(F.col("y") * F.col("g")) / F.sum("y"), "recall").alias("recall"),
+    )
+    return plain.withColumn("roc_auc", F.lit(abs(auc.first()["auc"] - stated["roc_auc"]) < 1e-9))
+
+
+def churn_run(spark, folder):
+    def make():
+        recent = transactions(spark, folder).withColumnRenamed("date", "transaction_date")
+        return analysis.analyze_churn(customer_rollup(transactions(spark, folder), AS_OF), AS_OF, recent)[0]
+
+    return once(spark, folder, "churn-run", make)
+
+
+def revenue_run(spark, folder):
+    return once(
+        spark, folder, "revenue-run", lambda: analysis.analyze_revenue(customer_rollup(transactions(spark, folder), AS_OF), AS_OF)[0]
+    )
+
+
+def revenue_tables_run(spark, folder):
+    return once(
+        spark, folder, "revenue-tables-run",
+        lambda: analysis.analyze_revenue_tables(customers(spark, folder), transactions(spark, folder), AS_OF)[0],
+    )
+
+
 @query("l13_churn_analysis")
 def l13(spark, folder):
-    rolled = customer_rollup(transactions(spark, folder), AS_OF)
-    recent = transactions(spark, folder).withColumnRenamed("date", "transaction_date")
-    out, _ = analysis.analyze_churn(rolled, AS_OF, recent, **FAST)
-    return out.select("customer_id", "churn_label", "churn_probability_final", "risk_level")
+    return churn_run(spark, folder).select("customer_id", "churn_label", "churn_probability_final", "risk_level")
+
+
+@query(
+    "l13_churn_rows",
+    "SELECT o_custkey AS customer_id, true AS in_range, true AS known_level, true AS known_label FROM orders GROUP BY o_custkey",
+)
+def l13_rows(spark, folder):
+    return churn_run(spark, folder).select(
+        "customer_id", F.col("churn_probability_final").between(0, 1).alias("in_range"),
+        F.col("risk_level").isin(churn.LEVELS).alias("known_level"), F.col("churn_label").isin(0, 1).alias("known_label"),
+    )
 
 
 @query("l14_revenue_analysis")
 def l14(spark, folder):
-    out, _ = analysis.analyze_revenue(customer_rollup(transactions(spark, folder), AS_OF), AS_OF, **FAST)
-    return out.select("customer_id", "predicted_revenue", "revenue_segment", "total_revenue", "transaction_count", "avg_transaction_value")
+    return revenue_run(spark, folder).select(
+        "customer_id", "predicted_revenue", "revenue_segment", "total_revenue", "transaction_count", "avg_transaction_value"
+    )
+
+
+HISTORY_ROWS = """SELECT o_custkey AS customer_id, round(CAST(sum(CAST(o_totalprice AS DECIMAL(24,6))) AS DOUBLE), 4) AS total_revenue,
+  count(o_totalprice) AS transaction_count, true AS predicted, true AS known_segment FROM orders GROUP BY o_custkey"""
+
+
+@query("l14_revenue_rows", HISTORY_ROWS)
+def l14_rows(spark, folder):
+    out = revenue_run(spark, folder).select(
+        "customer_id", "total_revenue", F.col("transaction_count").cast("long").alias("transaction_count"), (F.col("predicted_revenue") >= 0).alias("predicted"),
+        F.col("revenue_segment").isin(revenue.HIGH, revenue.MEDIUM, revenue.LOW).alias("known_segment"),
+    )
+    return rounded(out, total_revenue=4)
 
 
 @query("l15_revenue_from_tables")
 def l15(spark, folder):
-    out, _ = analysis.analyze_revenue_tables(customers(spark, folder), transactions(spark, folder), AS_OF, **FAST)
-    return out.select("customer_id", "country", "predicted_revenue", "revenue_segment", "customer_lifetime_value")
+    return revenue_tables_run(spark, folder).select(
+        "customer_id", "country", "predicted_revenue", "revenue_segment", "customer_lifetime_value"
+    )
+
+
+@query(
+    "l15_rows_from_tables",
+    """SELECT c_custkey AS customer_id, n_name AS country, true AS predicted FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+    WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
+)
+def l15_rows(spark, folder):
+    """Customers with a history; the others have no target and so no row."""
+    return revenue_tables_run(spark, folder).where("transaction_count > 0").select(
+        "customer_id", "country", (F.col("predicted_revenue") >= 0).alias("predicted")
+    )

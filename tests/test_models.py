@@ -91,6 +91,17 @@ def test_single_class_scores_zero(frame):
     fitted = m.train_churn(table, names, **QUICK)
     assert {r[0] for r in m.score_churn(fitted, table).select("churn_probability_final").collect()} == {0.0}
     assert m.evaluate_churn(fitted)["roc_auc"] is None
+    ones = table.withColumn("churn_label", F.lit(1))
+    fitted = m.train_churn(ones, names, **QUICK)
+    assert {tuple(r) for r in m.score_churn(fitted, ones).select("prediction", "churn_probability_final").collect()} == {(1.0, 0.0)}
+    assert m.evaluate_churn(fitted)["accuracy"] == 1.0
+
+
+def test_fit_rows_are_bounded_by_key(frame):
+    df = frame([(i,) for i in range(5000)], "customer_id long")
+    few = m.fit_rows(df, "customer_id", 500)
+    assert 400 < few.count() < 600 and values(few) == values(m.fit_rows(df.repartition(9), "customer_id", 500))
+    assert m.fit_rows(df, "customer_id", 5000).count() == 5000
 
 
 def test_analysis_numbers_rows_without_ids(frame):
