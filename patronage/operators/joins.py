@@ -14,7 +14,7 @@ class DuplicateKeyError(ValueError):
 
 
 def assert_unique(df: DataFrame, key: str) -> None:
-    """Raise when a key occurs twice; stops at the first one found."""
+    """Raise when a key occurs twice."""
     twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if twice.take(1):
         raise DuplicateKeyError(f"{key} is not unique on the right side")
@@ -50,11 +50,26 @@ def join_one(
     if not hot:
         return many.join(one, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    if one.where(is_hot).limit(HOT_KEYS + 1).count() > HOT_KEYS:
+        raise DuplicateKeyError(f"{key} is not unique on the right side")
     calm = many.where(~is_hot).join(one.where(~is_hot), key, how)
     heated = many.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how)  # <= HOT_KEYS rows
     return calm.unionByName(heated)
 
 
+def one_to_many(one: DataFrame, many: DataFrame, key: str = "customer_id") -> DataFrame:
+    """Every row of ``one`` with its rows of ``many``, or with nulls: a left join whose right side may have hot keys.
+
+    The long side leads, so a hot key's rows stay where they are or are split;
+    what has no match is found against the distinct keys, combined before
+    their shuffle.
+    """
+    matched = join_one(many.where(F.col(key).isNotNull()), one, key)
+    columns = [key, *[c for c in one.columns if c != key], *[c for c in many.columns if c != key]]
+    alone = one.join(many.select(key).distinct(), key, "left_anti")
+    return matched.select(*columns).unionByName(alone, allowMissingColumns=True).select(*columns)
+
+
 def attach_metrics(customers: DataFrame, metrics: DataFrame, key: str = "customer_id") -> DataFrame:
     """Customers with their metrics; numbers of customers without any become 0."""
     return customers.join(metrics, key, "left").na.fill(0)

@@ -53,6 +53,9 @@ DATE_NAME_PARTS = ["date", "purchase", "order", "last"]
 # --- semantic column types ---------------------------------------------------
 
 
+NESTED = (T.ArrayType, T.MapType, T.StructType)
+
+
 @dataclass(frozen=True)
 class ColumnStats:
     """What the type rules need to know about one column's non-null values."""
@@ -74,6 +77,8 @@ def _has(name: str, words: list[str]) -> bool:
 
 def semantic_type(name: str, s: ColumnStats) -> str:
     """Type of a column from its name and its values; the first rule that fits wins."""
+    if isinstance(s.data_type, NESTED):
+        return "unknown"
     name = name.lower()
     mostly_unique = s.distinct > s.rows * 0.8
     rules = [
@@ -142,8 +147,9 @@ def column_stats(df: DataFrame, any_name: bool = False) -> dict[str, ColumnStats
     Distinct counts start as sketches. Only a column whose estimate lies within
     five standard errors of a share the rules compare with is counted exactly.
     """
-    fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    aggs: dict[str, Column] = {}
+    nested = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, NESTED)}
+    fields = [f for f in df.schema.fields if f.name not in nested]
+    aggs: dict[str, Column] = {f"nested_{i}": F.count(F.col(f"`{n}`")) for i, n in enumerate(nested)}
     for i, f in enumerate(fields):
         for k, a in _stats_aggs(f.name, f.dataType, any_name).items():
             aggs[f"{k}_{i}"] = a
@@ -157,7 +163,10 @@ def column_stats(df: DataFrame, any_name: bool = False) -> dict[str, ColumnStats
     ]
     for i in close:  # one exact count per doubtful column keeps each shuffle to that column
         row[f"distinct_{i}"] = scalars(df, d=F.count_distinct(fields[i].name))["d"]
-    return {f.name: _column_stats(row, i, f.dataType) for i, f in enumerate(fields)}
+    found = {f.name: _column_stats(row, i, f.dataType) for i, f in enumerate(fields)}
+    # Of nested columns only the filled rows are counted; they never are a number or a date.
+    found |= {n: ColumnStats(row[f"nested_{i}"], 0, 0, -1, None, None, 0, 0, t) for i, (n, t) in enumerate(nested.items())}
+    return {f.name: found[f.name] for f in df.schema.fields}
 
 
 def _column_stats(row, i, t: T.DataType) -> ColumnStats:

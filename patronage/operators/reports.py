@@ -168,8 +168,16 @@ def preview(df: DataFrame, order_by: list, n: int = 10) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
-def newest_per_key(df: DataFrame, key: list[str], order_by: str) -> DataFrame:
-    """The row of each key with the highest ``order_by``: a combining aggregate."""
+def newest_per_key(df: DataFrame, key: list[str], order_by: str | None = None) -> DataFrame:
+    """The row of each key with the highest ``order_by``: a combining aggregate.
+
+    Ties, and rows without an order, are settled by a hash of the whole row, so
+    the choice does not move with partitions.
+    """
     rest = [c for c in df.columns if c not in key]
-    best = F.max_by(F.struct(*rest), F.col(order_by)).alias("_row")
+    if not rest:
+        return df.select(*key).distinct().select(*df.columns)
+    # A null time is older than any other.
+    order = F.struct(*([F.col(order_by).isNotNull(), F.col(order_by)] if order_by else []), F.xxhash64(*rest))
+    best = F.max_by(F.struct(*rest), order).alias("_row")
     return df.groupBy(*key).agg(best).select(*key, "_row.*").select(*df.columns)

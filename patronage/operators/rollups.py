@@ -17,7 +17,8 @@ def total(c) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-MONEY = "decimal(24,6)"
+#: A binary fraction is added in two parts: to six places, and what is left of it.
+MONEY, REST = "decimal(38,6)", "decimal(38,24)"
 
 
 def exact_total(df: DataFrame, name: str) -> Column:
@@ -25,10 +26,14 @@ def exact_total(df: DataFrame, name: str) -> Column:
 
     Binary fractions are added as decimals: a retried task, another partition
     count or another engine then gives the very same sum, which thresholds and
-    ties further on rely on.
+    ties further on rely on. What six places do not hold is added apart, so
+    small amounts count too.
     """
     if isinstance(dtype(df, name), (T.FloatType, T.DoubleType)):
-        return total(F.col(name).cast(MONEY)).cast("double")
+        amount = F.col(name).cast("double")
+        money = amount.cast(MONEY)
+        rest = (amount - money.cast("double")).cast(REST)
+        return total(money).cast("double") + total(rest).cast("double")
     return total(name)
 
 

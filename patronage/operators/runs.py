@@ -73,22 +73,25 @@ def plan_lookup(keys: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def daily_quota(history: DataFrame, users: DataFrame) -> DataFrame:
-    """Runs of each tenant and day against the plan's limit."""
+    """Runs of each tenant and day against the plan's limit; a tenant without an account gets none."""
     used = history.groupBy("user_id", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("runs"))
     free = (F.col("role") != UNLIMITED_ROLE) & (F.col("subscription") != UNLIMITED_PLAN)
-    left = F.when(free, F.greatest(F.lit(FREE_RUNS_PER_DAY) - F.col("runs"), F.lit(0)))
-    return plan_lookup(used, users).withColumns(
-        {"allowed": ~free | (F.col("runs") < FREE_RUNS_PER_DAY), "remaining": left}
-    )
+    known = F.col("_known").isNotNull()
+    left = F.when(~known, F.lit(0).cast("long")).when(free, F.greatest(F.lit(FREE_RUNS_PER_DAY) - F.col("runs"), F.lit(0)))
+    accounts = users.select(F.col("email").alias("user_id"), F.lit(True).alias("_known"))
+    return plan_lookup(used, users).join(accounts, "user_id", "left").withColumns(
+        {"allowed": known & (~free | (F.col("runs") < FREE_RUNS_PER_DAY)), "remaining": left}
+    ).drop("_known")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], order_by: str | None = None) -> DataFrame:
     """Rows of ``existing`` with those of ``incoming`` put in or in their place.
 
-    The incoming side is reduced to one row per key first; keys of the
-    existing side are unique already, so nothing is sorted.
+    The incoming side is reduced to one row per key first, the same one in
+    every run; keys of the existing side are unique already, so nothing is
+    sorted.
     """
-    new = newest_per_key(incoming, key, order_by) if order_by else incoming.dropDuplicates(key)
+    new = newest_per_key(incoming, key, order_by)
     new = new.select(*existing.columns)
     return existing.join(new.select(*key), key, "left_anti").select(*existing.columns).unionByName(new)
 

@@ -4,7 +4,8 @@
 several columns and positions at once. A bounded sketch brackets each wanted
 position; one counting pass places the bracket exactly; only rows inside a
 bracket are sorted. A bracket that still holds too many rows is narrowed again,
-so no task and no driver ever holds more than ``MAX_CANDIDATES`` values. Give
+so the rows of all brackets together, which one task sorts, are at most
+``MAX_CANDIDATES`` (a few more only if there are more brackets than that). Give
 it a frame that is cheap to scan again (a table, or a materialised stage).
 """
 
@@ -66,14 +67,14 @@ def order_statistics(
         for group in _neighbours(sorted(set(wanted))):
             if not 0 <= group[0] <= group[-1] < counts[column]:
                 raise IndexError(f"positions {group} outside the {counts[column]} values of {column}")
-            b = _Bracket(column, group, counts[column])
-            (small if b.inside <= max_candidates else large).append(b)
+            large.append(_Bracket(column, group, counts[column]))
+    share = max(1, max_candidates // max(1, len(large)))  # all brackets are gathered together
     while large:
         still = []
         for b in _narrow(df, large):
             if b.low == b.high:
                 found[b.column].update(dict.fromkeys(b.ranks, b.low))
-            elif b.inside <= max_candidates:
+            elif b.inside <= share:
                 small.append(b)
             else:
                 still.append(b)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from patronage.operators import rollups
+from patronage.operators.reports import newest_per_key
 from patronage.plans.analysis import analyze_churn, analyze_revenue, process_tables
 from patronage.session import materialize
 from patronage.sources.store import RunStore
@@ -52,7 +53,7 @@ def run_analysis(
     c, t = process_tables(customers, transactions, customer_roles, transaction_roles, customer_order, transaction_order)
     # Transactions shrink to one row per customer first; ages and genders join there,
     # which gives the same rows as carrying them through every transaction.
-    people = c.dropDuplicates(["customer_id"])
+    people = newest_per_key(c, ["customer_id"])
     metrics = rollups.customer_rollup(t, at, first_date=True)
     metrics = metrics.join(people.select("customer_id", "age", "gender"), "customer_id", "left")
     metrics = materialize(metrics, "run-metrics")

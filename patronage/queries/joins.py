@@ -54,8 +54,7 @@ def j3(spark, folder):
     LEFT JOIN tx t USING (customer_id)""",
 )
 def j4(spark, folder):
-    c = customers(spark, folder).select("customer_id", "country")
-    return c.join(amounts(spark, folder), "customer_id", "left")
+    return j.one_to_many(customers(spark, folder).select("customer_id", "country"), amounts(spark, folder))
 
 
 @query(

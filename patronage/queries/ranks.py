@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators import quantiles as q
 from patronage.operators import reports as r
+from patronage.operators.churn import fixed_risk_levels
 from patronage.operators.selection import quantiles
 from patronage.queries.base import (
     AS_OF, CHURN, REVENUE, RFM_CHURN, RUNS, TX, query, rounded, run_tables, scored, segmented,
@@ -99,6 +100,24 @@ def t3(spark, folder):
     return _display(r.retention_list(scored(spark, folder)))
 
 
+BALANCES = """scored AS (SELECT c_custkey AS customer_id, c_acctbal AS total_amount, (c_custkey * 37 % 1000) / 1000e0 AS p FROM customer),
+levelled AS (SELECT *, CASE WHEN p >= 0.4e0 THEN 'High Risk' WHEN p >= 0.2e0 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_level FROM scored)"""
+
+
+@query(
+    "t3_retention_by_balance",
+    f"""WITH {BALANCES} SELECT customer_id, total_amount, round(p, 6) AS churn_probability_final, risk_level FROM levelled
+    WHERE risk_level = 'High Risk' AND total_amount > (SELECT quantile_cont(total_amount, 0.75) FROM levelled) ORDER BY p DESC, customer_id LIMIT 3""",
+)
+def t3_balance(spark, folder):
+    """Customers ranked by a spread score, so that rich ones are among the endangered."""
+    df = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("total_amount"),
+        ((F.col("c_custkey") * 37 % 1000) / 1000).alias(r.P),
+    )
+    return rounded(r.retention_list(fixed_risk_levels(df, r.P)), churn_probability_final=6)
+
+
 @query("t4_upsell_list", f"WITH {CHURN} SELECT {LISTED} FROM risk r WHERE risk_level = 'Low Risk' AND total_amount > {Q75} ORDER BY r.total_amount DESC, customer_id LIMIT 3")
 def t4(spark, folder):
     return _display(r.upsell_list(scored(spark, folder)))

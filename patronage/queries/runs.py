@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import zlib
 
 from pyspark.sql import functions as F
 
 from patronage.operators import runs as x
 from patronage.plans import dashboard as board
 from patronage.queries.base import DASHBOARD, RUNS, dashboard, query, rounded, run_tables, table
-from patronage.session import scratch_path
+from patronage.session import path_exists, scratch_path, scratch_root
 from patronage.sources.store import RunStore
 
 HISTORY = "user_id, analysis_id, total_customers, high_risk_customers, total_predicted_revenue, avg_predicted_revenue, analysis_summary"
@@ -29,6 +31,79 @@ def x2(spark, folder):
     return x.history_listing(run_tables(spark, folder)["history"], "AUTOMOBILE")
 
 
+def stored_runs(spark, folder) -> RunStore:
+    """All runs of all tenants in a store, written as the store lays them out."""
+    def key(name):
+        return f"{scratch_root(spark)}/runs-{zlib.crc32(folder.encode()):08x}/{name}"
+
+    store = RunStore(spark, key("store"))
+    if not path_exists(spark, key("done")):
+        t = run_tables(spark, folder, segments=True)
+        for name, rows in (("churn_data", t["churn"]), ("revenue_data", t["revenue"]), ("customer_data", t["customers"]), ("analysis_history", t["history"])):
+            store.load(name, rows)
+        spark.range(1).write.mode("overwrite").parquet(key("done"))
+    return store
+
+
+def copied_runs(spark, folder) -> RunStore:
+    """A store of its own with the same rows, to be changed."""
+    source, store = stored_runs(spark, folder), RunStore(spark, scratch_path(spark, "runs"))
+    for name in ("churn_data", "revenue_data", "customer_data", "analysis_history"):
+        store.load(name, source.table(name))
+    return store
+
+
+CHILD_ROWS = """SELECT 'churn_data' AS child, customer_id, CAST(transaction_count AS DOUBLE) AS value FROM churn WHERE {0}
+  UNION ALL SELECT 'revenue_data', customer_id, CAST(total_revenue AS DECIMAL(15,2))::DOUBLE FROM revenue WHERE {0}
+  UNION ALL SELECT 'customer_data', customer_id, CAST(total_spent AS DECIMAL(15,2))::DOUBLE FROM people WHERE {0}"""
+
+
+def child_rows(children):
+    value = {"churn_data": "transaction_count", "revenue_data": "total_revenue", "customer_data": "total_spent"}
+    parts = [
+        rows.select(F.lit(name).alias("child"), "customer_id", F.col(value[name]).cast("double").alias("value")) for name, rows in children.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("x3_all_children", f"WITH {RUNS} " + CHILD_ROWS.format("user_id = 'HOUSEHOLD' AND analysis_id = 1997"))
+def x3_all(spark, folder):
+    """The three children of a stored run, read through the store."""
+    return child_rows(stored_runs(spark, folder).details("HOUSEHOLD", 1997))
+
+
+def every_child(store):
+    return child_rows({n: store.rows(n) for n in ("churn_data", "revenue_data", "customer_data")})
+
+
+@query("x5_delete_run", f"WITH {RUNS} " + CHILD_ROWS.format("NOT (user_id = 'HOUSEHOLD' AND analysis_id = 1997)"))
+def x5_run(spark, folder):
+    """One stored run is deleted through the store, history and all children; the rest is read back."""
+    store = copied_runs(spark, folder)
+    store.delete_run("HOUSEHOLD", 1997)
+    return every_child(store)
+
+
+@query("x5_delete_account", f"WITH {RUNS} " + CHILD_ROWS.format("user_id <> 'BUILDING'"))
+def x5_account(spark, folder):
+    """A tenant is deleted through the store, with its account and a log entry."""
+    store = copied_runs(spark, folder)
+    store.delete_tenant("BUILDING", dt.datetime(2024, 1, 1))
+    return every_child(store)
+
+
+@query(
+    "x4_cleanup",
+    f"WITH {RUNS}, kept AS (SELECT user_id, analysis_id FROM history WHERE user_id <> 'MACHINERY' OR timestamp >= TIMESTAMP '2000-01-02' - INTERVAL 3 DAY) "
+    + CHILD_ROWS.format("(user_id, analysis_id) IN (SELECT (user_id, analysis_id) FROM kept)"),
+)
+def x4_cleanup(spark, folder):
+    """The retention of one tenant through the store: its old runs go, with all children."""
+    store = copied_runs(spark, folder)
+    store.cleanup("MACHINERY", "2000-01-02")
+    return every_child(store)
+
+
 @query(
     "x3_run_details",
     f"""WITH {RUNS} SELECT customer_id, predicted_revenue, total_revenue, revenue_segment, transaction_count, avg_transaction_value
@@ -85,9 +160,9 @@ PLAN = "coalesce(subscription, 'Free') AS subscription, coalesce(role, 'user') A
 @query(
     "x6_daily_quota",
     f"""WITH {PLANS}, used AS (SELECT user_id, CAST(timestamp AS DATE) AS day, count(*) AS runs FROM runs GROUP BY 1, 2),
-    p AS (SELECT used.*, {PLAN} FROM used LEFT JOIN users ON email = used.user_id)
-    SELECT user_id, day, runs, subscription, role, role = 'developer' OR subscription = 'Premium' OR runs < 2 AS allowed,
-    CASE WHEN role <> 'developer' AND subscription <> 'Premium' THEN greatest(2 - runs, 0) END AS remaining FROM p""",
+    p AS (SELECT used.*, {PLAN}, email IS NOT NULL AS known FROM used LEFT JOIN users ON email = used.user_id)
+    SELECT user_id, day, runs, subscription, role, known AND (role = 'developer' OR subscription = 'Premium' OR runs < 2) AS allowed,
+    CASE WHEN NOT known THEN 0 WHEN role <> 'developer' AND subscription <> 'Premium' THEN greatest(2 - runs, 0) END AS remaining FROM p""",
 )
 def x6(spark, folder):
     return x.daily_quota(*plans(spark, folder))

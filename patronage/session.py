@@ -40,7 +40,8 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     root = spark.conf.get(CHECKPOINT_KEY, None) or _local_roots.get(app)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         root = _local_roots[app] = tempfile.mkdtemp(prefix="patronage-")
     return f"{root.rstrip('/')}/patronage/{app}"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import secrets
+import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -96,8 +97,15 @@ class RunStore:
 
     # --- writing ---------------------------------------------------------------
 
-    def _append(self, name: str, df: DataFrame) -> None:
-        conform(df, self._schema(name)).write.mode("append").partitionBy("user_id", "analysis_id").parquet(self._path(name))
+    def _append(self, name: str, df: DataFrame, user_id: str, analysis_id: int) -> None:
+        """Write a run's rows straight into its own folder: writers of other runs share no commit folder with it."""
+        rows = conform(df, self._schema(name)).drop("user_id", "analysis_id").hint("rebalance")
+        rows.write.mode("append").parquet(self._folder(name, user_id, analysis_id))
+
+    def load(self, name: str, df: DataFrame) -> None:
+        """Fill a table of a new store with rows of many runs at once; not for a store in use."""
+        rows = conform(df, self._schema(name)).hint("rebalance", "user_id", "analysis_id")
+        rows.write.partitionBy("user_id", "analysis_id").parquet(self._path(name))
 
     def _drop_run(self, name: str, user_id: str, analysis_id=None) -> None:
         delete_path(self.spark, self._folder(name, user_id, analysis_id))
@@ -108,8 +116,8 @@ class RunStore:
         revenue = cleaning.for_tenant(mapping.strip_names(revenue), user_id).withColumn("analysis_id", F.lit(analysis_id))
         cleaning.require_rows(churn, revenue, message=f"no rows for {user_id}")
         try:
-            self._append("churn_data", mapping.keep_columns(churn, mapping.CHURN_COLUMNS))
-            self._append("revenue_data", mapping.keep_columns(revenue, mapping.REVENUE_COLUMNS))
+            self._append("churn_data", mapping.keep_columns(churn, mapping.CHURN_COLUMNS), user_id, analysis_id)
+            self._append("revenue_data", mapping.keep_columns(revenue, mapping.REVENUE_COLUMNS), user_id, analysis_id)
         except Exception:
             for name in ("churn_data", "revenue_data"):
                 self._drop_run(name, user_id, analysis_id)
@@ -131,9 +139,9 @@ class RunStore:
         try:
             self.append_results(user_id, run, churn, revenue, at)
             people = mapping.stamp_run(customers, user_id, run)
-            self._append("customer_data", mapping.keep_columns(people, mapping.CUSTOMER_COLUMNS))
+            self._append("customer_data", mapping.keep_columns(people, mapping.CUSTOMER_COLUMNS), user_id, run)
             totals = runs.run_totals(mapping.stamp_run(churn, user_id, run), mapping.stamp_run(revenue, user_id, run), p)
-            self._append(HISTORY, totals.withColumn("timestamp", F.lit(at).cast("timestamp_ntz")))
+            self._append(HISTORY, totals.withColumn("timestamp", F.lit(at).cast("timestamp_ntz")), user_id, run)
         except Exception:
             for name in CHILDREN:
                 self._drop_run(name, user_id, run)
@@ -176,7 +184,7 @@ class RunStore:
         """Delete everything of a tenant, its account row too, and log that."""
         for name in (HISTORY, *CHILDREN):
             self._drop_run(name, user_id)
-        self._write_users(self.users().where(F.col("email") != user_id))
+        self._change_users(lambda users: users.where(F.col("email") != user_id))
         self.log_event("DELETE_ACCOUNT", user_id, "User deleted their account and all data.", at)
 
     # --- users ----------------------------------------------------------------------
@@ -192,24 +200,46 @@ class RunStore:
             return self.spark.createDataFrame([], USERS_SCHEMA)
         return self.spark.read.schema(USERS_SCHEMA).parquet(f"{self.root}/users/version={versions[-1]}")
 
-    def _write_users(self, df: DataFrame) -> None:
-        """A new complete version; the last two are kept, so running readers finish."""
-        versions = self._user_versions()
-        number = versions[-1] + 1 if versions else 1
-        df.write.parquet(f"{self.root}/users/version={number}")
+    def _change_users(self, change, wait: float = 60.0) -> None:
+        """Write what ``change`` makes of the users as a new complete version.
+
+        A writer first claims the next number with a file that only one can
+        create; another waits until that version is there and then starts from
+        it, so no change is lost. The last two versions are kept, so running
+        readers finish. A claim whose writer died ends the wait with an error.
+        """
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        end = time.monotonic() + wait
+        while True:
+            versions = self._user_versions()
+            number = versions[-1] + 1 if versions else 1
+            claim = hadoop.Path(f"{self.root}/users/claim-{number}")
+            if claim.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(claim):
+                break
+            if time.monotonic() > end:
+                raise TimeoutError(f"version {number} of the users is claimed and not written; remove {claim} if its writer is gone")
+            time.sleep(0.2)
+        try:
+            change(self.users()).write.parquet(f"{self.root}/users/version={number}")
+        except Exception:
+            delete_path(self.spark, f"{self.root}/users/version={number}")
+            delete_path(self.spark, str(claim))
+            raise
         for old in versions[:-1]:
             delete_path(self.spark, f"{self.root}/users/version={old}")
 
     def upsert_users(self, incoming: DataFrame) -> None:
         incoming = conform(incoming, T.StructType.fromDDL(USERS_SCHEMA))
-        self._write_users(runs.upsert(self.users(), incoming, ["email"], "created_at"))
+        self._change_users(lambda users: runs.upsert(users, incoming, ["email"], "created_at"))
 
     def quota(self, user_id: str, day: dt.date) -> dict:
-        """Runs used on a day, whether one more is allowed, and how many remain."""
+        """Runs used on a day, whether one more is allowed, and how many remain; none without an account."""
         plan = self.users().where(F.col("email") == user_id).select("subscription", "role").first()
-        plan_name = (plan and plan["subscription"]) or runs.DEFAULT_PLAN
-        role = (plan and plan["role"]) or runs.DEFAULT_ROLE
         used = self.table(HISTORY, user_id).where(F.to_date("timestamp") == F.lit(day)).count()
+        if plan is None:
+            return {"runs": used, "allowed": False, "remaining": 0}
+        plan_name = plan["subscription"] or runs.DEFAULT_PLAN
+        role = plan["role"] or runs.DEFAULT_ROLE
         if role == runs.UNLIMITED_ROLE or plan_name == runs.UNLIMITED_PLAN:
             return {"runs": used, "allowed": True, "remaining": None}
         return {"runs": used, "allowed": used < runs.FREE_RUNS_PER_DAY, "remaining": max(runs.FREE_RUNS_PER_DAY - used, 0)}

@@ -94,3 +94,16 @@ def test_prepare_features_branches(frame):
 def test_sum_of_nothing_is_zero(frame):
     tx = frame([(1, None), (1, None)], "customer_id long, amount double")
     assert values(u.customer_rollup(tx), "customer_id", "total_amount", "transaction_count") == [(1, 0.0, 0)]
+
+
+def test_one_to_many_keeps_both_sides(spark, frame):
+    one = frame([(i, f"c{i}") for i in range(50)], "customer_id long, country string")
+    many = frame([(7, k) for k in range(2000)] + [(3, 1), (None, 2), (99, 3)], "customer_id long, transaction_id int", 6)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = values(one.join(many, "customer_id", "left"), "customer_id", "country", "transaction_id")
+    try:
+        for threshold in (limit, "-1"):  # a broadcast, and the way of a large right side
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            assert values(j.one_to_many(one, many), "customer_id", "country", "transaction_id") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,11 +89,38 @@ def test_users_quota_and_latest(spark, store, frame):
     assert values(store.events(), "event_type", "email") == [("DELETE_ACCOUNT", "a@x.eu")]
 
 
+def test_two_writers_of_users_lose_nothing(store, frame):
+    users = "email string, subscription string, role string, created_at timestamp_ntz"
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(store.upsert_users, frame([(f"{k}@x.eu", "Free", "user", AT)], users, 1)) for k in range(4)]
+        [j.result() for j in jobs]
+    assert values(store.users(), "email") == [(f"{k}@x.eu",) for k in range(4)]
+    claim = store.spark._jvm.org.apache.hadoop.fs.Path(f"{store.root}/users/claim-5")
+    claim.getFileSystem(store.spark._jsc.hadoopConfiguration()).createNewFile(claim)
+    with pytest.raises(TimeoutError):
+        store._change_users(lambda u: u, wait=0.5)
+
+
+def test_two_runs_written_at_once(store, frame):
+    tables = [results(frame, 3), results(frame, 5)]
+    with ThreadPoolExecutor(2) as pool:
+        runs = [j.result() for j in [pool.submit(store.save_run, "a@x.eu", *t, AT) for t in tables]]
+    assert [store.run_rows("churn_data", "a@x.eu", r).count() for r in runs] == [3, 5]
+
+
+def test_upsert_picks_the_same_row(spark, frame):
+    rows = [("k", v, AT) for v in range(20)]
+    schema = "key string, v int, t timestamp_ntz"
+    picks = {values(x.upsert(frame([], schema), frame(rows, schema, n), ["key"], order), "v")[0] for n in (1, 3, 7) for order in ("t",)}
+    picks_without = {values(x.upsert(frame([], schema), frame(rows, schema, n), ["key"]), "v")[0] for n in (1, 3, 7)}
+    assert len(picks) == 1 and len(picks_without) == 1
+
+
 def test_daily_quota_report(frame):
     history = frame([("a", 1, AT), ("a", 2, AT), ("b", 3, AT), ("d", 4, AT)], "user_id string, analysis_id long, timestamp timestamp_ntz")
     users = frame([("a", "Free", "user"), ("b", "Premium", "user")], "email string, subscription string, role string")
     got = values(x.daily_quota(history, users), "user_id", "runs", "allowed", "remaining")
-    assert got == [("a", 2, False, 0), ("b", 1, True, None), ("d", 1, True, 1)]
+    assert got == [("a", 2, False, 0), ("b", 1, True, None), ("d", 1, False, 0)]
 
 
 def test_typed_csv(spark, frame, tmp_path):
@@ -108,6 +136,9 @@ def test_whole_run(store, frame):
     people = frame([(i, f"n{i}", "DE", 20 + i % 50) for i in range(60)], "client_no long, nm string, land string, yrs long")
     tx = frame([(i % 60, f"2024-01-{i % 28 + 1:02d}", str(5.0 + i * 7 % 97)) for i in range(600)], "client_no long, happened string, paid string")
     quick = {"settings": None, "selector_trees": 5, "selector_depth": 3}
+    roles = ({"customer_id": "client_no"}, {"customer_id": "client_no", "date": "happened", "amount": "paid"})
+    assert not run_analysis(store, "a@x.eu", people, tx, *roles, at=dt.datetime(2024, 2, 1), training=quick).allowed  # no account
+    store.upsert_users(frame([("a@x.eu", "Free", "user", AT)], "email string, subscription string, role string, created_at timestamp_ntz"))
     out = run_analysis(
         store, "a@x.eu", people, tx,
         {"customer_id": "client_no", "customer_name": "nm", "location": "land", "age": "yrs"},

@@ -9,6 +9,7 @@ from patronage.operators import cleaning as c
 from patronage.operators import mapping as m
 from patronage.operators import reports as r
 from patronage.operators import screening
+from patronage.operators.rollups import customer_rollup
 from patronage.plans import dashboard as board
 from tests.conftest import values
 
@@ -168,3 +169,17 @@ def test_latest_run_and_dashboard(frame):
     charts = board.charts(ready)
     assert charts["kpis"].first()["churn_rate"] == 100.0
     assert charts["revenue_by_month"].first()["month"] == "2024-01"
+
+
+def test_small_amounts_are_added(frame):
+    rows = [(1, 1e-7), (1, 2e-7), (2, 1e12), (2, 0.1), (2, 0.2), (3, None)]
+    df = frame(rows, "customer_id long, amount double")
+    got = {r.customer_id: r.total_amount for r in customer_rollup(df).collect()}
+    assert got[1] == pytest.approx(3e-7, rel=1e-12) and got[2] == 1e12 + 0.3 and got[3] == 0.0
+
+
+def test_nested_columns_are_reported(frame):
+    df = frame([(1, [1.0, 2.0], {"a": 1}), (2, None, None)], "customer_id long, vector array<double>, props map<string,int>")
+    stats = m.column_stats(df)
+    assert list(stats) == df.columns and [m.semantic_type(n, s) for n, s in stats.items()][1:] == ["unknown", "unknown"]
+    assert stats["vector"].rows == 1 and not {"vector", "props"} & set(m.auto_map(df, "customer_id").values())
