@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from patronage.operators import runs as x
 from patronage.plans import dashboard as board
-from patronage.queries.base import DASHBOARD, RUNS, dashboard, query, rounded, run_tables, table
-from patronage.session import path_exists, scratch_path, scratch_root
+from patronage.plans.run import run_analysis
+from patronage.queries.base import DASHBOARD, RUNS, customers, dashboard, query, rounded, run_tables, table, transactions
+from patronage.session import materialize, path_exists, scratch_path, scratch_root
 from patronage.sources.store import RunStore
 
 HISTORY = "user_id, analysis_id, total_customers, high_risk_customers, total_predicted_revenue, avg_predicted_revenue, analysis_summary"
@@ -185,6 +186,68 @@ def x8(spark, folder):
     return rows.select(*dashboard_columns())
 
 
+TILES = f"""{DASHBOARD}, mine AS (SELECT * REPLACE (coalesce(country, 'Unknown') AS country, coalesce(revenue_segment, 'Unknown') AS revenue_segment)
+  FROM dashboard WHERE user_id = 'HOUSEHOLD' AND analysis_id = (SELECT max(analysis_id) FROM dashboard WHERE user_id = 'HOUSEHOLD')
+  AND last_purchase_date IS NOT NULL),
+months AS (SELECT date_trunc('month', last_purchase_date) AS month, sum(total_revenue) AS v FROM mine GROUP BY 1),
+spine AS (SELECT unnest(generate_series((SELECT min(month) FROM months), (SELECT max(month) FROM months), INTERVAL 1 MONTH)) AS month),
+tiles AS (SELECT 'kpis' AS chart, 'total_revenue' AS label, sum(total_revenue) AS value FROM mine
+  UNION ALL SELECT 'kpis', 'total_customers', count(DISTINCT customer_id) FROM mine
+  UNION ALL SELECT 'kpis', 'high_risk_customers', count(*) FILTER (risk_level = 'High Risk') FROM mine
+  UNION ALL SELECT 'kpis', 'churn_rate', count(*) FILTER (risk_level = 'High Risk') / count(DISTINCT customer_id) * 100 FROM mine
+  UNION ALL SELECT 'risk_levels', risk_level, count(*) FROM mine GROUP BY risk_level
+  UNION ALL SELECT 'revenue_by_segment', revenue_segment, sum(total_revenue) FROM mine GROUP BY revenue_segment
+  UNION ALL SELECT 'revenue_by_month', strftime(spine.month, '%Y-%m'), coalesce(v, 0) FROM spine LEFT JOIN months USING (month)
+  UNION ALL SELECT * FROM (SELECT 'top_countries', country, sum(total_revenue) AS v FROM mine GROUP BY country ORDER BY v DESC, country LIMIT 10))"""
+
+
+@query("x8_dashboard_charts", f"WITH {TILES} SELECT chart, label, round(CAST(value AS DOUBLE), 4) AS value FROM tiles")
+def x8_charts(spark, folder):
+    """The whole dashboard of one tenant: latest run, null fills, date filter, tiles and charts."""
+    users = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("email")).distinct()
+    rows = materialize(board.prepare(board.latest_rows(dashboard(spark, folder), users, "HOUSEHOLD")), "dashboard")
+    charts = board.charts(board.filtered(rows))
+    names = {"risk_levels": "risk_level", "revenue_by_segment": "revenue_segment", "revenue_by_month": "month", "top_countries": "country"}
+    kpis = charts["kpis"]
+    parts = [kpis.select(F.lit("kpis").alias("chart"), F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in kpis.columns]
+    for chart, label in names.items():
+        value = next(c for c in charts[chart].columns if c != label)
+        parts.append(charts[chart].select(F.lit(chart).alias("chart"), F.col(label).alias("label"), F.col(value).cast("double").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out, value=4)
+
+
+@query(
+    "x1_whole_run",
+    """SELECT CAST(o_custkey AS VARCHAR) AS customer_id, round(sum(o_totalprice), 2) AS total_spent, count(*) AS transaction_count,
+    true AS churn_scored, true AS revenue_predicted FROM orders GROUP BY o_custkey""",
+)
+def x1_whole_run(spark, folder):
+    """Mapping, completion, joins, both models, store and retention in one stored run, read back from the store.
+
+    The forests are the default ones; ``l3`` and ``l4`` run the searches.
+    """
+    store = RunStore(spark, scratch_path(spark, "whole-run"))
+    at = dt.datetime(2001, 8, 2)
+    account = [("a@x.eu", "Premium", "user", at)]
+    store.upsert_users(spark.createDataFrame(account, "email string, subscription string, role string, created_at timestamp_ntz"))
+    people = customers(spark, folder).select(F.col("customer_id").alias("client"), F.col("customer_name").alias("who"), F.col("country").alias("land"))
+    sales = transactions(spark, folder).select(F.col("customer_id").alias("client"), F.col("date").alias("day"), F.col("amount").alias("paid"))
+    done = run_analysis(
+        store, "a@x.eu", people, sales, {"customer_id": "client", "customer_name": "who", "location": "land"},
+        {"customer_id": "client", "date": "day", "amount": "paid"}, at, training={"settings": None},
+    )
+    children = store.details("a@x.eu", done.analysis_id)
+    scored = children["churn_data"].select("customer_id", F.col("churn_probability").between(0, 1).alias("churn_scored"))
+    predicted = children["revenue_data"].select("customer_id", (F.col("predicted_revenue") >= 0).alias("revenue_predicted"))
+    rows = children["customer_data"].select(
+        "customer_id", F.col("total_spent").cast("double").alias("total_spent"), F.col("transaction_count").cast("long").alias("transaction_count")
+    )
+    return rows.join(scored, "customer_id", "left").join(predicted, "customer_id", "left")
+
+
 def dashboard_columns():
     return ["analysis_id", "user_id", "customer_id", "customer_name", "age", "gender", "country", "total_revenue",
             "predicted_revenue", "churn_probability", "risk_level", "revenue_segment", "transaction_count",
