@@ -7,6 +7,7 @@ the SQL text that must give the same rows. SQL texts start from the shared
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,7 +19,7 @@ from patronage.operators.revenue import value_segments
 from patronage.operators.rollups import exact_total
 from patronage.operators.runs import run_totals
 from patronage.plans.analysis import score_customers, segment_customers
-from patronage.session import materialize
+from patronage.session import materialize_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,14 +146,18 @@ def run_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_tables(spark: SparkSession, folder: str, segments: bool = False) -> dict[str, DataFrame]:
     """History, churn, revenue and customer tables of all tenants and runs."""
-    rows = run_rows(spark, folder)
     key = ["user_id", "analysis_id"]
-    tops = rows.groupBy(*key).agg(
-        F.max("days_since_last_purchase").alias("xr"), F.max("transaction_count").alias("xf"),
-        F.min("transaction_count").alias("nf"), F.max("total_amount").alias("xm"),
-    )
-    # One written table feeds every result, as the stored tables of a run would.
-    wide = materialize(rows.join(tops, key), "run-rows")
+
+    def make():
+        rows = run_rows(spark, folder)
+        tops = rows.groupBy(*key).agg(
+            F.max("days_since_last_purchase").alias("xr"), F.max("transaction_count").alias("xf"),
+            F.min("transaction_count").alias("nf"), F.max("total_amount").alias("xm"),
+        )
+        return rows.join(tops, key)
+
+    # One written table feeds every result, as the stored tables of a run would; it is written once per session.
+    wide = materialize_once(spark, f"run-rows-{zlib.crc32(folder.encode()):08x}", make)
     p = (
         F.lit(WEIGHTS["recency_days"]) * F.col("days_since_last_purchase") / F.col("xr")
         + F.lit(WEIGHTS["frequency"]) * (1 - F.col("transaction_count") / F.col("xf"))

@@ -64,6 +64,18 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_once(spark: SparkSession, name: str, make) -> DataFrame:
+    """The frame that ``make()`` gives, written at its first use in this application and read back from then on.
+
+    Spark's success mark tells a finished stage from one whose writer died;
+    the latter is written anew.
+    """
+    path = f"{scratch_root(spark)}/once/{name}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove a folder on whatever file system ``path`` names."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
