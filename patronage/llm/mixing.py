@@ -108,10 +108,11 @@ def mix(
     plan = materialize(plan.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
     cuts = _cuts(items, plan.where("extra > 0"))
     plan = materialize(plan.join(cuts, plan["_source"].eqNullSafe(cuts["_s"]), "left").drop("_s", "extra", "weight"), "mix-plan")
+    plan = plan.withColumnRenamed("whole", "_whole")
     out = sized.join(plan, sized[source].eqNullSafe(plan["_source"]), "left")
     more = (F.col("_place") <= F.coalesce("_cut", F.lit(-1))).cast("long")
-    out = out.withColumn("repeats", F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0).cast("long"))
-    return out.withColumn("taken", F.col("repeats") * F.col("size")).drop("_place", "_source", "whole", "_cut")
+    out = out.withColumn("repeats", F.when(F.col("size") > 0, F.col("_whole") + more).otherwise(0).cast("long"))
+    return out.withColumn("taken", F.col("repeats") * F.col("size")).drop("_place", "_source", "_whole", "_cut")
 
 
 def expand(mixed: DataFrame) -> DataFrame:

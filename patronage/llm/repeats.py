@@ -206,7 +206,7 @@ def _named(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     numeric = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     number = F.coalesce(F.col(key).cast("long"), F.xxhash64(whole)) if numeric else F.xxhash64(F.col(key).cast("string"), whole)
-    return {"_d": number, "_c": F.crc32(whole.cast("binary")), "_t": whole}
+    return {"_rep_d": number, "_rep_c": F.crc32(whole.cast("binary")), "_rep_t": whole}
 
 
 def _scan(length: int, full: bool):
@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     Spans come unmerged and in no order; null where there are none. See ``remove_repeats``.
     """
     named = docs.withColumns(_named(docs, key, text))
-    slim = named.select("_d", "_c", "_t").where(F.octet_length("_t") >= length)
+    slim = named.select("_rep_d", "_rep_c", "_rep_t").where(F.octet_length("_rep_t") >= length)
     routes = slim.mapInArrow(_scan(length, False), "route long").groupBy("route").agg(F.count("*").alias("c"))
     routes = materialize(routes.where("c > 1").select("route"), "routes")
     found = slim.mapInArrow(_scan(length, True), "d long, c long, route long, digest long, at long, starts int")
@@ -281,8 +281,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     hot = reps.groupBy("route").agg(F.sum(size).alias("b")).where(F.col("b") > ROUTE_BYTES).select("route", F.lit(True).alias("hot"))
     wanted = reps.join(hot.hint("merge"), "route", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = wanted.groupBy("d", "c").agg(F.collect_list(F.struct("route", "digest", "n", "hot", "at", "starts")).alias("wanted"))
-    same = (F.col("_d") == F.col("d")) & (F.col("_c") == F.col("c"))
-    cut = slim.join(wanted.hint("merge"), same).select("_t", "wanted").mapInArrow(
+    wanted = wanted.withColumnsRenamed({"d": "_rep_dx", "c": "_rep_cx"})
+    same = (F.col("_rep_d") == F.col("_rep_dx")) & (F.col("_rep_c") == F.col("_rep_cx"))
+    cut = slim.join(wanted.hint("merge"), same).select("_rep_t", "wanted").mapInArrow(
         _cut_out(length), "route long, digest long, n long, hot boolean, bytes binary"
     )
     cut = materialize(cut, "segment-bytes")
@@ -301,8 +302,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = materialize(spans.union(single), "spans")
     at = F.col("at").cast("int")
     marks = found.join(spans.hint("merge"), ["route", "digest"]).select("d", "c", F.transform("spans", lambda x: x + at).alias("s"))
-    marks = marks.groupBy("d", "c").agg(F.flatten(F.collect_set("s")).alias("spans"))
-    return named.drop("spans").join(marks.hint("merge"), same, "left").drop("_d", "_c", "_t", "d", "c")
+    marks = marks.groupBy(F.col("d").alias("_rep_dx"), F.col("c").alias("_rep_cx")).agg(F.flatten(F.collect_set("s")).alias("spans"))
+    return named.drop("spans").join(marks.hint("merge"), same, "left").drop("_rep_d", "_rep_c", "_rep_t", "_rep_dx", "_rep_cx")
 
 
 def merged(spans: list[int] | None) -> np.ndarray:

@@ -167,8 +167,8 @@ def test_repeated_strings(frame, monkeypatch, route, bucket, chunk):
     monkeypatch.setattr(repeats, "ROUTE_BYTES", route)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)
     texts = repetitive(random.Random(9))
-    rows = [(i if i % 7 else None, t, i, b"x", "y") for i, t in enumerate(texts)]
-    df = frame(rows, "doc_id long, text string, n long, kept binary, spans string", 4)
+    rows = [(i if i % 7 else None, t, i, b"x", "y", 1, 2, 3) for i, t in enumerate(texts)]
+    df = frame(rows, "doc_id long, text string, n long, kept binary, spans string, d int, c int, route int", 4)
     if chunk != 1 << 20:  # the workers read the module: check the cut of one text here
         monkeypatch.setattr(repeats, "CHUNK", chunk)
         for t in texts:
@@ -176,13 +176,14 @@ def test_repeated_strings(frame, monkeypatch, route, bucket, chunk):
             assert first.tolist() == (np.cumsum(count) - count).tolist() and count.sum() == max(0, len((t or "").encode()) - 199)
         return
     out = {r.n: r for r in repeats.remove_repeats(df.drop("spans")).collect()}
+    assert {(r.d, r.c, r.route) for r in out.values()} == {(1, 2, 3)}
     got = [(out[i].n_bytes, out[i].n_removed, out[i].n_spans, hashlib.sha256(bytes(out[i].kept)).hexdigest()) for i in range(len(texts))]
     assert got == brute_repeats(texts, 200)
     assert all(set(out[i].kept_text) <= set(t or "") for i, t in enumerate(texts))
 
 
 def test_repeats_in_odd_tables(frame):
-    df = frame([(1, "q" * 200), (1, "q" * 200), (2, "r" * 200)], "doc_id string, text string")
+    df = frame([("1", "q" * 200), ("1", "q" * 200), ("2", "r" * 200)], "doc_id string, text string")
     assert sorted((r.doc_id, r.n_removed) for r in repeats.remove_repeats(df).collect()) == [("1", 200), ("1", 200), ("2", 0)]
     assert repeats.remove_repeats(df.where("doc_id = '9'")).count() == 0
 
@@ -199,7 +200,7 @@ def test_mix_reaches_its_targets(frame):
     sizes = {"a": 400, "b": 30, "c": 60, "d": 5, "é": 80, None: 20}
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     rows += [(10**6, None, "a"), (10**6, None, "a"), (None, "x y z", "b"), (None, "x y", "b")]
-    df = frame([(*r, -1) for r in rows], "doc_id long, text string, source string, size int")
+    df = frame([(*r, -1, 7, 8, 9) for r in rows], "doc_id long, text string, source string, size int, whole int, weight int, extra int")
     out = mixing.mix(df, (5, 2, 1), 1.5).collect()
     assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(df.repartition(9), (5, 2, 1), 1.5).collect()))
     total = sum(len((t or "").split()) for _, t, _ in rows)
