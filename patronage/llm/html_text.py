@@ -39,9 +39,9 @@ ASIDE_TAGS = {
     "audio", "video", "head", "fieldset", "datalist",
 }
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
-#: Words of class and id that mark such elements: always, or only where no content word stands beside them.
+#: Words of class and id that mark such elements: always, or only where no content class stands beside them.
 ASIDE_WORDS = {
-    "ad", "ads", "adsense", "advert", "advertisement", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu",
+    "ad", "ads", "adsense", "advert", "adverts", "advertising", "advertisement", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu",
     "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments", "replies", "disqus", "respond", "cookie", "cookies",
     "consent", "gdpr", "newsletter", "subscribe", "signup", "related", "recommended", "share", "sharing", "social", "pagination",
     "pager", "popup", "modal", "toolbar",
@@ -49,6 +49,8 @@ ASIDE_WORDS = {
 WEAK_WORDS = {"header", "sidebar", "notice", "banner", "widget", "search", "login", "form", "copyright", "legal", "disclaimer", "aside"}
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body"}
 NEVER_ASIDE = {"html", "body", "article", "main"}
+#: An article element of such a class is a reader's, not the page's.
+READER_WORDS = {"comment", "comments", "reply", "replies"}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
@@ -69,7 +71,7 @@ class Block:
     words: list[str] = field(default_factory=list)
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+def _is_aside(tag: str, attributes: str, in_article: bool, by_class: bool) -> tuple[bool, bool]:
     """Whether an element is beside the text, and whether it is the text's own container."""
     if tag in ASIDE_TAGS or tag == "header" and not in_article:
         return True, False
@@ -77,6 +79,7 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False, own
     words: set[str] = set()
+    classes: set[str] = set()
     for name, a, b, c, hidden in _NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -90,15 +93,21 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         elif name in ("class", "id"):
             for one in value.split():
                 if not one.startswith(("has-", "with-", "no-", "js-")):
+                    classes.add(one)
                     words.update(_PARTS.findall(one))
-    if tag in NEVER_ASIDE:
-        return False, own
-    weak = words & WEAK_WORDS and not words & CONTENT_WORDS and not in_article
-    return bool(words & ASIDE_WORDS or weak or "sidebar" in words and in_article), own
+    if tag in NEVER_ASIDE or not by_class:
+        reader = by_class and tag == "article" and bool(words & READER_WORDS)
+        return reader, own and not reader
+    weak = words & (WEAK_WORDS - {"header"} if in_article else WEAK_WORDS) and not classes & CONTENT_WORDS
+    return bool(words & ASIDE_WORDS or weak), own
+
 
+def blocks(page: str, by_class: bool = True) -> list[Block]:
+    """The page's blocks of text in order; broken markup is read as far as it can be.
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order; broken markup is read as far as it can be."""
+    ``by_class`` lets class and id say what stands beside the text; without
+    it only elements and roles do.
+    """
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # open elements that are not inline: tag, aside, article
     text: list[str] = []
@@ -167,7 +176,7 @@ def blocks(page: str) -> list[Block]:
         while tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "section", "article", "table") and stack and stack[-1][0] == "p":
             stack.pop()
         _, aside, article = stack[-1] if stack else ("", False, 0)
-        beside, own = _is_aside(tag, attributes, bool(article))
+        beside, own = _is_aside(tag, attributes, bool(article), by_class)
         if own and not article and not aside:
             articles += 1
             article = articles
@@ -238,10 +247,18 @@ def _inherit(found: list[Block], places: list[int], in_article: bool) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The good blocks, joined by an empty line; empty for a null or empty page."""
-    found = blocks(page or "")
-    classify(found)
-    return "\n\n".join(b.text for b in found if b.label == "good")
+    """The good blocks, joined by an empty line; empty for a null or empty page.
+
+    Where class names leave nothing, as when they stand on what holds the
+    whole page, they are not heeded.
+    """
+    for by_class in (True, False):
+        found = blocks(page or "", by_class)
+        classify(found)
+        good = [b.text for b in found if b.label == "good"]
+        if good:
+            break
+    return "\n\n".join(good)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -26,6 +26,14 @@ def test_page_without_an_article_element():
     assert html_text.main_text(page(body)) == "\n\n".join([(PROSE * 2).strip(), "Brief.", (PROSE * 2).strip()])
 
 
+def test_readers_and_notices():
+    inside = f'<article><p>{PROSE * 2}</p><div class="post-notice"><p>{PROSE * 2}</p></div><div class="right-sidebar">{PROSE * 2}</div></article>'
+    readers = f'<article class="comment"><p>{PROSE * 2}</p></article><section id="comments"><article><p>{PROSE * 2}</p></article></section>'
+    assert html_text.main_text(page(inside, after=readers)) == (PROSE * 2).strip()
+    whole = f'<div class="fixed-header"><article><p>{PROSE * 2}</p></article><footer>{PROSE * 2}</footer></div>'
+    assert html_text.main_text(page(whole)) == (PROSE * 2).strip()
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("<", "") , ("<article>x", "x"), ("<article><p>a < b & c &bogus; &#65;</p>", "a < b & c &bogus; A"),
     ('<article><p title="unclosed>tail</p></article>', "tail"), ("<article>one<br>two<br><br>three</article>", "one two\n\nthree"),
