@@ -18,7 +18,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.session import materialize
@@ -70,10 +72,20 @@ def _placed(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> Dat
     )
     order = ["conv", "turn", "role", "tie"]
     ranged = rows.withColumn("tie", F.md5(F.col("text").cast("binary"))).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumns({"range": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    rows = materialize(ranged.drop("tie"), "turns")
-    upto = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, place, inside = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            tokens = batch.column(4).to_numpy()
+            ends = inside + np.cumsum(tokens)
+            added = [np.full(len(tokens), here), place + np.arange(len(tokens)), ends - tokens]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in added)], names=names)
+            place, inside = place + len(tokens), int(ends[-1]) if len(ends) else inside
+
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    names = [*rows.columns, "range", "place", "inside"]
+    numbers = ", ".join([*columns, "range long", "place long", "inside long"])
+    rows = materialize(ranged.drop("tie").mapInArrow(numbered, numbers), "turns")
     sizes = rows.groupBy("range").agg(F.count("*").alias("n"), F.sum("tokens").alias("s"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     sizes = sizes.select("range", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in ("n", "s")])
