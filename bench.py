@@ -46,7 +46,8 @@ def main() -> None:
         seconds[name] = round(min(runs), 3)
     spark.stop()
     print(json.dumps({
-        "metric": "headline queries, warm, summed", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline queries, warm, summed", "value": round(sum(seconds[n] for n in HEADLINE), 3), "unit": "sec",
+        "text_queries_sum": round(sum(seconds[n] for n in texts), 3),
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }))
 
