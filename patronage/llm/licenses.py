@@ -2,7 +2,7 @@
 
 The index lists, for the rarest words of each template's key phrase (by
 document frequency over the corpus), the templates and places that have them.
-A file looks up the rarest of these words that it has, every meeting of word
+A file looks up every one of these words that it has, every meeting of word
 and posting proposes that a template lies at one offset, and equal proposals
 are one. At each proposed place the template's words are compared, weighed by
 rarity; a notice counts if enough of them are there and its key phrase is
@@ -43,9 +43,10 @@ TEMPLATES = (
 )
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Words of a key phrase that are indexed, indexed words that a file looks up at most, and the weighed share of a
-#: template that must be there.
-INDEXED, RARE_WORDS, MATCH = 2, 16, 0.6
+#: Words of a key phrase that are indexed, and the weighed share of a template that must be there.
+INDEXED, MATCH = 2, 0.6
+#: Indexed words of a file that ``scan_sql`` looks up at most; ``scan`` looks up all, so they differ on files with more.
+SQL_WORDS = 16
 
 VOCABULARY = sorted({w for _, _, text in TEMPLATES for w in text.split()} | {w for p, _ in PHRASES for w in p.split()})
 
@@ -74,24 +75,18 @@ def _index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _alignments(hits: Column, index: dict[str, list[tuple[int, int]]], idf: dict[str, float]) -> Column:
-    """Distinct (template, offset) proposed by the rarest indexed words of a file."""
+def _alignments(hits: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """Distinct (template, offset) proposed by the indexed words of a file, however many it has."""
     entries = F.array(*[
-        F.struct(
-            F.lit(w).alias("w"), F.lit(-idf[w]).alias("r"),
-            F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places]).alias("places"),
-        ) for w, places in sorted(index.items())
+        F.struct(F.lit(w).alias("w"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("at")) for t, at in places]).alias("places"))
+        for w, places in sorted(index.items())
     ])
     indexed = F.filter(hits, lambda h: h["w"].isin(list(index)))
-    propose = lambda found: let(F.array_distinct(F.transform(found, lambda h: h["w"])), lambda present: let(
-        F.slice(F.array_sort(F.transform(
-            F.filter(entries, lambda e: F.array_contains(present, e["w"])),
-            lambda e: F.struct(e["r"].alias("r"), e["w"].alias("w"), e["places"].alias("places")),
-        )), 1, RARE_WORDS),
-        lambda rare: F.array_distinct(F.flatten(F.transform(rare, lambda e: F.flatten(F.transform(
+    propose = lambda found: let(F.array_distinct(F.transform(found, lambda h: h["w"])), lambda present: F.array_distinct(
+        F.flatten(F.transform(F.filter(entries, lambda e: F.array_contains(present, e["w"])), lambda e: F.flatten(F.transform(
             F.filter(found, lambda h: h["w"] == e["w"]),
             lambda h: F.transform(e["places"], lambda p: F.struct(p["t"].alias("t"), (h["at"] - p["at"]).alias("off"))),
-        ))))),
+        )))),
     ))
     return let(indexed, lambda found: F.when(F.size(found) > 0, propose(found)).otherwise(F.array().cast("array<struct<t:int,off:int>>")))
 
@@ -153,7 +148,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return let(hits, lambda hits: F.struct(
             F.size(words).alias("n"), F.filter(F.transform(hits, phrases), lambda x: x["label"].isNotNull()).alias("base"),
-            let(_alignments(hits, index, idf), lambda a: _verified(words, a, idf)).alias("notices"),
+            let(_alignments(hits, index), lambda a: _verified(words, a, idf)).alias("notices"),
         ))
 
     marked = docs.withColumn("_found", let(license_words(F.col(text)), found))
@@ -193,7 +188,7 @@ keys AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY idf DESC, w) AS
 indexed AS (SELECT x.* FROM templates x JOIN keys k ON k.t = x.t AND k.w = x.w AND k.r <= {INDEXED}),
 ranked AS (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, w) AS r
   FROM (SELECT DISTINCT rid, w FROM placed WHERE w IN (SELECT w FROM indexed)) JOIN weights USING (w)),
-aligned AS (SELECT DISTINCT p.rid, t.t, t.label, p.pos - t.pos AS off FROM placed p JOIN ranked r ON r.rid = p.rid AND r.w = p.w AND r.r <= {RARE_WORDS}
+aligned AS (SELECT DISTINCT p.rid, t.t, t.label, p.pos - t.pos AS off FROM placed p JOIN ranked r ON r.rid = p.rid AND r.w = p.w AND r.r <= {SQL_WORDS}
   JOIN indexed t ON t.w = p.w),
 scored AS (SELECT a.rid, a.label, sum(CASE WHEN p.w = t.w THEN idf ELSE 0 END) / sum(idf) AS score, bool_and(NOT t.key OR coalesce(p.w = t.w, false)) AS whole
   FROM aligned a JOIN templates t ON t.t = a.t JOIN weights v ON v.w = t.w LEFT JOIN placed p ON p.rid = a.rid AND p.pos = a.off + t.pos

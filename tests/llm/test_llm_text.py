@@ -110,6 +110,14 @@ def test_licences(frame):
     assert licenses.scan(df.where("doc_id > 99")).count() == 0
 
 
+def test_a_file_of_all_notices_has_every_label(frame):
+    notices = [text for _, _, text in licenses.TEMPLATES]
+    common = "mit license under the apache gnu cc by nc general public"  # the corpus's common words are looked up as well
+    df = frame([(0, " and\n".join(notices)), *((k, f"{common} {k}") for k in range(1, 40))], "doc_id int, text string")
+    row = licenses.scan(df).where("doc_id = 0").first()
+    assert row.labels.split(",") == sorted({label for label, _, _ in licenses.TEMPLATES} | {"cc-by", "gpl"}) and row.score == pytest.approx(1.0)
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
