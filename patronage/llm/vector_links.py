@@ -11,6 +11,11 @@ dense that no split divides it is taken out beforehand: around a centre,
 vectors within half the linking angle are all linked with each other, so their
 links are counted, not compared; they meet only those outside that a link can
 reach.
+
+The number of trees is measured on the fitted rows, not derived: trees are
+added until enough of the linked pairs among them, and of pairs planted just at
+the limit, have met. A loose group, which is no dense part, asks for more; if
+it asks for too many, leaves get larger, in the end one leaf with all pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +38,10 @@ FIT_ROWS, LEAF_ROWS, BLOCK_ROWS = 16_384, 1024, 2048
 CENTRE_ROWS, CENTRE_SHARE = 4096, 0.008
 #: Half the spill, in standard deviations of the distance that a split sees between two linked vectors.
 SPILL = 0.25
+#: With more trees than this, all are made with one split less from top to bottom.
 MOST_TREES = 64
+#: Pairs of each kind that trees are measured on, and fitted rows compared with all others at once to find them.
+PAIRS, PAIR_ROWS = 8192, 512
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -53,13 +61,63 @@ class Forest:
         sigma = math.sqrt(2 - 2 * cosine) / math.sqrt(d)
         self.spill = SPILL * sigma
         levels = max(0, min(math.ceil(math.log2(max(rows, 1) / LEAF_ROWS)), int(math.log2(max(1, len(sample) / 8)))))
-        # Chance that one split parts a pair at the limit: density at the split times the mean of what exceeds the spill.
-        z = 2 * SPILL
-        beyond = 2 * sigma * (math.exp(-z * z / 2) / math.sqrt(2 * math.pi) - z * 0.5 * math.erfc(z / math.sqrt(2)))
-        kept = max(0.02, 1 - beyond * math.sqrt(d) / math.sqrt(2 * math.pi)) ** levels
-        trees = 1 if levels == 0 else min(MOST_TREES, math.ceil(math.log(1 - recall) / math.log(1 - kept)) + 1)
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.trees = [self._split(sample, levels, rng) for _ in range(trees)]
+        self.trees, pairs = [], self._pairs(sample, rng) if levels else None
+        while not self.trees:
+            self.trees = self._grow(sample, levels, recall, pairs, rng) if levels else [None]
+            levels -= 1
+
+    def _grow(self, sample: np.ndarray, levels: int, recall: float, pairs: tuple, rng) -> list:
+        """Trees in which enough of the pairs meet, and one beyond what was measured; none if they are too many."""
+        left, right, weights = pairs
+        trees, missed = [], np.arange(len(left))
+        while len(trees) < MOST_TREES:
+            trees.append(self._split(sample, levels, rng))
+            met = np.zeros(len(left), bool)
+            self._meet(trees[-1], left, right, missed, met)
+            missed = missed[~met[missed]]
+            if (weights[:, missed].sum(1) <= (1 - recall) * weights.sum(1)).all():
+                return [*trees, self._split(sample, levels, rng)]
+        return []
+
+    def _pairs(self, x: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that trees must not part, and their weights in each measure, one measure a row.
+
+        Rows with a vector planted at the limit, towards another row; and rows
+        that have links with one of these at random, weighed by row and by the
+        row's links, which stands for all linked pairs.
+        """
+        rows, others, links = [], [], []
+        for start in range(0, len(x), PAIR_ROWS):
+            near = x[start : start + PAIR_ROWS] @ x.T >= math.cos(self.angle)
+            near[np.arange(len(near)), start + np.arange(len(near))] = False
+            for r in np.flatnonzero(near.any(1)):
+                found = np.flatnonzero(near[r])
+                rows.append(start + r)
+                others.append(found[rng.integers(len(found))])
+                links.append(len(found))
+        some = rng.permutation(len(rows))[:PAIRS]
+        rows, others, links = (np.array(v, np.int64)[some] for v in (rows, others, links))
+        origin, towards = x[rng.permutation(len(x))[:PAIRS]], x[rng.permutation(len(x))[:PAIRS]]
+        towards = towards - (towards * origin).sum(1, keepdims=True) * origin
+        sizes = np.linalg.norm(towards, axis=1)
+        origin, towards = origin[sizes > 1e-9], towards[sizes > 1e-9] / sizes[sizes > 1e-9, None]
+        planted = math.cos(self.angle) * origin + math.sin(self.angle) * towards
+        weights = np.zeros((3, len(planted) + len(rows)))
+        weights[0, : len(planted)], weights[1, len(planted) :], weights[2, len(planted) :] = 1, 1, links
+        return np.concatenate([origin, x[rows]]), np.concatenate([planted, x[others]]), weights
+
+    def _meet(self, node, a: np.ndarray, b: np.ndarray, pairs: np.ndarray, met: np.ndarray) -> None:
+        """Mark the ``pairs`` of rows of ``a`` and ``b`` that share a leaf under ``node``."""
+        if not len(pairs):
+            return
+        if node is None:
+            met[pairs] = True
+            return
+        direction, at, low, high = node
+        p, q = a[pairs] @ direction, b[pairs] @ direction
+        self._meet(low, a, b, pairs[np.maximum(p, q) <= at + self.spill], met)
+        self._meet(high, a, b, pairs[np.minimum(p, q) > at - self.spill], met)
 
     def _centres(self, x: np.ndarray) -> np.ndarray:
         """Means of groups within half the linking angle, largest first."""
@@ -100,25 +158,21 @@ class Forest:
         """The leaves of every vector, as numbers that rise with the tree."""
         out: list[list[int]] = [[] for _ in range(len(x))]
 
-        def down(node, rows: np.ndarray, path: int) -> None:
+        def down(node, rows: np.ndarray, k: int, path: int) -> None:
             if not len(rows):
                 return
             if node is None:
                 for r in rows:
-                    out[r].append(path)
+                    out[r].append((k << 40) | path)
                 return
             direction, at, low, high = node
             seen = x[rows] @ direction
-            down(low, rows[seen <= at + self.spill], path * 2)
-            down(high, rows[seen > at - self.spill], path * 2 + 1)
+            down(low, rows[seen <= at + self.spill], k, path * 2)
+            down(high, rows[seen > at - self.spill], k, path * 2 + 1)
 
         for k, tree in enumerate(self.trees):
-            down(tree, np.arange(len(x)), 1)
-            for one in out:
-                for i in range(len(one)):
-                    if one[i] > 0:  # new ones: mark them with their tree
-                        one[i] = -((k << 40) | one[i])
-        return [sorted(-v for v in one) for one in out]
+            down(tree, np.arange(len(x)), k, 1)
+        return [sorted(one) for one in out]
 
 
 def _link(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
@@ -139,6 +193,9 @@ def _compare(width: str, cosine: float):
         table = np.full((len(codes), max(map(len, codes))), -1, np.int64)
         for i, c in enumerate(codes):
             table[i, : len(c)] = c
+        values, table = np.unique(table, return_inverse=True)
+        table = table.reshape(len(codes), -1)
+        earlier = (values >= 0) & (values < cell)  # cells, where a pair may have met before
         near = _link(x, x, cosine)
         np.fill_diagonal(near, False)
         if not one_block:
@@ -146,10 +203,10 @@ def _compare(width: str, cosine: float):
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         for i in np.flatnonzero(near.any(1)):
             others = np.flatnonzero(near[i])
-            mine = np.array(codes[i])
-            shared = (table[others][:, :, None] == mine).any(1)
-            first = mine[shared.argmax(1)]
-            links[i] = copies[others[first == cell]].sum()
+            mine = np.zeros(len(values), bool)
+            mine[table[i]] = True
+            before = (mine & earlier)[table[others]].any(1)
+            links[i] = copies[others[~before]].sum()
             met = np.unique(np.append(label[others], label[i]))
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]

@@ -109,6 +109,39 @@ def test_vector_links(frame, monkeypatch, leaf, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out.values())
 
 
+@pytest.mark.parametrize("share, noise", [(1.0, 0.35), (1.0, 0.5), (1 / 3, 0.3)])
+def test_loose_groups_meet_in_the_forest(monkeypatch, share, noise):
+    """Recall on rows that were not fitted, where all or a third of the table shares a direction."""
+    monkeypatch.setattr(vector_links, "LEAF_ROWS", 64)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    group = centre / np.linalg.norm(centre) + noise * rng.standard_normal((int(8000 * share), 64)) / 8
+    x = rng.permutation(np.concatenate([group, rng.standard_normal((8000 - len(group), 64))]))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = vector_links.Forest(x[:4000], 8000, 0.9, 0.999)
+    assert not len(forest.centres) and forest.trees[0] is not None
+    met, leaves = np.zeros((4000, 4000), bool), defaultdict(list)
+    for i, cells in enumerate(forest.leaves(x[4000:])):
+        for c in cells:
+            leaves[c].append(i)
+    for rows in leaves.values():
+        met[np.ix_(rows, rows)] = True
+    near = np.triu(x[4000:] @ x[4000:].T >= 0.9, 1)
+    assert near.sum() > 1000 and (near & met).sum() >= 0.998 * near.sum()
+
+
+def test_more_trees_than_allowed_mean_larger_leaves(monkeypatch):
+    monkeypatch.setattr(vector_links, "LEAF_ROWS", 64)
+    monkeypatch.setattr(vector_links, "MOST_TREES", 3)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(64) / 8 + 0.4 * rng.standard_normal((2000, 64)) / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = vector_links.Forest(x, 2000, 0.9, 0.999)
+    cells = [set(c) for c in forest.leaves(x)]
+    near = [(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)), strict=True)]
+    assert len(forest.trees) <= 4 and sum(bool(cells[i] & cells[j]) for i, j in near) >= 0.998 * len(near) > 0
+
+
 def test_odd_vectors(frame):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1e-30, 0.0]), (4, [1e30, 0.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [inf, 1.0]),
