@@ -71,8 +71,11 @@ class Block:
     words: list[str] = field(default_factory=list)
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool, by_class: bool) -> tuple[bool, bool]:
-    """Whether an element is beside the text, and whether it is the text's own container."""
+def _is_aside(tag: str, attributes: str, in_article: bool, by_class: bool, by_content: bool) -> tuple[bool, bool]:
+    """Whether an element is beside the text, and whether it is the text's own container.
+
+    Inside an article an id counts as a whole only: it may be a heading's slug.
+    """
     if tag in ASIDE_TAGS or tag == "header" and not in_article:
         return True, False
     own = tag in ("article", "main")
@@ -94,7 +97,9 @@ def _is_aside(tag: str, attributes: str, in_article: bool, by_class: bool) -> tu
             for one in value.split():
                 if not one.startswith(("has-", "with-", "no-", "js-")):
                     classes.add(one)
-                    words.update(_PARTS.findall(one))
+                    parts = _PARTS.findall(one)
+                    words.update([one] if in_article and name == "id" else parts)
+                    own |= by_content and bool(parts) and CONTENT_WORDS.issuperset(parts) and tag not in ("html", "body")
     if tag in NEVER_ASIDE or not by_class:
         reader = by_class and tag == "article" and bool(words & READER_WORDS)
         return reader, own and not reader
@@ -105,9 +110,15 @@ def _is_aside(tag: str, attributes: str, in_article: bool, by_class: bool) -> tu
 def blocks(page: str, by_class: bool = True) -> list[Block]:
     """The page's blocks of text in order; broken markup is read as far as it can be.
 
-    ``by_class`` lets class and id say what stands beside the text; without
-    it only elements and roles do.
+    ``by_class`` lets class and id say what stands beside the text, and on a
+    page without an article also what holds it; without it only elements and
+    roles do.
     """
+    found = _blocks(page, by_class, False)
+    return _blocks(page, True, True) if by_class and not any(b.article for b in found) else found
+
+
+def _blocks(page: str, by_class: bool, by_content: bool) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # open elements that are not inline: tag, aside, article
     text: list[str] = []
@@ -176,7 +187,7 @@ def blocks(page: str, by_class: bool = True) -> list[Block]:
         while tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "ul", "ol", "section", "article", "table") and stack and stack[-1][0] == "p":
             stack.pop()
         _, aside, article = stack[-1] if stack else ("", False, 0)
-        beside, own = _is_aside(tag, attributes, bool(article), by_class)
+        beside, own = _is_aside(tag, attributes, bool(article), by_class, by_content)
         if own and not article and not aside:
             articles += 1
             article = articles
@@ -215,7 +226,7 @@ def classify(found: list[Block]) -> None:
     for i, b in enumerate(found):
         by_article.setdefault(b.article, []).append(i)
     for article, places in by_article.items():
-        _inherit(found, [i for i in places if not found[i].aside] if article else places, bool(article))
+        _inherit(found, [i for i in places if not found[i].aside], bool(article))
 
 
 def _inherit(found: list[Block], places: list[int], in_article: bool) -> None:

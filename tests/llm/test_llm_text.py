@@ -34,6 +34,20 @@ def test_readers_and_notices():
     assert html_text.main_text(page(whole)) == (PROSE * 2).strip()
 
 
+@pytest.mark.parametrize("slug", ["related-work", "share-prices", "navigation-in-birds", "legal-history"])
+def test_slugs_of_headings_are_no_class_names(slug):
+    inside = f'<article><p>{PROSE * 2}</p><section id="{slug}"><h2 id="{slug}-2">Of it</h2><p>{PROSE * 3}</p></section><div id="comments">{PROSE * 2}</div></article>'
+    assert html_text.main_text(page(inside)) == "\n\n".join([(PROSE * 2).strip(), "Of it", (PROSE * 3).strip()])
+
+
+@pytest.mark.parametrize("around, heading", [("<div>{}</div>", False), ("<div class='content'><h2>Of it</h2>{}</div>", True), ("<div id='post-body'><h2>Of it</h2>{}</div>", True)])
+def test_middling_paragraphs_without_an_article(around, heading):
+    nav, footer = '<nav><a href="/">Home</a></nav>', f"<footer>{PROSE}</footer>"
+    assert html_text.SHORT < len(PROSE.strip()) < html_text.LONG
+    text = html_text.main_text(page(around.format(f"<p>{PROSE}</p>" * 3), nav, footer))
+    assert text == "\n\n".join(["Of it"] * heading + [PROSE.strip()] * 3)
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("<", "") , ("<article>x", "x"), ("<article><p>a < b & c &bogus; &#65;</p>", "a < b & c &bogus; A"),
     ('<article><p title="unclosed>tail</p></article>', "tail"), ("<article>one<br>two<br><br>three</article>", "one two\n\nthree"),
