@@ -119,3 +119,13 @@ def test_stages_take_odd_rows(spark, frame):
         assert part.count() >= 0
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, odd, FOLDER).count() >= 0, name
+
+
+def test_near_copies_of_rows_that_share_a_number(spark, frame):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, texts["a"]), (5, texts["a"]), (5, texts["b"]), (5, texts["c"]), (5, texts["c"]), (-2, texts["c"] + "  "), (None, texts["d"]), (None, texts["d"]),
+            (None, texts["b"]), (7, None), (7, None), (None, " "), (None, " ")]
+    df = frame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_copies(spark, df, FOLDER).collect()
+    want = [(1, texts["a"]), (5, texts["b"]), (-2, texts["c"] + "  "), (None, texts["d"]), (7, None), (None, " "), (None, " ")]
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
