@@ -8,6 +8,7 @@ from patronage.operators import models as m
 from patronage.operators.features import CHURN_FEATURES, REVENUE_FEATURES, feature_matrix, rfm_features, value_features
 from patronage.operators import churn, revenue
 from patronage.operators.rollups import customer_rollup
+from patronage.operators.selection import with_row_index
 from patronage.plans import analysis
 from patronage.queries.base import AS_OF, CHURN, customers, query, rounded, scored, table, transactions
 from patronage.session import materialize
@@ -187,17 +188,20 @@ def l12(spark, folder):
     return m.model_run(df, "EnhancedRandomForest", fitted.used, m.evaluate_churn(fitted))
 
 
+def rank_auc(t):
+    """One row ``auc`` from the middle ranks of the rows with ``y`` = 1 along ``p``; rows are numbered range by range."""
+    ranked = with_row_index(t.select("y", "p"), [F.col("p")], "rank", 1)
+    at = ranked.groupBy("p").agg(F.avg("rank").alias("middle"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return at.agg(F.expr("(sum(pos * middle) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * sum(neg))").alias("auc"))
+
+
 @query("l12_metrics_agree", "SELECT true AS accuracy, true AS recall, true AS roc_auc")
 def l12_agree(spark, folder):
     """The stated metrics against plain formulas over the stored test predictions."""
     _, fitted = churn_model(spark, folder)
     stated = m.evaluate_churn(fitted)
     t = materialize(m.score_churn(fitted, fitted.test).selectExpr("churn_label AS y", "prediction AS g", "churn_probability_final AS p"), "test-scores")
-    at = t.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = at.alias("a").join(at.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p", "a.pos", "a.neg").agg(
-        F.coalesce(F.sum("b.neg"), F.lit(0)).alias("under")
-    )  # scores of one forest: few distinct values
-    auc = below.agg((F.sum(F.expr("pos * (under + neg / 2)")) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    auc = rank_auc(t)
     near = lambda c, k: F.abs(c - F.lit(float(stated[k]))) < 1e-9
     plain = t.agg(
         near(F.avg((F.col("y") == F.col("g")).cast("double")), "accuracy").alias("accuracy"),

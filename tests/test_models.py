@@ -108,3 +108,18 @@ def test_analysis_numbers_rows_without_ids(frame):
     df = rolled(frame, 30).drop("customer_id")
     out, _ = analysis.analyze_churn(df, "2024-01-31", order_by=[F.col("total_amount"), F.col("days_since_last_purchase")], **QUICK)
     assert values(out, "customer_id") == sorted([(i,) for i in range(1, 31)], key=repr)
+
+
+def test_plain_auc_compares_no_pairs_of_scores(frame):
+    import random
+
+    from patronage.queries.models import rank_auc
+
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 1), round(rng.random(), 3)) for _ in range(800)]
+    out = rank_auc(frame(rows, "y int, p double"))
+    wins = sum((a > b) + (a == b) / 2 for y, a in rows if y for z, b in rows if not z)
+    pos = sum(y for y, _ in rows)
+    assert out.first()["auc"] == pytest.approx(wins / (pos * (len(rows) - pos)), abs=1e-12)
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
