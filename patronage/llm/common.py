@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -36,6 +36,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(name: str, df: DataFrame, taken: Iterable[str] = ()) -> str:
+    """``name``, lengthened until it is no column of ``df`` and none of ``taken``, in whatever case."""
+    used = {c.lower() for c in [*df.columns, *taken]}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

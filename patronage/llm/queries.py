@@ -6,10 +6,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import bpe, chat, html_text, language, licenses, mixing, ngram_join, quality, repeats, vector_links
+from patronage.llm import (
+    bpe, chat, divergence, html_text, language, licenses, mixing, ngram_join, quality, rank_bpe, repeats, vector_links, whitening,
+)
 from patronage.llm.common import QUERIES, SQL, query, table  # noqa: F401
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, MERGES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
@@ -126,3 +128,25 @@ def chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return licenses.scan(docs).withColumn("score", F.round("score", 6)).drop("text")
+
+
+@query("op11_whitening")
+def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors).select(
+        "vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error"
+    )
+
+
+@query("op12_rank_bpe")
+def rank_array_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return rank_bpe.round_trip(docs, public_tokenizers.path(MERGES)).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), rank_bpe.id_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_source_divergence", divergence.audit_sql())
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
