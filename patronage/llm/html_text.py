@@ -1,10 +1,17 @@
 """Main text of web pages by two passes of block rules.
 
 A page becomes blocks of text with their length, stop-word density, link
-density and place. The first pass calls a block good or bad where the rules
-decide, and ambiguous where it is short or middling. The second pass gives
+density and place. The first pass calls a block good or bad where these
+measures decide, and ambiguous where it is short, middling or, in an article,
+poor in stop words (a table, code, another language). The second pass gives
 ambiguous blocks the label of their nearest decided neighbours, within the
 article they stand in, if they stand in one.
+
+Elements and roles that never hold the text (navigation, footers, forms, ...)
+are put aside before. Class and id do so only as whole names: every part of
+the name must be a marker or a word for a piece of a page, so "comment-list" is
+the readers', while "social-history" or "related-work" says nothing and the
+measures decide.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ INLINE = {
 #: Elements whose text is never the article's.
 ASIDE_TAGS = {
     "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "template", "noscript", "svg", "canvas", "object",
-    "audio", "video", "head", "fieldset", "datalist",
+    "audio", "video", "head", "datalist",
 }
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 #: Words of class and id that mark such elements: always, or only where no content class stands beside them.
@@ -47,7 +54,16 @@ ASIDE_WORDS = {
     "pager", "popup", "modal", "toolbar",
 }
 WEAK_WORDS = {"header", "sidebar", "notice", "banner", "widget", "search", "login", "form", "copyright", "legal", "disclaimer", "aside"}
+#: Words that name a piece of a page; beside a marker they leave it one.
+PIECE_WORDS = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "entry", "frame", "group",
+    "icons", "inner", "item", "items", "left", "links", "link", "list", "main", "message", "module", "outer", "page", "panel", "post", "posts", "primary",
+    "right", "row", "secondary", "section", "site", "slot", "space", "story", "stories", "article", "articles", "text", "thread", "title", "top", "unit",
+    "widgets", "wrap", "wrapper", "zone", "component", "count", "desktop", "email", "fixed", "follow", "global", "icon", "label", "large", "media", "mobile",
+    "more", "overlay", "placeholder", "policy", "print", "reader", "readers", "settings", "small", "sticky", "tool", "tools", "ui", "user", "users", "wp",
+}
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body"}
+MARKERS = ASIDE_WORDS | WEAK_WORDS | PIECE_WORDS
 NEVER_ASIDE = {"html", "body", "article", "main"}
 #: An article element of such a class is a reader's, not the page's.
 READER_WORDS = {"comment", "comments", "reply", "replies"}
@@ -81,7 +97,7 @@ def _is_aside(tag: str, attributes: str, in_article: bool, by_class: bool, by_co
     own = tag in ("article", "main")
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False, own
-    words: set[str] = set()
+    names: list[set[str]] = []  # parts of the names that consist of markers and pieces of a page
     classes: set[str] = set()
     for name, a, b, c, hidden in _NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -98,8 +114,10 @@ def _is_aside(tag: str, attributes: str, in_article: bool, by_class: bool, by_co
                 if not one.startswith(("has-", "with-", "no-", "js-")):
                     classes.add(one)
                     parts = _PARTS.findall(one)
-                    words.update([one] if in_article and name == "id" else parts)
+                    if MARKERS.issuperset(parts) and not (in_article and name == "id" and len(parts) > 1):
+                        names.append(set(parts))
                     own |= by_content and bool(parts) and CONTENT_WORDS.issuperset(parts) and tag not in ("html", "body")
+    words = set().union(*names)
     if tag in NEVER_ASIDE or not by_class:
         reader = by_class and tag == "article" and bool(words & READER_WORDS)
         return reader, own and not reader
@@ -218,10 +236,10 @@ def classify(found: list[Block]) -> None:
             density = sum(w in stop for w in b.words) / max(1, len(b.words))
             if density >= STOP_HIGH and size > LONG:
                 b.label = "good"
-            elif density >= STOP_LOW or b.article:
+            elif density >= STOP_LOW:
                 b.label = "near"
             else:
-                b.label = "bad"
+                b.label = "thin" if b.article else "bad"
     by_article: dict[int, list[int]] = {}
     for i, b in enumerate(found):
         by_article.setdefault(b.article, []).append(i)
@@ -230,7 +248,11 @@ def classify(found: list[Block]) -> None:
 
 
 def _inherit(found: list[Block], places: list[int], in_article: bool) -> None:
-    """Decide the ambiguous blocks of one stretch; where nothing is decided, an article's are good."""
+    """Decide the ambiguous blocks of one stretch.
+
+    In an article one good neighbour is enough, and where nothing is decided
+    all are good; elsewhere a short block needs its nearest neighbour, or both.
+    """
     n = len(places)
     before: list[tuple[int, str]] = [(n + 1, "")] * n
     after: list[tuple[int, str]] = [(n + 1, "")] * n
@@ -244,14 +266,12 @@ def _inherit(found: list[Block], places: list[int], in_article: bool) -> None:
                 into[k] = (abs(k - last[0]), last[1])
     for k in range(n):
         b = found[places[k]]
-        if b.label not in ("short", "near"):
+        if b.label not in ("short", "near", "thin"):
             continue
         (d1, l1), (d2, l2) = before[k], after[k]
         if not l1 and not l2:
             b.label = "good" if in_article or b.label == "near" else "bad"
-        elif in_article:
-            b.label = "good" if b.label == "near" or "good" in (l1, l2) else (l1 if d1 <= d2 else l2)
-        elif b.label == "near":
+        elif in_article or b.label == "near":
             b.label = "good" if "good" in (l1, l2) else "bad"
         else:
             b.label = (l1 if d1 < d2 else l2) if d1 != d2 else ("good" if l1 == l2 == "good" else "bad")
