@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from patronage.functions.scalar import is_numeric, month_label
+from patronage.functions.sums import exact_mean, exact_total
 from patronage.operators import churn
 from patronage.operators.quantiles import above_quantile
-from patronage.operators.rollups import exact_total, total
 from patronage.operators.selection import quantiles, scalars
 
 P = "churn_probability_final"
@@ -72,7 +72,7 @@ def overview(df: DataFrame) -> DataFrame:
         F.count_distinct("customer_id").alias("total_customers"),
         F.count(F.lit(1)).alias("transactions"),
         exact_total(df, "amount").alias("total_revenue"),
-        F.avg("amount").alias("avg_transaction"),
+        exact_mean(df, "amount").alias("avg_transaction"),
     )
 
 
@@ -108,9 +108,9 @@ def run_summary(df: DataFrame, value: str, group: str, names: list[str]) -> Data
 def zero_prediction_check(df: DataFrame) -> DataFrame:
     """Whether all predictions are 0, with the historic sum and mean beside it."""
     return df.agg(
-        total("predicted_revenue").alias("predicted_total"),
-        total("total_revenue").alias("historic_total"),
-        F.avg("avg_transaction_value").alias("historic_mean"),
+        exact_total(df, "predicted_revenue").alias("predicted_total"),
+        exact_total(df, "total_revenue").alias("historic_total"),
+        exact_mean(df, "avg_transaction_value").alias("historic_mean"),
     ).withColumn("all_zero", F.col("predicted_total") == 0)
 
 

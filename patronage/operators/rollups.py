@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.functions.scalar import dtype, instant, parse_instant, whole_days
+from patronage.functions.sums import amounts, exact_total
 from patronage.operators.joins import attach_pairs
 from patronage.operators.mapping import alias_columns
 from patronage.operators.selection import scalars
@@ -17,26 +18,6 @@ def total(c) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-#: A binary fraction is added in two parts: to six places, and what is left of it.
-MONEY, REST = "decimal(38,6)", "decimal(38,24)"
-
-
-def exact_total(df: DataFrame, name: str) -> Column:
-    """Sum of an amount that does not depend on the order of the rows.
-
-    Binary fractions are added as decimals: a retried task, another partition
-    count or another engine then gives the very same sum, which thresholds and
-    ties further on rely on. What six places do not hold is added apart, so
-    small amounts count too.
-    """
-    if isinstance(dtype(df, name), (T.FloatType, T.DoubleType)):
-        amount = F.col(name).cast("double")
-        money = amount.cast(MONEY)
-        rest = (amount - money.cast("double")).cast(REST)
-        return total(money).cast("double") + total(rest).cast("double")
-    return total(name)
-
-
 def customer_rollup(
     transactions: DataFrame,
     as_of=None,
@@ -50,7 +31,7 @@ def customer_rollup(
     demographic row (by ``order_by``), so no join is needed.
     """
     has_date = "date" in transactions.columns
-    aggs = [exact_total(transactions, "amount").alias("total_amount"), F.count("amount").alias("transaction_count")]
+    aggs = [exact_total(transactions, "amount").alias("total_amount"), amounts(transactions, "amount").alias("transaction_count")]
     if has_date:
         when = parse_instant(F.col("date"), dtype(transactions, "date"))
         if first_date:
@@ -100,7 +81,7 @@ def revenue_metrics(transactions: DataFrame) -> DataFrame:
         .groupBy("customer_id")
         .agg(
             exact_total(transactions, "amount").alias("total_revenue"),
-            F.count("amount").alias("transaction_count"),
+            amounts(transactions, "amount").alias("transaction_count"),
             F.min("date").alias("first_purchase"),
             F.max("date").alias("last_purchase"),
         )

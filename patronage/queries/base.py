@@ -13,10 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronage.functions.scalar import whole_days
+from patronage.functions.sums import exact_total
 from patronage.operators.churn import WEIGHTS, fixed_risk_levels
 from patronage.operators.joins import dashboard_join
 from patronage.operators.revenue import value_segments
-from patronage.operators.rollups import exact_total
 from patronage.operators.runs import run_totals
 from patronage.plans.analysis import score_customers, segment_customers
 from patronage.session import materialize_once
@@ -69,7 +69,7 @@ TX = """tx AS (SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, o_
   o_totalprice AS amount, o_orderpriority AS category FROM orders)"""
 CUSTOMERS = """customers AS (SELECT c_custkey AS customer_id, c_name AS customer_name, n_name AS country,
   c_mktsegment AS segment, c_acctbal AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"""
-ROLLUP = f"""{TX}, rollup AS (SELECT customer_id, CAST(coalesce(sum(CAST(amount AS DECIMAL(24,6))), 0) AS DOUBLE) AS total_amount,
+ROLLUP = f"""{TX}, rollup AS (SELECT customer_id, coalesce(fsum(amount), 0e0) AS total_amount,
   count(amount) AS transaction_count, min(date) AS first_purchase, max(date) AS last_purchase,
   CAST(floor(epoch(TIMESTAMP '{AS_OF}' - max(date)) / 86400) AS BIGINT) AS days_since_last_purchase
   FROM tx WHERE customer_id IS NOT NULL GROUP BY customer_id)"""
@@ -189,7 +189,7 @@ def run_tables(spark: SparkSession, folder: str, segments: bool = False) -> dict
 
 
 RUNS = f"""{CUSTOMERS}, per AS (SELECT o_custkey AS customer_id, CAST(year(o_orderdate) AS BIGINT) AS analysis_id,
-  CAST(sum(CAST(o_totalprice AS DECIMAL(24,6))) AS DOUBLE) AS total_amount, count(o_totalprice) AS transaction_count, min(o_orderdate) AS first_purchase,
+  fsum(o_totalprice) AS total_amount, count(o_totalprice) AS transaction_count, min(o_orderdate) AS first_purchase,
   max(o_orderdate) AS last_purchase FROM orders GROUP BY 1, 2),
 run_rows AS (SELECT segment AS user_id, analysis_id, CAST(customer_id AS VARCHAR) AS customer_id, customer_name, country,
   total_amount, transaction_count, first_purchase, last_purchase,

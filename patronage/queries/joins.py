@@ -32,7 +32,7 @@ def j2(spark, folder):
     return j.join_one(amounts(spark, folder), people(spark, folder), how="left")
 
 
-METRICS = """m AS (SELECT customer_id, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS total_revenue, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) / count(amount) AS avg_revenue, count(amount) AS transaction_count
+METRICS = """m AS (SELECT customer_id, fsum(amount) AS total_revenue, fsum(amount) / count(amount) AS avg_revenue, count(amount) AS transaction_count
   FROM tx GROUP BY customer_id)"""
 
 

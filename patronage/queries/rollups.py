@@ -20,12 +20,39 @@ def a1(spark, folder):
     return rounded(out, total_amount=2)
 
 
+# Amounts of every size: a customer in seven also has infinities, one in five missing numbers (NaN).
+EXTREMES = """spread AS (SELECT o_custkey AS customer_id, CASE WHEN o_custkey % 7 = 0 AND o_orderkey % 5 = 0 THEN 'inf'::DOUBLE
+  WHEN o_custkey % 5 = 0 AND o_orderkey % 3 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 4 = 0 THEN o_totalprice * 1e28
+  WHEN o_orderkey % 4 = 1 THEN -o_totalprice * 1e-35 ELSE o_totalprice END AS amount FROM orders),
+  finite AS (SELECT customer_id, fsum(amount) FILTER (isfinite(amount)) AS total, count(*) FILTER (isinf(amount)) AS endless,
+  count(*) FILTER (NOT isnan(amount)) AS transaction_count FROM spread GROUP BY customer_id)"""
+
+
+@query(
+    "a1_extreme_amounts",
+    f"""WITH {EXTREMES} SELECT customer_id, transaction_count, endless > 0 AS endless,
+    CASE WHEN endless = 0 THEN printf('%.9e', coalesce(total, 0e0)) END AS total_amount FROM finite""",
+)
+def a1_extremes(spark, folder):
+    """Rollup of amounts between 1e-35 and 1e33 with infinities and NaN among them."""
+    key, order, price = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_totalprice")
+    amount = (
+        F.when((key % 7 == 0) & (order % 5 == 0), float("inf")).when((key % 5 == 0) & (order % 3 == 0), float("nan"))
+        .when(order % 4 == 0, price * 1e28).when(order % 4 == 1, -price * 1e-35).otherwise(price)
+    )
+    spread = table(spark, folder, "orders").select(key.alias("customer_id"), amount.alias("amount"))
+    endless = F.col("total_amount") == float("inf")
+    return u.customer_rollup(spread).select(
+        "customer_id", "transaction_count", endless.alias("endless"), F.when(~endless, F.format_string("%.9e", "total_amount")).alias("total_amount")
+    )
+
+
 @query("a2_last_purchase_age", f"WITH {ROLLUP} SELECT customer_id, last_purchase, days_since_last_purchase FROM rollup")
 def a2(spark, folder):
     return u.customer_rollup(transactions(spark, folder), AS_OF).select("customer_id", "last_purchase", "days_since_last_purchase")
 
 
-FIVE = f"""WITH {TX}, m AS (SELECT customer_id, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS total_revenue, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) / count(amount) AS avg_revenue,
+FIVE = f"""WITH {TX}, m AS (SELECT customer_id, fsum(amount) AS total_revenue, fsum(amount) / count(amount) AS avg_revenue,
   count(amount) AS transaction_count, min(date) AS first_purchase, max(date) AS last_purchase FROM tx GROUP BY customer_id)"""
 
 
