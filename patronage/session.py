@@ -88,6 +88,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory())
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Drop every intermediate this application wrote."""
     delete_path(spark, scratch_root(spark))

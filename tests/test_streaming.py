@@ -71,6 +71,27 @@ def test_limiter_equals_brute_force(frame, spread):
     assert got == want
 
 
+HOT = {
+    "random": lambda rng: np.sort(rng.integers(0, 12_000, 600)),
+    "regular": lambda rng: np.arange(600) * 7,  # walks from other stamps never agree again
+    "sparse": lambda rng: np.cumsum(rng.integers(90, 250, 600)),  # they agree at once
+    "ties": lambda rng: np.sort(rng.integers(0, 60, 600)) * 100,
+}
+
+
+@pytest.mark.parametrize("name", HOT)
+@pytest.mark.parametrize("block", [60, 10**6])
+def test_a_hot_burst_is_walked_in_blocks(frame, name, block):
+    times = [int(t) for t in HOT[name](np.random.default_rng(1))]
+    rows = [(i, "hot", at(t)[0]) for i, t in enumerate(times)] + [(10_000 + i, f"k{i % 500}", at(i)[0]) for i in range(1000)]
+    df = frame(rows, "id long, ip string, ts timestamp_ntz", 8)
+    got = dict(values(limiter.limit_attempts(df, "ip", "ts", "id", block_rows=block), "id", "allowed"))
+    assert len(got) == len(rows) and [got[i] for i in range(len(times))] == brute_limit(times)
+    if block == 60:
+        work = limiter._bursts(df, "ip", "ts", 300, block).where("_block > 0")
+        assert {r.ip for r in work.select("ip").distinct().collect()} == {"hot"} and work.select("_block").distinct().count() > 3
+
+
 def test_retention_edge(frame):
     rows = [(1, T0), (2, T0 - dt.timedelta(days=3)), (3, T0 - dt.timedelta(days=3, seconds=1))]
     assert values(retention.within_retention(frame(rows, "k long, ts timestamp_ntz"), T0), "k") == [(1,), (2,)]
@@ -136,3 +157,42 @@ def test_stream_retention_drops_what_is_late(spark, tmp_path):
     go()
     assert values(spark.read.schema(stream.schema).parquet(path), "day", "events") == [
         ((T0 + 10 * day).date(), 1), ((T0 + 8 * day).date(), 1)]  # in the order of their spelling
+
+
+def arrivals(frame, path, batches):
+    """One file per batch, in order."""
+    for rows in batches:
+        frame(rows, "event_id long, ts timestamp_ntz", 1).write.mode("append").parquet(path)
+
+
+def test_retained_rows_follow_the_newest_event(spark, frame, tmp_path):
+    day, source, schema = 86_400, f"{tmp_path}/in", "event_id long, ts timestamp_ntz"
+    batches = [
+        list(enumerate(at(0, 10, day))) + [(99, None)],
+        [(10, T0 + dt.timedelta(days=3)), (11, T0 + dt.timedelta(days=3, seconds=-1)), (12, T0)],  # the first row is exactly at the horizon
+        [(20, T0 + dt.timedelta(days=3, seconds=5)), (21, T0 + dt.timedelta(seconds=6)), (22, T0 + dt.timedelta(seconds=4))],  # late: within, beyond
+        [(30, T0 + dt.timedelta(days=9))],
+        [(40, T0 + dt.timedelta(days=2)), (41, T0 + dt.timedelta(days=7))],
+    ]
+    want = [{0, 1, 2}, {0, 1, 2, 10, 11, 12}, {1, 2, 10, 11, 20, 21}, {30}, {30, 41}]
+    types = spark.createDataFrame([], schema).schema
+    kept = retention.RetainedRows(spark, f"{tmp_path}/kept", types)
+    assert kept.rows().count() == 0
+    for batch, ids in zip(batches, want, strict=True):
+        arrivals(frame, source, [batch])
+        kept.absorb(spark.readStream.schema(types).parquet(source))
+        assert {r.event_id for r in retention.RetainedRows(spark, f"{tmp_path}/kept", types).rows().collect()} == ids
+    days = sorted(p.name for p in (tmp_path / "kept" / "rows").glob("_day=*"))
+    assert days == ["_day=2024-01-08", "_day=2024-01-10"]
+
+
+def test_a_batch_run_again_adds_nothing(spark, frame, tmp_path):
+    df = frame([(i, t) for i, t in enumerate(at(0, 5, 9))], "event_id long, ts timestamp_ntz")
+    kept = retention.RetainedRows(spark, f"{tmp_path}/kept", df.schema)
+    for number in (0, 1, 1, 1):
+        kept._absorb(df, number)
+    assert kept.rows().count() == 6
+    kept._absorb(frame([(7, T0 + dt.timedelta(days=30))], "event_id long, ts timestamp_ntz"), 2)
+    assert values(kept.rows(), "event_id") == [(7,)]
+    kept._absorb(df.limit(0), 3)
+    assert values(kept.rows(), "event_id") == [(7,)]
