@@ -16,7 +16,8 @@ shares as the floor of their squared difference over their sum.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ LEAST_DOCUMENTS = 10
 UNIT = 1_000_000_000
 #: Sources and terms that a block holds, about.
 SOURCES, TERMS = 64, 4096
-#: Terms that a task counts in memory before it hands them on.
-HELD = 400_000
+#: Terms of documents that a task gathers before it adds them up, and rows of such sums that it holds before it hands them on.
+HELD = 1_000_000
 #: Most groups of language and source that are broadcast (some hundred bytes each), and most terms given for one.
 BROADCAST_ROWS, TOP = 20_000, 10
 
@@ -39,34 +40,88 @@ BROADCAST_ROWS, TOP = 20_000, 10
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``term``, ``n`` uses and ``docs`` that hold it, per task; a task that fills its memory gives a term again."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+PACKED = "lang string, term string, n long, docs long, sources array<struct<source: string, n: long, docs: long>>"
+
+
+class _Counts:
+    """Uses of terms by group of language and source, and documents that hold them, as far as a task has read."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.tables: list[pa.Table] = []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.terms: list[bytes] = []
+        self.uses: list[int] = []
+        self.owners: list[tuple[int, int]] = []
+
+    def add(self, group: tuple[str, str], text: bytes) -> None:
+        here = Counter(text.translate(LETTERS).split())
+        self.terms.extend(here)
+        self.uses.extend(here.values())
+        self.owners.append((self.groups.setdefault(group, len(self.groups)), len(here)))
+        if len(self.terms) >= HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        """What has been read since the last time becomes a table, a row per group and term."""
+        if self.owners:
+            owner, times = np.array(self.owners).T
+            read = pa.table({"group": np.repeat(owner, times), "term": pa.array(self.terms, pa.binary()), "n": pa.array(self.uses, pa.int64())})
+            self.tables.append(_summed(read, [("n", "sum"), ("n", "count")]))
+            self._clear()
+        if len(self.tables) > 1:
+            self.tables = [_summed(pa.concat_tables(self.tables), [("n", "sum"), ("docs", "sum")])]
+
+    def full(self) -> bool:
+        return bool(self.tables) and self.tables[0].num_rows >= HELD
+
+    def hand_on(self) -> Iterator[pa.RecordBatch]:
+        """A row per language and term, with its sources in a list, so that a rare term crosses the network and is sorted once."""
+        self.settle()
+        if not self.tables:
+            return
+        table, names = self.tables.pop(), list(self.groups)
+        languages = sorted({g for g, _ in names})
+        language_of = np.array([languages.index(g) for g, _ in names])
+        group, terms = table.column("group").to_numpy(), table.column("term").combine_chunks().dictionary_encode()
+        term = terms.indices.to_numpy()
+        key = language_of[group] * len(terms.dictionary) + term
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        n, docs = table.column("n").to_numpy()[order], table.column("docs").to_numpy()[order]
+        sources = pa.array([s for _, s in names], pa.string()).take(pa.array(group[order]))
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.append(starts, len(order)), pa.int32()), pa.StructArray.from_arrays([sources, pa.array(n), pa.array(docs)], ["source", "n", "docs"])
+        )
+        first = order[starts]
+        packed = pa.table({
+            "lang": pa.array(languages, pa.string()).take(pa.array(language_of[group[first]])), "term": terms.dictionary.cast(pa.string()).take(pa.array(term[first])),
+            "n": np.add.reduceat(n, starts), "docs": np.add.reduceat(docs, starts), "sources": lists,
+        })
+        yield from packed.to_batches(max_chunksize=1 << 16)
+
+
+def _summed(table: pa.Table, sums: list[tuple[str, str]]) -> pa.Table:
+    out = table.group_by(["group", "term"], use_threads=False).aggregate(sums)
+    return out.rename_columns({"_".join(sums[0]): "n", "_".join(sums[1]): "docs"}).select(["group", "term", "n", "docs"])
+
 
-    def handed_on(groups) -> pa.RecordBatch:
-        rows = [(g, s, t, n, holders[t]) for (g, s), (uses, holders) in groups.items() for t, n in uses.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        columns[2] = pa.array(columns[2], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``lang``, ``term``, ``n`` uses, ``docs`` that hold it, and both by source in a list; a row per task, more from one that fills its memory."""
 
     def count(batches):
-        groups, held = defaultdict(lambda: (Counter(), Counter())), 0
+        counts = _Counts()
         for rows in batches:
             langs, sources = (rows.column(i).to_pylist() for i in range(2))
-            for g, s, words in zip(langs, sources, rows.column(2), strict=True):
-                uses, holders = groups[g, s]
-                before = len(holders)
-                here = Counter((words.as_py() or b"").translate(LETTERS).split())
-                uses.update(here)
-                holders.update(here.keys())
-                held += len(holders) - before
-                if held >= HELD:
-                    yield handed_on(groups)
-                    groups.clear()
-                    held = 0
-        yield handed_on(groups)
-
-    return docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(count, "lang string, source string, term string, n long, docs long")
+            for g, s, text in zip(langs, sources, rows.column(2), strict=True):
+                counts.add((g, s), text.as_py() or b"")
+                if counts.full():
+                    yield from counts.hand_on()
+        yield from counts.hand_on()
+
+    return docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(count, PACKED)
 
 
 def joined(df: DataFrame, groups: DataFrame) -> DataFrame:
@@ -160,16 +215,16 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     docs = docs.select(
         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"))), F.col(text).alias("text")
     )
-    # One exchange by language and term serves the sums and the look at all sources of a term.
-    counted = term_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # One exchange by language and term serves the choice of terms, the sums by source and the mark of each term's first source.
     of_term = Window.partitionBy("lang", "term")
-    kept = materialize(
-        counted.select(
-            "lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("lang_docs"),
-            (F.row_number().over(of_term.orderBy("source")) == 1).cast("long").alias("one"),
-        ).where(F.col("lang_docs") >= least).drop("lang_docs"),
-        "kept-terms",
+    chosen = term_counts(docs).repartition("lang", "term").select(
+        "lang", "term", "sources", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("lang_docs")
+    ).where(F.col("lang_docs") >= least)
+    counted = chosen.select("lang", "term", "lang_n", F.inline("sources")).groupBy("lang", "term", "source").agg(
+        F.sum("n").alias("n"), F.max("lang_n").alias("lang_n")
     )
+    first = (F.row_number().over(of_term.orderBy("source")) == 1).cast("long").alias("one")
+    kept = materialize(counted.select("lang", "source", "term", "n", "lang_n", first), "kept-terms")
     words = kept.groupBy("lang", "source").agg(F.sum("n").alias("words"), F.sum("one").alias("one"))
     groups = docs.select("lang", "source").distinct().join(words.hint("merge"), ["lang", "source"], "left").na.fill(0)
     of_lang = groups.groupBy("lang").agg(

@@ -20,7 +20,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_names():
     assert sorted(QUERIES) == sorted(["pipeline", *(n for n in QUERIES if n.startswith("op"))])
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
