@@ -20,21 +20,21 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+import re
 from array import array
+from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import pre_tokenizers
 
-from patronage.llm.bpe import Memo
-
-#: The byte-level pattern of the tokenizers library.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of the longest word whose ranks are scanned.
 SCANNED = 256
-NEVER = 1 << 40
+#: Words a worker remembers in each of two halves, and the longest one that is.
+MEMO, MEMO_CHARS = 1 << 18, 48
+#: Two tokens, or a rank and a token, share a number.
+TOKEN_BITS = 20
+TOKEN_MASK, NEVER = (1 << TOKEN_BITS) - 1, 1 << 60
 
 
 def byte_letters() -> dict[int, str]:
@@ -65,6 +65,8 @@ def read_tokenizer(path: str) -> dict:
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     added = {a["content"]: a["id"] for a in file["added_tokens"]}
     size = max([*ids.values(), *added.values()], default=-1) + 1
+    if size > TOKEN_MASK:
+        raise ValueError(f"{path} has over {TOKEN_MASK} tokens")
     spelled: list[bytes] = [b""] * size
     for token, number in (ids | added).items():
         known = all(c in code for c in token)
@@ -75,45 +77,97 @@ def read_tokenizer(path: str) -> dict:
     }
 
 
+def character_classes(characters: list[str]) -> dict[str, str]:
+    """The class of each character in the tokenizers library: letter, number, blank (``L``, ``N``, ``S``) or other (``O``)."""
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    out = {}
+    for c in characters:
+        if c == " ":  # the only one that joins what follows
+            out[c] = "S"
+            continue
+        # How the library parts "a?1?!" with the character in place of "?": letters join the a, numbers the 1, others the "!".
+        ends = {b for _, (_, b) in cut(f"a{c}1{c}!")}
+        out[c] = "L" if 1 not in ends else "N" if 2 not in ends else "S" if 4 in ends else "O"
+    return out
+
+
 class Splitter:
     """Words of a text as the tokenizers library cuts them.
 
-    ``regex`` cuts, where its classes are the library's. Each non-ASCII
-    character is tried once in both; a text with a character on which they
-    differ is cut by the library.
+    Its Unicode tables are older than those of Python's modules, so the
+    classes of characters are asked of the library itself, a block of 256
+    when one of its characters first appears; ``re`` then cuts by them. Texts
+    with letters or numbers beyond the basic plane are cut by the library.
     """
 
     def __init__(self):
-        self.words = regex.compile(PATTERN).findall
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False)
-        self.same, self.other = {chr(c) for c in range(128)}, set()
-
-    def cut(self, text: str) -> list[str]:
-        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
-
-    def _learn(self, text: str) -> None:
-        for c in set(text) - self.same - self.other:
-            probe = f"a{c}1{c}?"  # letters, numbers, blanks and all others each part it in a way of their own
-            (self.same if self.words(probe) == self.cut(probe) else self.other).add(c)
+        self.blocks: set[int] = set()
+        self.far: dict[str, str] = {}  # classes of characters beyond the basic plane
+        self.runs: dict[str, list[str]] = {kind: [] for kind in "LNSO"}
+        self._learn({"a"})
+
+    def _learn(self, characters: set[str]) -> None:
+        """Take in the blocks of these characters."""
+        self.far |= character_classes([c for c in characters if c > "\uffff" and c not in self.far])
+        new = {ord(c) >> 8 for c in characters if c <= "\uffff"} - self.blocks
+        if not new:
+            return
+        self.blocks |= new
+        for block in new:
+            of = character_classes([chr(p) for p in range(block << 8, block + 1 << 8) if not 0xD800 <= p < 0xE000])
+            for kind, run in groupby(of, of.get):
+                run = list(run)
+                self.runs[kind].append(f"{re.escape(run[0])}-{re.escape(run[-1])}")
+        letters, numbers, blanks, others = ("".join(self.runs[kind]) for kind in "LNSO")
+        self.words = re.compile(
+            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{letters}{numbers}{blanks}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+        ).findall
+        self.unknown = re.compile(f"[^{letters}{numbers}{blanks}{others}]").search
 
     def __call__(self, text: str) -> list[str]:
-        if not text.isascii() and not self.same.issuperset(text):
-            self._learn(text)
-            if not self.other.isdisjoint(text):
-                return self.cut(text)
+        if not text.isascii() and self.unknown(text):
+            here = set(text)
+            self._learn(here)
+            if any(self.far.get(c, "O") != "O" for c in here):
+                return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return self.words(text)
 
 
+class Remembered(dict):
+    """Packed tokens by word; a missing word is encoded. A full memory becomes the old one, from which words that come again are taken over."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.old.get(word)
+        if packed is None:
+            packed = array("i", self.encode(word.encode())).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[word] = packed
+        return packed
+
+
 class Ranks:
     """Encoder and decoder over one tokenizer file, built once in each worker."""
 
     def __init__(self, tokenizer: dict):
-        self.single, self.merges, self.spelled = tokenizer["single"], tokenizer["merges"], tokenizer["spelled"]
-        self.added = tokenizer["added"]
+        self.single, self.spelled, self.added = tokenizer["single"], tokenizer["spelled"], tokenizer["added"]
+        # Rank and merged token in one number by the two tokens in one number: the least number is the first merge.
+        self.merges = {a << TOKEN_BITS | b: rank << TOKEN_BITS | merged for (a, b), (rank, merged) in tokenizer["merges"].items()}
+        self.pairs = {
+            (a, b): self.merges.get(self.single[a] << TOKEN_BITS | self.single[b], NEVER) if min(self.single[a], self.single[b]) >= 0 else NEVER
+            for a in range(256) for b in range(256)
+        }
         longest_first = sorted(filter(None, self.added), key=len, reverse=True)
-        self.parts = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
+        self.parts = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
         self.split = Splitter()
-        self.memo = Memo(lambda word: self.word(word.encode("latin-1")))
+        self.memo = Remembered(self.word)
 
     def _bytes(self, word: bytes) -> list[int]:
         tokens = [self.single[b] for b in word]
@@ -125,20 +179,19 @@ class Ranks:
         """Tokens of one word."""
         if len(word) > SCANNED:
             return self.long_word(word)
-        find, unknown = self.merges.get, (NEVER, -1)
-        tokens = self._bytes(word)
-        ranks = [find(pair, unknown)[0] for pair in zip(tokens, tokens[1:], strict=False)]
+        find, tokens = self.merges.get, self._bytes(word)
+        ranks = [*map(self.pairs.__getitem__, zip(word, word[1:], strict=False))]
         while ranks:
             low = min(ranks)
             if low == NEVER:
                 break
             at = ranks.index(low)
-            merged = tokens[at] = find((tokens[at], tokens[at + 1]))[1]
+            merged = tokens[at] = low & TOKEN_MASK
             del tokens[at + 1], ranks[at]  # the boundary between the two
             if at:
-                ranks[at - 1] = find((tokens[at - 1], merged), unknown)[0]
+                ranks[at - 1] = find(tokens[at - 1] << TOKEN_BITS | merged, NEVER)
             if at < len(ranks):
-                ranks[at] = find((merged, tokens[at + 1]), unknown)[0]
+                ranks[at] = find(merged << TOKEN_BITS | tokens[at + 1], NEVER)
         return tokens
 
     def long_word(self, word: bytes) -> list[int]:
@@ -146,21 +199,20 @@ class Ranks:
         find, tokens = self.merges.get, self._bytes(word)
         n = len(tokens)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (m := find((tokens[i], tokens[i + 1])))]
+        heap = [(m, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (m := find(tokens[i] << TOKEN_BITS | tokens[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            low, i, a, b = heapq.heappop(heap)
             j = right[i]
             if j < 0 or tokens[i] != a or tokens[j] != b:
                 continue  # one of the two has been merged since
-            merged = tokens[i] = find((a, b))[1]
-            tokens[j] = -1
+            tokens[i], tokens[j] = low & TOKEN_MASK, -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for k in (left[i], i):
-                if k >= 0 and right[k] >= 0 and (m := find((tokens[k], tokens[right[k]]))):
-                    heapq.heappush(heap, (m[0], k, tokens[k], tokens[right[k]]))
+                if k >= 0 and right[k] >= 0 and (m := find(tokens[k] << TOKEN_BITS | tokens[right[k]])):
+                    heapq.heappush(heap, (m, k, tokens[k], tokens[right[k]]))
         return [t for t in tokens if t >= 0]
 
     def _words(self, text: str) -> bytes:
