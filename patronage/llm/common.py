@@ -15,6 +15,8 @@ SQL: dict[str, str] = {}
 #: A word of the contracts: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
+#: The value that holds a caller's other columns; no operator has a column of such a name.
+CARRIED = "carried columns"
 
 
 def query(name: str, sql: str | None = None):
@@ -44,6 +46,31 @@ def fresh(name: str, df: DataFrame, taken: Iterable[str] = ()) -> str:
     return name
 
 
+def set_aside(
+    df: DataFrame, needed: Iterable[str], outputs: Iterable[str], carry: Iterable[str] | None = None
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The ``needed`` columns of ``df`` with all others in one value, and what gives them back.
+
+    Whatever the caller's other columns are called, an operator that works on
+    the first frame can name its own columns freely. The second, given the
+    operator's result, returns the columns of ``df`` (those in ``carry``, if
+    given) and then ``outputs``; columns of ``df`` named like an output, in
+    whatever case, are replaced by it.
+    """
+    replaced = {c.lower() for c in outputs}
+    used = list(dict.fromkeys(needed))
+    kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in replaced]
+    rest = [c for c in kept if c not in used]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    inner = df.select(*map(quoted, used), *([F.struct(*map(quoted, rest)).alias(CARRIED)] if rest else []))
+
+    def restore(out: DataFrame) -> DataFrame:
+        back = [quoted(CARRIED).getField(c).alias(c) if c in rest else quoted(c) for c in kept]
+        return out.select(*back, *outputs)
+
+    return inner, restore
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

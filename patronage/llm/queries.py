@@ -57,8 +57,8 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, carry=["doc_id"]).select("doc_id", *quality.MEASURES, "base_failed", "kept", "host_rejected")
 
 
-OP3 = r"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST('0x' || md5('17:' || coalesce(CAST(doc_id AS VARCHAR), text, ''))[1:13] AS BIGINT) AS place FROM documents),
+OP3 = r"""WITH sized AS (SELECT doc_id, source, row_number() OVER () AS rid, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))[1:13] AS BIGINT) AS place FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
   [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight FROM sized GROUP BY source),
 ratios AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS ratio FROM sources),
@@ -68,12 +68,10 @@ levels AS (SELECT r.ratio, (1.5::DOUBLE * (SELECT sum(source_size) FROM sources)
 chosen AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE level < ratio),
 plan AS (SELECT source, source_size, CASE WHEN level IS NULL OR cap <= level * weight THEN cap ELSE level * weight END AS target FROM ratios, chosen),
 wanted AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM plan),
-places AS (SELECT source, place, sum(size) AS w FROM sized GROUP BY source, place),
-ordered AS (SELECT *, 2 * sum(w) OVER (PARTITION BY source ORDER BY place) - w AS mid2 FROM places)
+ordered AS (SELECT rid, 2 * sum(size) OVER (PARTITION BY source ORDER BY place, rid) - size AS mid2 FROM sized)
 SELECT s.doc_id, s.size, p.source_size, p.target, CAST(s.size * (p.whole + CASE WHEN p.target > p.whole * p.source_size
   AND o.mid2 <= 2 * (p.target - p.whole * p.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sized s JOIN wanted p ON s.source IS NOT DISTINCT FROM p.source
-JOIN ordered o ON s.source IS NOT DISTINCT FROM o.source AND s.place = o.place"""
+FROM sized s JOIN wanted p ON s.source IS NOT DISTINCT FROM p.source JOIN ordered o USING (rid)"""
 
 
 @query("op3_mix_sources", OP3)
