@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from patronage.llm.common import components
+from patronage.llm.common import components, set_aside
 from patronage.session import materialize
 
 NGRAM, SIMILARITY, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
@@ -83,7 +83,7 @@ def _factors(count: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc``, digest of the n-gram set, its size and its band hashes; blank texts have nulls."""
+    """``doc``, hash of the text, digest of the n-gram set, its size and its band hashes; blank texts have nulls."""
     doc_type = docs.schema[key].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,13 +96,16 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
                 sizes.append(len(grams))
                 hashes.append(_band_hashes(grams, factors, bands, rows) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["doc", "digest", "grams", "bands"],
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["doc", "check", "digest", "grams", "bands"],
             )
 
-    return docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("t")).mapInArrow(
-        sign, f"doc {doc_type}, digest binary, grams long, bands array<long>"
-    )
+    return _texts(docs, key, text).mapInArrow(sign, f"doc {doc_type}, check long, digest binary, grams long, bands array<long>")
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc``, its text ``t``, and ``check``, a hash of the text that tells rows of one number apart."""
+    return docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("t")).withColumn("check", F.xxhash64("t"))
 
 
 def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -161,14 +164,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> Da
             kept = []
             for digest, t in zip(batch.column(0), batch.column(1), strict=True):
                 grams = gram_set(t.as_py(), n)
-                if len(grams) and _digest(grams) == digest.as_py():  # another text under the same number is not the one
+                if len(grams) and _digest(grams) == digest.as_py():  # another text under the same number and hash is not the one
                     kept.append((digest.as_py(), grams.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in kept], pa.binary()), pa.array([k[1] for k in kept], pa.binary())], names=["digest", "set"]
             )
 
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("t"))
-    return wanted.select("doc", "digest").join(texts.hint("merge"), "doc").select("digest", "t").mapInArrow(read, "digest binary, set binary")
+    texts = _texts(docs, key, text)
+    return wanted.select("doc", "check", "digest").join(texts.hint("merge"), ["doc", "check"]).select("digest", "t").mapInArrow(read, "digest binary, set binary")
 
 
 def near_copies(
@@ -189,14 +192,14 @@ def near_copies(
     known = sigs.where(F.col("digest").isNotNull() & F.col("doc").isNotNull())
     classes = materialize(
         known.groupBy("digest").agg(
-            F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")
-        ), "classes",
+            F.min(F.struct("doc", "check")).alias("x"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")
+        ).select("digest", "x.*", "copies", "grams", "bands"), "classes",
     )
     met = classes.select("digest", F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("c"), F.min("digest").alias("hub")).where("c > 1")
     members = materialize(met.join(shared.hint("merge"), "bucket").select("bucket", "digest", "hub"), "buckets")
 
-    homes = members.groupBy("digest").agg(F.min("hub").alias("home")).join(classes.select("digest", "doc", "copies", "grams").hint("merge"), "digest")
+    homes = members.groupBy("digest").agg(F.min("hub").alias("home")).join(classes.select("digest", "doc", "check", "copies", "grams").hint("merge"), "digest")
     homes = materialize(homes, "homes")
     blocks = homes.groupBy("home").agg(F.count("*").alias("c"), F.sum("grams").alias("g")).select(
         "home", F.ceil(F.greatest(F.col("c") / BLOCK_TEXTS, F.col("g") / BLOCK_GRAMS)).alias("parts")
@@ -228,3 +231,24 @@ def near_copies(
         F.when(F.col("doc").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("copy_of", "doc").alias("copy_of"),
     )
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group that links hold together the one with the smallest number.
+
+    A row is known by its number and text, so rows that share a number alone
+    are documents of their own; rows without a number come last. Of repeated
+    rows one stays; blank rows without a number all stay. Columns of any name
+    pass through.
+    """
+    inner, restore = set_aside(docs, [key, text], [])
+    whole = F.coalesce(F.col(text), F.lit(""))
+    number = F.lpad(F.hex(F.col(key).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # sorts as the numbers do
+    nameless = F.col(key).isNull() & ~whole.rlike(r"[^\x09-\x0D ]")
+    known = inner.where(~nameless).withColumn("_row", F.concat(F.coalesce(number, F.lit("Z")), F.md5(whole)))
+    first = near_copies(known, "_row", text, **how).where("_row = class_id").select("_row").distinct()
+    kept = known.join(first.hint("merge"), "_row", "left_semi").drop("_row")
+    columns = [F.col(f"`{c}`") for c in inner.columns]
+    row = F.concat(F.coalesce(number, F.lit("Z")), F.md5(whole))
+    rows = kept.groupBy(row.alias("_row")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return restore(rows.select("row.*").unionByName(inner.where(nameless)))
