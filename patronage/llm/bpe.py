@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from patronage.llm.common import fresh, set_aside
+
 #: Pieces a worker remembers in each of two halves; when the young half is full it becomes the old one.
 MEMO = 1 << 17
 #: Pairs of tokens whose compatibility a worker remembers.
@@ -220,7 +222,10 @@ def _lists(flat: bytearray, ends: list[int]) -> pa.Array:
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add both ``encode``'s numbers and the bytes that ``decode`` spells from them, in one pass over the texts."""
+    """Add both ``encode``'s numbers and the bytes that ``decode`` spells from them, in one pass over the texts.
+
+    Columns named like an output are replaced, others pass through.
+    """
     vocabulary = _ship(df.sparkSession, ranks_path)
 
     @F.arrow_udf("struct<ids array<int>, decoded binary>")
@@ -236,8 +241,10 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
         bytes_ = pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(spelled)])
         return pa.StructArray.from_arrays([_lists(flat, ends), bytes_], ["ids", "decoded"])
 
-    added = df.drop(out, decoded).withColumn("_both", both.asNondeterministic()(F.col(text)))
-    return added.select("*", F.col("_both.ids").alias(out), F.col("_both.decoded").alias(decoded)).drop("_both")
+    inner, restore = set_aside(df, [text], [out, decoded])
+    pair = fresh("both", inner, [out, decoded])
+    added = inner.withColumn(pair, both.asNondeterministic()(F.col(text)))
+    return restore(added.select("*", F.col(pair)["ids"].alias(out), F.col(pair)["decoded"].alias(decoded)))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

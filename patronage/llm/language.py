@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from patronage.llm.common import set_aside
+
 #: n-grams of 1 to ORDER characters fall into 2^BITS columns by hash.
 ORDER, BITS = 3, 13
 #: Bound of the sample that is fitted, in expectation, and landmarks, both per language.
@@ -144,5 +146,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores += s.tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score").withColumn("_guess", guess.asNondeterministic()(F.col(text).cast("string")))
-    return out.select("*", "_guess.*").drop("_guess")
+    inner, restore = set_aside(docs, [text], ("lang_pred", "score"))
+    out = inner.withColumn("_guess", guess.asNondeterministic()(F.col(text).cast("string")))
+    return restore(out.select("*", "_guess.*"))

@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.llm.common import let, total
+from patronage.llm.common import let, set_aside, total
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,6 +120,9 @@ def _verified(words: Column, alignments: Column, idf: dict[str, float]) -> Colum
     return F.when(F.size(alignments) > 0, let(F.array(*rows), scores)).otherwise(none)
 
 
+OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``; such columns are replaced.
 
@@ -151,17 +154,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             let(_alignments(hits, index), lambda a: _verified(words, a, idf)).alias("notices"),
         ))
 
-    marked = docs.withColumn("_found", let(license_words(F.col(text)), found))
+    inner, restore = set_aside(docs, [text], OUTPUTS)
+    marked = inner.withColumn("_found", let(license_words(F.col(text)), found))
     base, notices = F.col("_found.base"), F.col("_found.notices")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return marked.withColumns({
+    return restore(marked.withColumns({
         "n_words": F.col("_found.n").cast("long"), "n_base": F.size(base).cast("long"),
         "first_word": F.array_min(F.transform(base, lambda b: b["at"])).cast("long"),
         "last_word": F.array_max(F.transform(base, lambda b: b["at"])).cast("long"),
         "base_labels": joined(F.transform(base, lambda b: b["label"])),
         "labels": joined(F.concat(F.transform(base, lambda b: b["label"]), F.transform(notices, lambda n: n["label"]))),
         "score": F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(notices, lambda n: n["score"])), F.lit(0.0))),
-    }).drop("_found")
+    }))
 
 
 def scan_sql(source: str = "documents") -> str:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.llm.common import let, total, words_of
+from patronage.llm.common import CARRIED, let, set_aside, total, words_of
 from patronage.session import materialize
 
 MIN_WORDS = 50
@@ -106,11 +106,14 @@ def judge(
     rejected and it fails the strict ones. ``carry`` names the columns of
     ``docs`` to return (all, if not given). Documents are measured once and
     written, as hosts must be known before any verdict. An empty table gives
-    an empty one.
+    an empty one. Columns named like an added one are replaced, others pass
+    through, whatever their names.
     """
-    own = [c for c in (docs.columns if carry is None else carry) if c not in (*ADDED, "_host_of")]
-    measured = measure(docs, text).withColumn("_host_of", F.col(host)).select(*own, "_host_of", *MEASURES, "base_failed", "strict_failed")
-    measured = materialize(measured, "measured")
+    inner, restore = set_aside(docs, [text, host], ADDED, carry)
+    # The host goes by a name of its own, as the text need not be carried on.
+    measured = measure(inner, text).withColumn("_host_of", F.col(host))
+    own = [c for c in (CARRIED, *(c for c in (text, host) if carry is None or c in carry)) if c in measured.columns]
+    measured = materialize(measured.select(*[f"`{c}`" for c in dict.fromkeys(own)], "_host_of", *MEASURES, "base_failed", "strict_failed"), "measured")
     hosts = host_verdicts(measured, "_host_of", limit).select("_host", "host_rejected")
-    joined = measured.join(hosts, F.col("_host_of").eqNullSafe(F.col("_host")), "left").drop("_host", "_host_of")
-    return joined.withColumn("kept", ~(F.col("base_failed") | (F.col("host_rejected") & F.col("strict_failed"))))
+    joined = measured.join(hosts, F.col("_host_of").eqNullSafe(F.col("_host")), "left")
+    return restore(joined.withColumn("kept", ~(F.col("base_failed") | (F.col("host_rejected") & F.col("strict_failed")))))

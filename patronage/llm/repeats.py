@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.llm.common import total
+from patronage.llm.common import set_aside, total
 from patronage.session import materialize
 
 LENGTH, GRAM = 200, 32
@@ -344,10 +344,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ``kept_text`` is the same cut at whole characters: one goes if all its
     bytes do. Null texts count as empty, texts shorter than ``length`` stay
     as they are, repeated rows repeat each other, keys may be null. One row
-    out for each row in.
+    out for each row in; columns of other names pass through.
     """
-    taken = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
-    marked = repeated_spans(docs.drop(*taken), key, text, length)
+    inner, restore = set_aside(docs, [key, text], ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
+    marked = repeated_spans(inner, key, text, length)
 
     @F.arrow_udf("struct<n_bytes long, n_removed long, n_spans long, kept binary, kept_text string>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -362,5 +362,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_text", pa.string()),
         ]))
 
-    out = marked.withColumn("_cut", cut.asNondeterministic()(F.col(text).cast("string"), F.col("spans"))).drop("spans")
-    return out.select("*", "_cut.*").drop("_cut")
+    out = marked.withColumn("_cut", cut.asNondeterministic()(F.col(text).cast("string"), F.col("spans")))
+    return restore(out.select("*", "_cut.*"))
