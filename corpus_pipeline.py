@@ -25,20 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies.
-
-    A row is known by its number and text, so rows that share a number alone
-    are documents of their own; rows without a number come last. Of repeated
-    rows one stays; blank rows without a number all stay.
-    """
-    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # sorts as the numbers do
-    row = F.concat(F.coalesce(number, F.lit("Z")), F.md5(F.coalesce("text", F.lit(""))))
-    nameless = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x09-\x0D ]")
-    known = docs.where(~nameless).withColumn("_row", row)
-    first = ngram_join.near_copies(known, "_row").where("_row = class_id").select("_row").distinct()
-    kept = known.join(first.hint("merge"), "_row", "left_semi")
-    rows = kept.groupBy("_row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return rows.select("row.*").unionByName(docs.where(nameless))
+    """The first document of each group of near copies."""
+    return ngram_join.keep_first(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
