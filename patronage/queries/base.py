@@ -19,7 +19,8 @@ from patronage.operators.joins import dashboard_join
 from patronage.operators.revenue import value_segments
 from patronage.operators.runs import run_totals
 from patronage.plans.analysis import score_customers, segment_customers
-from patronage.session import materialize_once
+from patronage.session import materialize_once, scratch_root
+from patronage.sources.catalog import VIEW, RunCatalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,6 +232,17 @@ DASHBOARD = f"""{RUNS}, dashboard AS (SELECT c.analysis_id, c.user_id, c.custome
   LEFT JOIN revenue r ON c.analysis_id = r.analysis_id AND c.customer_id = r.customer_id)"""
 
 
+def catalogued_runs(spark: SparkSession, folder: str) -> RunCatalog:
+    """All runs of all tenants as tables of the catalog with the dashboard view, made once per session."""
+    mark = f"{zlib.crc32(f'{spark.sparkContext.applicationId} {folder}'.encode()):08x}"
+    runs = RunCatalog(spark, f"runs_{mark}", f"{scratch_root(spark)}/catalog-{mark}", buckets=8)
+    if not runs.exists(VIEW):
+        t = run_tables(spark, folder, segments=True)
+        runs.append({"customer_data": t["customers"], "churn_data": t["churn"], "revenue_data": t["revenue"], "analysis_history": t["history"]})
+        runs.create_view()
+    return runs
+
+
 def dashboard(spark: SparkSession, folder: str) -> DataFrame:
     t = run_tables(spark, folder, segments=True)
     return dashboard_join(t["customers"], t["history"], t["churn"], t["revenue"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators import cleaning
 from patronage.queries.base import (
-    AS_OF, CHURN, CUSTOMERS, DASHBOARD, REVENUE, ROLLUP, RUNS, TX, customers, dashboard, query, run_tables, scored, segmented,
+    AS_OF, CHURN, CUSTOMERS, DASHBOARD, REVENUE, ROLLUP, RUNS, TX, catalogued_runs, customers, query, run_tables, scored, segmented,
     transactions,
 )
 from patronage.session import scratch_path
@@ -195,11 +195,50 @@ def s11(spark, folder):
     FROM dashboard GROUP BY country""",
 )
 def s12(spark, folder):
-    dashboard(spark, folder).createOrReplaceTempView("full_dashboard_data")
-    return spark.sql(
-        "SELECT country, count(*) AS row_count, round(sum(total_revenue), 2) AS total_revenue "
-        "FROM full_dashboard_data GROUP BY country"
-    )
+    """The permanent view of the catalog, read by SQL."""
+    view = catalogued_runs(spark, folder).name("full_dashboard_data")
+    return spark.sql(f"SELECT country, count(*) AS row_count, round(sum(total_revenue), 2) AS total_revenue FROM {view} GROUP BY country")
+
+
+@query("s13_table_exists", "SELECT true AS dashboard, true AS churn, false AS other")
+def s13_exists(spark, folder):
+    runs = catalogued_runs(spark, folder)
+    found = [runs.exists(t) for t in ("full_dashboard_data", "churn_data", "no_such_table")]
+    return spark.createDataFrame([tuple(found)], "dashboard boolean, churn boolean, other boolean")
+
+
+LISTED = [
+    ("analysis_id", "bigint"), ("user_id", "string"), ("customer_id", "string"), ("customer_name", "string"), ("age", "int"), ("gender", "string"),
+    ("country", "string"), ("total_revenue", "double"), ("predicted_revenue", "double"), ("churn_probability", "double"), ("risk_level", "string"),
+    ("revenue_segment", "string"), ("transaction_count", "bigint"), ("avg_transaction_value", "double"), ("first_purchase_date", "date"),
+    ("last_purchase_date", "date"), ("days_since_last_purchase", "bigint"), ("created_at", "timestamp_ntz"),
+]
+
+
+@query(
+    "s13_table_schema",
+    "SELECT CAST(place AS INTEGER) AS place, column_name, data_type FROM (VALUES " + ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(LISTED))
+    + ") v(place, column_name, data_type)",
+)
+def s13_schema(spark, folder):
+    """Columns of the dashboard view as the catalog lists them."""
+    return catalogued_runs(spark, folder).columns("full_dashboard_data")
+
+
+@query(
+    "s13_first_rows",
+    f"WITH {DASHBOARD} SELECT * FROM dashboard ORDER BY analysis_id, user_id, customer_id LIMIT 5",
+)
+def s13_first(spark, folder):
+    return catalogued_runs(spark, folder).first_rows("full_dashboard_data", ["analysis_id", "user_id", "customer_id"], 5)
+
+
+@query(
+    "s13_tenants",
+    f"WITH {DASHBOARD} SELECT count(*) AS row_count, count(DISTINCT user_id) AS tenants FROM dashboard",
+)
+def s13_tenants(spark, folder):
+    return store.profile(catalogued_runs(spark, folder).table("full_dashboard_data"))
 
 
 @query(
