@@ -5,22 +5,28 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass, field
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.util import MLReader, MLWriter
 from pyspark.sql import DataFrame, functions as F
 
+from patronage.operators.cut_trees import cut_back
+from patronage.operators.normal_map import NormalMap, NormalMapModel
 from patronage.operators.selection import order_statistics, running_total, scalars
 from patronage.session import materialize
 
 # The searched settings. Unlimited depth becomes Spark's deepest
-# tree (30); a minimum split size has no Spark counterpart and is left out.
-CHURN_GRID = {"numTrees": [100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode": [1, 2]}
-REVENUE_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode": [1, 2]}
+# tree (30); a minimum split size is no setting of Spark's, trees are cut back to it.
+MIN_SPLIT = "minSplit"
+CHURN_GRID = {"numTrees": [100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode": [1, 2], MIN_SPLIT: [2, 5]}
+REVENUE_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode": [1, 2], MIN_SPLIT: [2, 5]}
 SEED = 42
 TEST_SHARE = 0.2
 FOLDS = 3
@@ -79,6 +85,11 @@ def fit_rows(train: DataFrame, key: str, most: int = MAX_FIT_ROWS, seed: int = S
     return train.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 2)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+def fit_normal(train: DataFrame, names: list[str]) -> NormalMapModel:
+    """The map of the features onto a normal scale, fitted on all training rows."""
+    return NormalMap(inputCols=names, outputCol="mapped").fit(train)
+
+
 # --- feature selection and search --------------------------------------------------
 
 
@@ -89,42 +100,117 @@ def select_features(df: DataFrame, names: list[str], forest, keep_all_if_none: b
     return kept if kept or not keep_all_if_none else list(range(len(names)))
 
 
-def grid(estimator, settings: dict[str, list]):
-    b = ParamGridBuilder()
-    for name, values in settings.items():
-        b = b.addGrid(estimator.getParam(name), values)
-    return b.build()
+def grid(settings: dict[str, list]) -> list[dict]:
+    """Every combination of the settings that need a fit of their own."""
+    grown = {k: v for k, v in settings.items() if k != MIN_SPLIT}
+    return [dict(zip(grown, values)) for values in product(*grown.values())]
 
 
 def search(estimator, evaluator, train: DataFrame, settings: dict, key: str, folds: int = FOLDS, parallelism: int = 8):
-    """Best model of a cross-validated grid; folds come from the key."""
-    cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid(estimator, settings), evaluator=evaluator,
-        numFolds=folds, foldCol="_fold", parallelism=parallelism, seed=SEED,
-    )
-    return cv.fit(fold_column(train, key, folds)).bestModel
+    """Best model of a cross-validated grid, and its settings; folds come from the key.
+
+    Each forest is grown once per fold and cut back to every split size, so
+    the split sizes of the grid cost no fits. Of equal settings the first wins.
+    """
+    sizes, settings_ = settings.get(MIN_SPLIT, [2]), grid(settings)
+    data = fold_column(train, key, folds).persist()
+
+    def score(task) -> list[float]:
+        chosen, fold = task
+        model = _with(estimator, chosen).fit(data.where(F.col("_fold") != fold))
+        held = data.where(F.col("_fold") == fold)
+        return [evaluator.evaluate(cut_back(model, size).transform(held)) for size in sizes]
+
+    tasks = [(chosen, fold) for chosen in settings_ for fold in range(folds)]
+    pool, spark = ThreadPool(min(parallelism, len(tasks))), train.sparkSession
+    try:
+        scores = pool.map(inheritable_thread_target(spark)(score), tasks, chunksize=1)
+    finally:
+        pool.close()
+        data.unpersist()
+    sign = 1 if evaluator.isLargerBetter() else -1
+    means = {}
+    for i, chosen in enumerate(settings_):
+        for j, size in enumerate(sizes):
+            means[i, j] = sum(sign * s[j] for s in scores[i * folds : (i + 1) * folds]) / folds
+    i, j = max(means, key=means.get)
+    return cut_back(_with(estimator, settings_[i]).fit(train), sizes[j]), settings_[i] | {MIN_SPLIT: sizes[j]}
+
+
+def _with(estimator, chosen: dict):
+    return estimator.copy({estimator.getParam(k): v for k, v in chosen.items()})
 
 
 @dataclass
 class Fitted:
-    """A trained model with what is needed to score any table of the same features."""
+    """A trained model with what is needed to score any table of the same features.
+
+    ``write().save(path)`` and ``Fitted.read().load(path)`` keep it in a folder;
+    the tables it was trained and tested on are not part of it.
+    """
 
     model: object
     names: list[str]
     kept: list[int]
-    train: DataFrame
-    test: DataFrame
+    train: DataFrame | None = None
+    test: DataFrame | None = None
     constant: float | None = None
     info: dict = field(default_factory=dict)
+    normal: NormalMapModel | None = None
 
     @property
     def used(self) -> list[str]:
         return [self.names[i] for i in self.kept]
 
-    def slice(self, df: DataFrame) -> DataFrame:
+    def map(self, df: DataFrame) -> DataFrame:
+        """Add ``mapped``: the features on the normal scale that the model was trained on."""
+        return self.normal.transform(df) if self.normal else df.withColumn("mapped", F.col("features"))
+
+    def cut(self, mapped: DataFrame) -> DataFrame:
+        """``kept``, the mapped features that the model uses, in place of ``mapped``."""
         if len(self.kept) == len(self.names):
-            return df.withColumn("kept", F.col("features"))
-        return VectorSlicer(inputCol="features", outputCol="kept", indices=self.kept).transform(df)
+            return mapped.withColumnRenamed("mapped", "kept")
+        return VectorSlicer(inputCol="mapped", outputCol="kept", indices=self.kept).transform(mapped).drop("mapped")
+
+    def slice(self, df: DataFrame) -> DataFrame:
+        return self.cut(self.map(df))
+
+    def write(self) -> FittedWriter:
+        return FittedWriter(self)
+
+    @staticmethod
+    def read() -> FittedReader:
+        return FittedReader()
+
+
+FORESTS = {c.__name__: c for c in (RandomForestClassificationModel, RandomForestRegressionModel)}
+
+
+class FittedWriter(MLWriter):
+    def __init__(self, fitted: Fitted):
+        super().__init__()
+        self.fitted = fitted
+
+    def saveImpl(self, path: str) -> None:
+        """A description, the map and the forest, each in a folder; the description comes last and marks the end."""
+        f = self.fitted
+        if f.normal is not None:
+            f.normal.write().save(f"{path}/normal")
+        if f.model is not None:
+            f.model.write().save(f"{path}/forest")
+        about = {
+            "names": f.names, "kept": f.kept, "constant": f.constant, "info": f.info, "normal": f.normal is not None,
+            "forest": type(f.model).__name__ if f.model is not None else None,
+        }
+        self.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
+
+
+class FittedReader(MLReader):
+    def load(self, path: str) -> Fitted:
+        about = json.loads(self.sparkSession.read.text(f"{path}/about").first()["value"])
+        forest, normal = about.pop("forest"), about.pop("normal")
+        model = FORESTS[forest].load(f"{path}/forest") if forest else None
+        return Fitted(model=model, normal=NormalMapModel.load(f"{path}/normal") if normal else None, **about)
 
 
 def _forest(kind, label: str, trees: int, features: str = "features", depth: int = 30, **more):
@@ -154,16 +240,18 @@ def train_churn(
     work = split_rows(duplicate_lone_class(df, label), key, label).persist()
     train, test = work.where("is_train"), work.where("not is_train")
     try:
-        selector = _forest(RandomForestClassifier, label, selector_trees, depth=selector_depth)
-        fitting = fit_rows(train, key, max_fit_rows)
-        fitted = Fitted(None, names, select_features(fitting, names, selector, False), train, test)
-        sliced = fitted.slice(fitting)
+        selector = _forest(RandomForestClassifier, label, selector_trees, "mapped", selector_depth)
+        fitted = Fitted(None, names, everything, train, test, normal=fit_normal(train, names))
+        fitting = fitted.map(fit_rows(train, key, max_fit_rows)).persist()
+        fitted.kept = select_features(fitting, names, selector, False)
+        sliced = fitted.cut(fitting)
         forest = _forest(RandomForestClassifier, label, 100, "kept", depth=selector_depth)
         if settings:
             auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", metricName="areaUnderROC")
-            fitted.model = search(forest, auc, sliced, settings, key, folds)
+            fitted.model, fitted.info["settings"] = search(forest, auc, sliced, settings, key, folds)
         else:
             fitted.model = forest.fit(sliced)
+        fitting.unpersist()
     finally:
         work.unpersist()
     return fitted
@@ -184,17 +272,19 @@ def train_revenue(
     work = split_rows(df, key).persist()
     train, test = work.where("is_train"), work.where("not is_train")
     try:
-        selector = _forest(RandomForestRegressor, label, selector_trees, depth=selector_depth)
-        fitting = fit_rows(train, key, max_fit_rows)
-        fitted = Fitted(None, names, select_features(fitting, names, selector, True), train, test)
-        sliced = fitted.slice(fitting)
+        selector = _forest(RandomForestRegressor, label, selector_trees, "mapped", selector_depth)
+        fitted = Fitted(None, names, everything, train, test, normal=fit_normal(train, names))
+        fitting = fitted.map(fit_rows(train, key, max_fit_rows)).persist()
+        fitted.kept = select_features(fitting, names, selector, True)
+        sliced = fitted.cut(fitting)
         rows = n - math.ceil(n * TEST_SHARE)
         if settings and rows >= 5:
             forest = _forest(RandomForestRegressor, label, 100, "kept", depth=selector_depth)
             mse = RegressionEvaluator(labelCol=label, metricName="mse")
-            fitted.model = search(forest, mse, sliced, settings, key, min(folds, rows))
+            fitted.model, fitted.info["settings"] = search(forest, mse, sliced, settings, key, min(folds, rows))
         else:
             fitted.model = _forest(RandomForestRegressor, label, 50, "kept", depth=selector_depth).fit(sliced)
+        fitting.unpersist()
     finally:
         work.unpersist()
     return fitted
@@ -282,12 +372,17 @@ def model_run(df: DataFrame, model_type: str, used: list[str], metrics: dict) ->
 
 
 def evaluate_churn(fitted: Fitted, label: str = "churn_label") -> dict:
-    """Metrics on the test rows (on all rows when there was no split)."""
-    scored = materialize(score_churn(fitted, fitted.test).select(label, "prediction", "churn_probability_final"), "churn-test")
-    out = class_metrics(scored, label, "prediction").first().asDict()
-    out.update(roc_auc(scored, label, "churn_probability_final").first().asDict())
-    return out
+    """Metrics on the test rows (on all rows when there was no split), which the model keeps; a loaded model has those it kept."""
+    if fitted.test is not None:
+        scored = materialize(score_churn(fitted, fitted.test).select(label, "prediction", "churn_probability_final"), "churn-test")
+        out = class_metrics(scored, label, "prediction").first().asDict()
+        out.update(roc_auc(scored, label, "churn_probability_final").first().asDict())
+        fitted.info["metrics"] = out
+    return fitted.info["metrics"]
 
 
 def evaluate_revenue(fitted: Fitted, label: str = "target_revenue") -> dict:
-    return regression_metrics(score_revenue(fitted, fitted.test), label, "predicted_revenue").first().asDict()
+    if fitted.test is not None:
+        scored = score_revenue(fitted, fitted.test)
+        fitted.info["metrics"] = regression_metrics(scored, label, "predicted_revenue").first().asDict()
+    return fitted.info["metrics"]

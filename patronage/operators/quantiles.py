@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from patronage.operators.selection import MAX_CANDIDATES, SKETCH_ACCURACY, order_statistics, quantiles, scalars
+from patronage.operators.selection import MAX_CANDIDATES, order_statistics, quantiles, scalars
 
 QUINTILES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
@@ -37,11 +37,6 @@ def with_quintiles(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({out: bin_code(F.col(c), edges[c]) for c, out in columns.items()})
 
 
-def approx_quantiles(df: DataFrame, column: str, probs: list[float], accuracy: int = SKETCH_ACCURACY) -> list:
-    """Sketch quantiles for callers that accept a rank error of 1/accuracy."""
-    return scalars(df, q=F.percentile_approx(column, list(probs), accuracy))["q"]
-
-
 def sorted_value_at(df: DataFrame, column: str, shares: list[float]) -> list[float]:
     """Value at sorted position ``int(n * share)`` for each share."""
     n = scalars(df, n=F.count(column))["n"]
@@ -84,14 +79,6 @@ def inverse_normal(p: np.ndarray) -> np.ndarray:
     return np.where(np.abs(q) <= 0.425, q * ratio(0.180625 - q * q, _CENTRE_NUM, _CENTRE_DEN), np.sign(q) * outer)
 
 
-def fit_normal_map(df: DataFrame, columns: list[str], n_quantiles: int = 1000) -> dict[str, list[float]]:
-    """Reference quantiles per column: at most ``n_quantiles`` numbers each."""
-    n = df.count()
-    probs = np.linspace(0, 1, max(2, min(n_quantiles, n))).tolist()
-    row = scalars(df, **{c: F.percentile_approx(F.col(c).cast("double"), probs, SKETCH_ACCURACY) for c in columns})
-    return {c: np.maximum.accumulate(row[c]).tolist() for c in columns}
-
-
 def apply_normal_map(df: DataFrame, marks: dict[str, list[float]], suffix: str = "_normal") -> DataFrame:
     """Map each fitted column onto a standard normal; null stays null."""
     names = list(marks)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,25 +31,33 @@ def churn_features(customers: DataFrame, as_of, transactions: DataFrame | None =
 def analyze_churn(
     customers: DataFrame, as_of, transactions: DataFrame | None = None, *, noise: float = 0.0, seed: int = 42,
     mode: str = "as_written", settings: dict | None = models.CHURN_GRID, on_missing: str = "raise",
-    order_by: list | None = None, **training,
+    order_by: list | None = None, fitted: models.Fitted | None = None,
+    keep_model: Callable[[models.Fitted], None] | None = None, **training,
 ) -> tuple[DataFrame, DataFrame]:
-    """Scored customers with risk levels, and one row describing the model."""
+    """Scored customers with risk levels, and one row describing the model.
+
+    A model is trained unless ``fitted`` is given, such as one of an earlier
+    run; ``keep_model`` is handed the model that was used.
+    """
     df = churn_features(_ready(customers, order_by), as_of, transactions, on_missing)
     df = materialize(churn.churn_probability(df, noise, seed), "churn-features")
     df = churn.label_rows(df, mode)
     table, names = features.feature_matrix(df, CHURN_FEATURES)
-    fitted = models.train_churn(table, names, settings=settings, **training)
+    fitted = fitted or models.train_churn(table, names, settings=settings, **training)
     scored = materialize(models.score_churn(fitted, table).drop("features"), "churn-scored")
     metrics = models.evaluate_churn(fitted)
+    if keep_model:
+        keep_model(fitted)
     levels = churn.relabel_if_weak(churn.risk_levels(scored), metrics["accuracy"])
     return levels, models.model_run(df, "EnhancedRandomForest", fitted.used, metrics)
 
 
 def analyze_revenue(
     customers: DataFrame, as_of, *, noise: float = 0.0, seed: int = 42, settings: dict | None = models.REVENUE_GRID,
-    on_missing: str = "raise", order_by: list | None = None, **training,
+    on_missing: str = "raise", order_by: list | None = None, fitted: models.Fitted | None = None,
+    keep_model: Callable[[models.Fitted], None] | None = None, **training,
 ) -> tuple[DataFrame, DataFrame]:
-    """Customers with predicted revenue and value segment, and one model row."""
+    """Customers with predicted revenue and value segment, and one model row; ``fitted`` and ``keep_model`` as above."""
     ready = _ready(customers, order_by)
     df = features.rfm_features(ready, as_of, "revenue", on_missing)
     for c in ("recency_score", "frequency_score", "monetary_score"):
@@ -59,10 +68,13 @@ def analyze_revenue(
     if df.isEmpty():
         return revenue.no_prediction(ready), models.model_run(ready, "EnhancedRandomForestRegressor", [], {})
     table, names = features.feature_matrix(df, REVENUE_FEATURES)
-    fitted = models.train_revenue(table, names, settings=settings, **training)
+    fitted = fitted or models.train_revenue(table, names, settings=settings, **training)
     scored = materialize(models.score_revenue(fitted, table).drop("features"), "revenue-scored")
+    metrics = models.evaluate_revenue(fitted)
+    if keep_model:
+        keep_model(fitted)
     out = revenue.result_columns(revenue.value_segments(scored))
-    return out, models.model_run(df, "EnhancedRandomForestRegressor", fitted.used, models.evaluate_revenue(fitted))
+    return out, models.model_run(df, "EnhancedRandomForestRegressor", fitted.used, metrics)
 
 
 def analyze_revenue_tables(customers: DataFrame, transactions: DataFrame, as_of, **options) -> tuple[DataFrame, DataFrame]:

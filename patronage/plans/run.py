@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from patronage.operators import rollups
+from patronage.operators.models import Fitted
 from patronage.operators.reports import newest_per_key
 from patronage.plans.analysis import analyze_churn, analyze_revenue, process_tables
 from patronage.session import materialize
@@ -37,13 +38,15 @@ def customer_rows(customers: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def run_analysis(
     store: RunStore, user_id: str, customers: DataFrame, transactions: DataFrame, customer_roles: dict,
-    transaction_roles: dict, at: dt.datetime, training: dict | None = None,
+    transaction_roles: dict, at: dt.datetime, training: dict | None = None, models: dict[str, Fitted] | None = None,
     customer_order: list | None = None, transaction_order: list | None = None,
 ) -> RunResult:
     """One stored analysis of a tenant, unless its daily quota is used up.
 
     Required roles must be mapped. The customer metrics are written once and
-    feed both models; runs past the retention are dropped at the end.
+    feed both models; runs past the retention are dropped at the end. ``models``
+    may hold trained models, ``churn`` and ``revenue``, that score instead of new
+    ones. The models that were used are stored with the run.
     """
     missing = [r for r, roles in (("customer_id", customer_roles), ("date", transaction_roles), ("amount", transaction_roles)) if not roles.get(r)]
     if missing:
@@ -57,8 +60,13 @@ def run_analysis(
     metrics = rollups.customer_rollup(t, at, first_date=True)
     metrics = metrics.join(people.select("customer_id", "age", "gender"), "customer_id", "left")
     metrics = materialize(metrics, "run-metrics")
-    churn, churn_model = analyze_churn(metrics.drop("first_purchase"), at, **(training or {}))
-    revenue, revenue_model = analyze_revenue(metrics.drop("first_purchase"), at, **(training or {}))
-    run = store.save_run(user_id, churn, revenue, customer_rows(people, metrics), at)
+    models, used = models or {}, {}
+    churn, churn_model = analyze_churn(
+        metrics.drop("first_purchase"), at, fitted=models.get("churn"), keep_model=lambda f: used.update(churn=f), **(training or {})
+    )
+    revenue, revenue_model = analyze_revenue(
+        metrics.drop("first_purchase"), at, fitted=models.get("revenue"), keep_model=lambda f: used.update(revenue=f), **(training or {})
+    )
+    run = store.save_run(user_id, churn, revenue, customer_rows(people, metrics), at, used)
     store.cleanup(user_id, at)
     return RunResult(True, run, metrics.count(), churn_model, revenue_model)

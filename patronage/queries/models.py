@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from patronage.operators import models as m
 from patronage.operators.features import CHURN_FEATURES, REVENUE_FEATURES, feature_matrix, rfm_features, value_features
 from patronage.operators import churn, revenue
+from patronage.operators.cut_trees import cut_back
 from patronage.operators.rollups import customer_rollup
 from patronage.operators.selection import with_row_index
 from patronage.plans import analysis
 from patronage.queries.base import AS_OF, CHURN, customers, query, rounded, scored, table, transactions
-from patronage.session import materialize
+from patronage.session import materialize, scratch_path
 
 _searched: dict[tuple, object] = {}
 
@@ -55,8 +56,9 @@ def revenue_model(spark, folder):
 
 
 def settings_of(spark, fitted):
-    p = {k: fitted.model.getOrDefault(k) for k in ("numTrees", "maxDepth", "minInstancesPerNode")}
-    return spark.createDataFrame([(p["numTrees"], p["maxDepth"], p["minInstancesPerNode"])], "trees int, depth int, min_leaf int")
+    p = fitted.info["settings"]
+    row = [(p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], p[m.MIN_SPLIT])]
+    return spark.createDataFrame(row, "trees int, depth int, min_leaf int, min_split int")
 
 
 @query(
@@ -182,6 +184,35 @@ def l11(spark, folder):
     return rounded(out, r2_score=6, mse=6, mae=6)
 
 
+@query("l12_saved_model", "SELECT o_custkey AS customer_id, true AS same_score, true AS same_class FROM orders GROUP BY o_custkey")
+def l12_saved(spark, folder):
+    """Scores by the model as trained beside those by the model as saved and loaded."""
+    df, fitted = churn_model(spark, folder)
+    path = scratch_path(spark, "saved-model")
+    fitted.write().save(path)
+    loaded = m.Fitted.read().load(path)
+    p = "churn_probability_final"
+    # The second scores follow in the same rows, so nothing is joined.
+    both = m.score_churn(fitted, df.select("customer_id", "features", *fitted.names)).withColumnsRenamed({p: "p", "prediction": "g"})
+    both = m.score_churn(loaded, both)
+    return both.select("customer_id", (F.col("p") == F.col(p)).alias("same_score"), (F.col("g") == F.col("prediction")).alias("same_class"))
+
+
+@query("l3_split_size", "SELECT 5 AS min_split, true AS no_small_splits, true AS same_roots")
+def l3_split_size(spark, folder):
+    """The searched churn forest cut back to five rows a split: no smaller node is split, and each tree begins as it did."""
+    fitted = churn_model(spark, folder)[1]
+    before, after = scratch_path(spark, "forest"), scratch_path(spark, "forest")
+    fitted.model.write().save(before)
+    cut_back(fitted.model, 5).write().save(after)
+    old, new = (spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*") for path in (before, after))
+    roots = old.where("id = 0").select("treeID", "rawCount").exceptAll(new.where("id = 0").select("treeID", "rawCount"))
+    return new.agg(
+        F.lit(5).alias("min_split"), (F.count_if((F.col("leftChild") >= 0) & (F.col("rawCount") < 5)) == 0).alias("no_small_splits"),
+        F.lit(roots.isEmpty()).alias("same_roots"),
+    )
+
+
 @query("l12_model_run")
 def l12(spark, folder):
     df, fitted = churn_model(spark, folder)
@@ -219,9 +250,12 @@ def churn_run(spark, folder):
 
 
 def revenue_run(spark, folder):
-    return once(
-        spark, folder, "revenue-run", lambda: analysis.analyze_revenue(customer_rollup(transactions(spark, folder), AS_OF), AS_OF)[0]
-    )
+    """The whole analysis; its search is that of ``revenue_model``, over the same features, and is not run twice."""
+    def make():
+        fitted = revenue_model(spark, folder)[1]
+        return analysis.analyze_revenue(customer_rollup(transactions(spark, folder), AS_OF), AS_OF, fitted=fitted)[0]
+
+    return once(spark, folder, "revenue-run", make)
 
 
 def revenue_tables_run(spark, folder):
@@ -254,7 +288,7 @@ def l14(spark, folder):
     )
 
 
-HISTORY_ROWS = """SELECT o_custkey AS customer_id, round(CAST(sum(CAST(o_totalprice AS DECIMAL(24,6))) AS DOUBLE), 4) AS total_revenue,
+HISTORY_ROWS = """SELECT o_custkey AS customer_id, round(fsum(o_totalprice), 4) AS total_revenue,
   count(o_totalprice) AS transaction_count, true AS predicted, true AS known_segment FROM orders GROUP BY o_custkey"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from patronage.operators import quantiles as q
 from patronage.operators import reports as r
 from patronage.operators.churn import fixed_risk_levels
+from patronage.operators.normal_map import quantile_marks
 from patronage.operators.selection import quantiles
 from patronage.queries.base import (
     AS_OF, CHURN, REVENUE, RFM_CHURN, RUNS, TX, query, rounded, run_tables, scored, segmented,
@@ -56,10 +57,29 @@ def q4(spark, folder):
     return q.above_quantile(table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
 
 
+def _marks_sql(c):
+    return f"""SELECT '{c}' AS column_name, k AS place, round(a.v + (b.v - a.v) * ((a.n - 1) * k % 999) / 999e0, 6) AS mark
+    FROM (SELECT unnest(generate_series(0, 999)) AS k), places a, places b
+    WHERE a.c = '{c}' AND b.c = '{c}' AND a.r = (a.n - 1) * k // 999 AND b.r = least(a.r + 1, a.n - 1)"""
+
+
+@query(
+    "q5_marks",
+    """WITH stacked AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME c VALUE v),
+    places AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY c) AS n FROM stacked) """
+    + " UNION ALL ".join(map(_marks_sql, ("l_quantity", "l_extendedprice", "l_discount"))),
+)
+def q5_marks(spark, folder):
+    """The thousand marks per column on which the normal map rests."""
+    marks = quantile_marks(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    rows = [(c, k, v) for c, values in marks.items() for k, v in enumerate(values)]
+    return rounded(spark.createDataFrame(rows, "column_name string, place long, mark double"), mark=6)
+
+
 @query("q5_normal_map")
 def q5(spark, folder):
     df = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return q.apply_normal_map(df, q.fit_normal_map(df, ["l_quantity", "l_extendedprice"]))
+    return q.apply_normal_map(df, quantile_marks(df, ["l_quantity", "l_extendedprice"]))
 
 
 @query(

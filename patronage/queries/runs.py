@@ -11,6 +11,7 @@ from patronage.operators import runs as x
 from patronage.plans import dashboard as board
 from patronage.plans.run import run_analysis
 from patronage.queries.base import DASHBOARD, RUNS, customers, dashboard, query, rounded, run_tables, table, transactions
+from patronage.queries.models import churn_model, revenue_model
 from patronage.session import materialize, path_exists, scratch_path, scratch_root
 from patronage.sources.store import RunStore
 
@@ -67,6 +68,17 @@ def child_rows(children):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "s7_store_scan",
+    f"""WITH {RUNS} SELECT user_id, analysis_id, customer_id, risk_level, CAST(transaction_count AS INTEGER) AS transaction_count, last_activity
+    FROM churn WHERE user_id = 'BUILDING'""",
+)
+def s7_store(spark, folder):
+    """One tenant's rows through the store, which lists that tenant's folder only."""
+    rows = stored_runs(spark, folder).table("churn_data", "BUILDING")
+    return rows.select("user_id", "analysis_id", "customer_id", "risk_level", "transaction_count", "last_activity")
+
+
 @query("x3_all_children", f"WITH {RUNS} " + CHILD_ROWS.format("user_id = 'HOUSEHOLD' AND analysis_id = 1997"))
 def x3_all(spark, folder):
     """The three children of a stored run, read through the store."""
@@ -227,7 +239,7 @@ def x8_charts(spark, folder):
 def x1_whole_run(spark, folder):
     """Mapping, completion, joins, both models, store and retention in one stored run, read back from the store.
 
-    The forests are the default ones; ``l3`` and ``l4`` run the searches.
+    Both models are those of the whole grid searches over these customers, which the session runs once.
     """
     store = RunStore(spark, scratch_path(spark, "whole-run"))
     at = dt.datetime(2001, 8, 2)
@@ -237,7 +249,8 @@ def x1_whole_run(spark, folder):
     sales = transactions(spark, folder).select(F.col("customer_id").alias("client"), F.col("date").alias("day"), F.col("amount").alias("paid"))
     done = run_analysis(
         store, "a@x.eu", people, sales, {"customer_id": "client", "customer_name": "who", "location": "land"},
-        {"customer_id": "client", "date": "day", "amount": "paid"}, at, training={"settings": None},
+        {"customer_id": "client", "date": "day", "amount": "paid"}, at,
+        models={"churn": churn_model(spark, folder)[1], "revenue": revenue_model(spark, folder)[1]},
     )
     children = store.details("a@x.eu", done.analysis_id)
     scored = children["churn_data"].select("customer_id", F.col("churn_probability").between(0, 1).alias("churn_scored"))

@@ -83,6 +83,14 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(jpath, True))
 
 
+def copy_path(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a small folder, file by file, on whatever file systems the paths name."""
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    systems = [p.getFileSystem(conf) for p in paths]
+    jvm.org.apache.hadoop.fs.FileUtil.copy(systems[0], paths[0], systems[1], paths[1], False, conf)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))

@@ -14,6 +14,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from patronage.operators import cleaning, joins, mapping, runs
+from patronage.operators.models import Fitted
 from patronage.session import delete_path, path_exists
 
 # Layouts of the stored tables.
@@ -32,6 +33,7 @@ USERS_SCHEMA = "email string, username string, subscription string, role string,
 LOG_SCHEMA = "event_type string, email string, details string, timestamp timestamp_ntz, day date"
 CHILDREN = ["customer_data", "churn_data", "revenue_data"]
 HISTORY = "analysis_history"
+MODELS = "models"
 
 
 def new_run_id(at: dt.datetime) -> int:
@@ -128,11 +130,14 @@ class RunStore:
         df = cleaning.last_activity_day(mapping.prefer_final_probability(df))
         return cleaning.days_as_integer(df, as_of)
 
-    def save_run(self, user_id: str, churn: DataFrame, revenue: DataFrame, customers: DataFrame, at: dt.datetime) -> int:
-        """Store a run at customer grain and return its number.
+    def save_run(
+        self, user_id: str, churn: DataFrame, revenue: DataFrame, customers: DataFrame, at: dt.datetime,
+        models: dict[str, Fitted] | None = None,
+    ) -> int:
+        """Store a run at customer grain, with its trained models by kind, and return its number.
 
-        Children first, the history row last: that row is the commit. The
-        frames are read a few times, so pass tables or written stages.
+        Children and models first, the history row last: that row is the
+        commit. The frames are read a few times, so pass tables or written stages.
         """
         run = new_run_id(at)
         p = "churn_probability_final" if "churn_probability_final" in churn.columns else "churn_probability"
@@ -140,14 +145,25 @@ class RunStore:
             self.append_results(user_id, run, churn, revenue, at)
             people = mapping.stamp_run(customers, user_id, run)
             self._append("customer_data", mapping.keep_columns(people, mapping.CUSTOMER_COLUMNS), user_id, run)
+            for kind, fitted in (models or {}).items():
+                fitted.write().save(f"{self._folder(MODELS, user_id, run)}/{kind}")
             totals = runs.run_totals(mapping.stamp_run(churn, user_id, run), mapping.stamp_run(revenue, user_id, run), p)
             self._append(HISTORY, totals.withColumn("timestamp", F.lit(at).cast("timestamp_ntz")), user_id, run)
         except Exception:
-            for name in CHILDREN:
+            for name in (*CHILDREN, MODELS):
                 self._drop_run(name, user_id, run)
             raise
         return run
 
+    # --- models of a run ------------------------------------------------------------
+
+    def load_model(self, user_id: str, analysis_id: int, kind: str) -> Fitted:
+        """The model of one of the tenant's finished runs."""
+        path = f"{self._folder(MODELS, user_id, analysis_id)}/{kind}"
+        if self.table(HISTORY, user_id, analysis_id).isEmpty() or not path_exists(self.spark, path):
+            raise LookupError(f"no {kind} model of run {analysis_id}")
+        return Fitted.read().load(path)
+
     # --- history, retention, deletion ---------------------------------------------
 
     def history(self, user_id: str) -> DataFrame:
@@ -167,7 +183,7 @@ class RunStore:
         """Delete a run of the tenant; False if it has none of that number."""
         if self.table(HISTORY, user_id, analysis_id).isEmpty():
             return False
-        for name in (HISTORY, *CHILDREN):
+        for name in (HISTORY, *CHILDREN, MODELS):
             self._drop_run(name, user_id, analysis_id)
         return True
 
@@ -176,13 +192,13 @@ class RunStore:
         old = runs.expired_runs(self.table(HISTORY, user_id), as_of).select("analysis_id")
         doomed = sorted(r["analysis_id"] for r in old.collect())  # one tenant's runs, bounded by its quota
         for run in doomed:
-            for name in (HISTORY, *CHILDREN):
+            for name in (HISTORY, *CHILDREN, MODELS):
                 self._drop_run(name, user_id, run)
         return doomed
 
     def delete_tenant(self, user_id: str, at: dt.datetime) -> None:
         """Delete everything of a tenant, its account row too, and log that."""
-        for name in (HISTORY, *CHILDREN):
+        for name in (HISTORY, *CHILDREN, MODELS):
             self._drop_run(name, user_id)
         self._change_users(lambda users: users.where(F.col("email") != user_id))
         self.log_event("DELETE_ACCOUNT", user_id, "User deleted their account and all data.", at)
@@ -289,10 +305,5 @@ def profile(df: DataFrame, tenant: str = "user_id") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(tenant).alias("tenants"))
 
 
-def describe_schema(df: DataFrame) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "place int, column_name string, data_type string, nullable boolean")
-
-
 def recent_runs(history: DataFrame, n: int = 5) -> DataFrame:
     return history.select("user_id", "analysis_id", "timestamp").orderBy(F.desc("timestamp"), F.desc("analysis_id"), "user_id").limit(n)

@@ -1,13 +1,15 @@
 import numpy as np
 import pytest
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import functions as F
 
 from patronage.operators import models as m
+from patronage.operators.cut_trees import cut_back
+from patronage.operators.features import feature_matrix
 from patronage.plans import analysis
 from tests.conftest import values
 
-QUICK = {"settings": {"numTrees": [5], "maxDepth": [3], "minInstancesPerNode": [1, 2]}, "selector_trees": 5, "selector_depth": 3, "folds": 2}
+QUICK = {"settings": {"numTrees": [5], "maxDepth": [3], "minInstancesPerNode": [1, 2], "minSplit": [2, 5]}, "selector_trees": 5, "selector_depth": 3, "folds": 2}
 
 
 def labelled(frame, n=200, parts=3, positives=60):
@@ -85,8 +87,6 @@ def test_degenerate_revenue(frame):
 
 def test_single_class_scores_zero(frame):
     df = frame([(i, 0, float(i)) for i in range(10)], "customer_id long, churn_label int, x double")
-    from patronage.operators.features import feature_matrix
-
     table, names = feature_matrix(df, ["x"])
     fitted = m.train_churn(table, names, **QUICK)
     assert {r[0] for r in m.score_churn(fitted, table).select("churn_probability_final").collect()} == {0.0}
@@ -123,3 +123,97 @@ def test_plain_auc_compares_no_pairs_of_scores(frame):
     assert out.first()["auc"] == pytest.approx(wins / (pos * (len(rows) - pos)), abs=1e-12)
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def forest_table(frame, n=150):
+    rng = np.random.default_rng(4)
+    xs = rng.random((n, 3))
+    rows = [(i, *map(float, x), float(x[0] + 0.4 * x[1] + 0.3 * rng.random()), int(x[0] + 0.4 * x[1] + 0.3 * rng.random() > 0.8)) for i, x in enumerate(xs)]
+    df = frame(rows, "customer_id long, a double, b double, c double, target_revenue double, churn_label int")
+    return feature_matrix(df, ["a", "b", "c"])
+
+
+def walk(nodes, x, least):
+    """The node at which a walk down a stored tree ends if smaller nodes are not split."""
+    i = 0
+    while nodes[i].leftChild >= 0 and nodes[i].rawCount >= least:
+        split = nodes[i].split
+        i = nodes[i].leftChild if x[split.featureIndex] <= split.leftCategoriesOrThreshold[0] else nodes[i].rightChild
+    return nodes[i]
+
+
+@pytest.mark.parametrize("least", [2, 5, 40, 10**6])
+def test_cut_forests_stop_at_small_nodes(spark, frame, tmp_path, least):
+    df, _ = forest_table(frame)
+    for kind, label in ((m.RandomForestClassifier, "churn_label"), (m.RandomForestRegressor, "target_revenue")):
+        grown = m._forest(kind, label, 4, depth=8).fit(df)
+        path = f"{tmp_path}/{label}"
+        grown.write().save(path)
+        trees = {}
+        for r in spark.read.parquet(f"{path}/data").orderBy("treeID", "nodeData.id").collect():
+            trees.setdefault(r.treeID, []).append(r.nodeData)
+        cut = cut_back(grown, least)
+        assert (cut is grown) == (least == 2) and (least < 10**6 or cut.totalNumNodes == 4)
+        for r in cut.transform(df).collect():
+            ends = [walk(nodes, r.features, least) for nodes in trees.values()]
+            if label == "churn_label":
+                want = np.mean([np.array(e.impurityStats) / sum(e.impurityStats) for e in ends], axis=0)
+                assert r.probability.toArray() == pytest.approx(want, abs=1e-12)
+            else:
+                assert r.prediction == pytest.approx(np.mean([e.prediction for e in ends]), abs=1e-12)
+
+
+def test_the_grids_are_whole():
+    assert [len(m.grid(g)) * len(g[m.MIN_SPLIT]) for g in (m.CHURN_GRID, m.REVENUE_GRID)] == [24, 36]
+
+
+def test_search_takes_the_best_mean_over_the_folds(frame):
+    df, _ = forest_table(frame)
+    settings = {"numTrees": [3], "maxDepth": [2, 6], "minInstancesPerNode": [1], "minSplit": [2, 30]}
+    forest = m._forest(m.RandomForestRegressor, "target_revenue", 3)
+    mse = RegressionEvaluator(labelCol="target_revenue", metricName="mse")
+    model, chosen = m.search(forest, mse, df, settings, "customer_id", 3)
+    folded = m.fold_column(df, "customer_id", 3)
+    means = {}
+    for depth in (2, 6):
+        for size in (2, 30):
+            errors = []
+            for fold in range(3):
+                one = m._with(forest, {"maxDepth": depth}).fit(folded.where(F.col("_fold") != fold))
+                errors.append(mse.evaluate(cut_back(one, size).transform(folded.where(F.col("_fold") == fold))))
+            means[depth, size] = np.mean(errors)
+    assert (chosen["maxDepth"], chosen["minSplit"]) == min(means, key=means.get)
+    assert model.getNumTrees == 3
+
+
+@pytest.mark.parametrize("label", ["churn_label", "target_revenue"])
+def test_a_saved_model_scores_the_same_rows(spark, frame, tmp_path, label):
+    df, names = forest_table(frame)
+    train, score, out = (m.train_churn, m.score_churn, "churn_probability_final") if label == "churn_label" else (m.train_revenue, m.score_revenue, "predicted_revenue")
+    fitted = train(df, names, **QUICK)
+    fitted.write().save(f"{tmp_path}/m")
+    loaded = m.Fitted.read().load(f"{tmp_path}/m")
+    assert (loaded.names, loaded.kept, loaded.used, loaded.info) == (fitted.names, fitted.kept, fitted.used, fitted.info)
+    assert set(loaded.info["settings"]) == {"numTrees", "maxDepth", "minInstancesPerNode", "minSplit"}
+    assert values(score(loaded, df), "customer_id", out) == values(score(fitted, df), "customer_id", out)
+    with pytest.raises(Exception, match="already exists"):
+        fitted.write().save(f"{tmp_path}/m")
+    fitted.write().overwrite().save(f"{tmp_path}/m")
+
+
+def test_models_without_a_forest_are_kept_too(frame, tmp_path):
+    df, names = forest_table(frame, 20)
+    fitted = m.train_churn(df.withColumn("churn_label", F.lit(1)), names, **QUICK)
+    fitted.write().save(f"{tmp_path}/m")
+    loaded = m.Fitted.read().load(f"{tmp_path}/m")
+    assert (loaded.model, loaded.normal, loaded.constant) == (None, None, 1.0)
+    assert {r.prediction for r in m.score_churn(loaded, df).collect()} == {1.0}
+
+
+def test_training_sees_the_normal_scale(frame):
+    df, names = forest_table(frame)
+    fitted = m.train_revenue(df, names, **QUICK)
+    train = fitted.train.orderBy("a").collect()
+    marks = fitted.normal.marks["a"]
+    assert len(marks) == len(train) == 120 and marks == [r.a for r in train]  # all training rows, and no others
+    assert fitted.slice(df).first()["kept"].size == len(fitted.kept)

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from patronage.operators import quantiles as q
+from patronage.operators.normal_map import NormalMap, NormalMapModel, quantile_marks
 from patronage.operators.selection import extreme_rows, order_statistics, quantiles, running_total, with_row_index
 from tests.conftest import values
 
@@ -104,13 +105,47 @@ def test_running_total(frame):
 def test_normal_map_is_monotone_and_centred(frame):
     xs = list(range(999)) + [None]
     df = column(frame, [None if x is None else float(x) for x in xs])
-    rows = values(q.apply_normal_map(df, q.fit_normal_map(df, ["x"])), "id", "x_normal")
+    rows = values(q.apply_normal_map(df, quantile_marks(df, ["x"])), "id", "x_normal")
     out = [v for _, v in sorted(rows, key=lambda r: r[0])]
     assert out[-1] is None
     assert all(a <= b for a, b in zip(out[:-2], out[1:-1]))
     assert abs(out[499]) < 0.02 and out[0] < -5 and out[998] > 5
 
 
+@pytest.mark.parametrize("most", [2, 7, 100, 1000])
+def test_marks_are_exact_quantiles(frame, most):
+    rng = np.random.default_rng(most)
+    xs = [(float(a), int(b), None if c < 0.3 else float(c), 1.5) for a, b, c in zip(rng.normal(size=501), rng.integers(0, 4, 501), rng.random(501))]
+    xs += [(float("nan"), 1, None, 1.5)]
+    got = quantile_marks(frame(xs, "x double, y int, z double, w double", 5), ["x", "y", "z", "w"], most)
+    for i, c in enumerate("xyzw"):
+        column_ = [r[i] for r in xs if r[i] is not None and r[i] == r[i]]
+        np.testing.assert_allclose(got[c], np.quantile(column_, np.linspace(0, 1, min(most, 502))), rtol=1e-12, atol=1e-12)
+
+
+def test_marks_of_small_columns(frame):
+    schema = "x double, y double"
+    assert quantile_marks(frame([(2.0, None)], schema), ["x", "y"]) == {"x": [2.0], "y": []}
+    assert quantile_marks(frame([(2.0, None)], schema).where("x > 9"), ["x", "y"]) == {"x": [], "y": []}
+    assert quantile_marks(frame([(2.0, 1.0), (None, 1.0), (3.0, None)], schema), ["x", "y"]) == {"x": [2.0, 2.5, 3.0], "y": [1.0, 1.0, 1.0]}
+
+
+def test_normal_map_is_a_stage_that_can_be_kept(spark, frame, tmp_path):
+    rng = np.random.default_rng(0)
+    df = frame([(i, float(a), float(b), "x") for i, (a, b) in enumerate(rng.random((300, 2)))], "id long, x double, y double, x_normal string")
+    stage = NormalMap(inputCols=["x", "y"], outputCol="both", quantiles=50)
+    stage.write().save(f"{tmp_path}/stage")
+    model = NormalMap.load(f"{tmp_path}/stage").fit(df)
+    assert {c: len(v) for c, v in model.marks.items()} == {"x": 50, "y": 50}
+    model.write().save(f"{tmp_path}/model")
+    loaded = NormalMapModel.load(f"{tmp_path}/model")
+    assert loaded.marks == model.marks and loaded.uid == model.uid
+    a, b = (values(m.transform(df), "id", "both", "x_normal") for m in (model, loaded))
+    assert a == b and all(r[2] == "x" for r in a)
+    odd = frame([(1, None, 0.5)], "id long, x double, y double")
+    assert model.transform(odd).first()["both"][0] == 0.0
+
+
 def test_inverse_normal_known_points():
     got = q.inverse_normal(np.array([0.5, 0.975, 0.025, 1e-7, 0.8413447460685429]))
     np.testing.assert_allclose(got, [0, 1.959963984540054, -1.959963984540054, -5.199337582192816, 1.0], atol=1e-9)

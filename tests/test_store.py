@@ -148,8 +148,18 @@ def test_whole_run(store, frame):
     assert store.rows("revenue_data", "a@x.eu").count() == 60
     assert store.rows("customer_data", "a@x.eu").where("country = 'DE'").count() == 60
     assert store.rows("churn_data", "a@x.eu").where("churn_probability between 0 and 1").count() == 60
-    run_analysis(store, "a@x.eu", people, tx, {"customer_id": "client_no"}, {"customer_id": "client_no", "date": "happened", "amount": "paid"},
-                 at=dt.datetime(2024, 2, 1, 1), training=quick)
+    assert store.load_model("a@x.eu", out.analysis_id, "churn").model.getNumTrees > 0
+    for tenant, kind in (("b@x.eu", "churn"), ("a@x.eu", "revenue")):  # all customers buy equally often: no target, no revenue model
+        with pytest.raises(LookupError):
+            store.load_model(tenant, out.analysis_id, kind)
+    kept = {"churn": store.load_model("a@x.eu", out.analysis_id, "churn")}
+    again = run_analysis(store, "a@x.eu", people, tx, {"customer_id": "client_no", "age": "yrs"}, {"customer_id": "client_no", "date": "happened", "amount": "paid"},
+                         at=dt.datetime(2024, 2, 1, 1), models=kept, training=quick)  # scored by the models of the first run
+    scores = [values(store.run_rows("churn_data", "a@x.eu", r.analysis_id), "customer_id", "churn_probability") for r in (out, again)]
+    assert scores[0] == scores[1] and again.churn_model.first()["accuracy"] == out.churn_model.first()["accuracy"]
     third = run_analysis(store, "a@x.eu", people, tx, {"customer_id": "client_no"}, {"customer_id": "client_no", "date": "happened", "amount": "paid"},
                          at=dt.datetime(2024, 2, 1, 2), training=quick)
     assert not third.allowed and third.analysis_id is None
+    assert store.delete_run("a@x.eu", out.analysis_id)
+    with pytest.raises(LookupError):
+        store.load_model("a@x.eu", out.analysis_id, "churn")
