@@ -96,7 +96,7 @@ RUN_KEY = ["user_id", "analysis_id"]
 ROW_KEY = [*RUN_KEY, "customer_id"]
 
 
-def _with_results(customers: DataFrame, churn: DataFrame, revenue: DataFrame) -> DataFrame:
+def with_results(customers: DataFrame, churn: DataFrame, revenue: DataFrame) -> DataFrame:
     """Customer rows with their churn and revenue results where there are any.
 
     A run number belongs to one tenant, so joining on the tenant as well changes
@@ -110,7 +110,7 @@ def _with_results(customers: DataFrame, churn: DataFrame, revenue: DataFrame) ->
 def dashboard_join(customers: DataFrame, history: DataFrame, churn: DataFrame, revenue: DataFrame) -> DataFrame:
     """The 18-column dashboard rows; history, churn and revenue may be missing."""
     stamps = history.select(*RUN_KEY, F.col("timestamp").alias("created_at"))
-    return _with_results(customers, churn, revenue).join(stamps, RUN_KEY, "left").select(
+    return with_results(customers, churn, revenue).join(stamps, RUN_KEY, "left").select(
         "analysis_id", "user_id", "customer_id", "customer_name", "age", "gender", "country", "total_revenue",
         "predicted_revenue", "churn_probability", "risk_level", "revenue_segment", "transaction_count",
         "avg_transaction_value", "first_purchase_date", "last_purchase_date", "days_since_last_purchase", "created_at",
@@ -120,7 +120,7 @@ def dashboard_join(customers: DataFrame, history: DataFrame, churn: DataFrame, r
 def dashboard_join_inner(customers: DataFrame, history: DataFrame, churn: DataFrame, revenue: DataFrame) -> DataFrame:
     """The 15-column variant: rows of runs without history are left out."""
     stamps = history.select(*RUN_KEY, F.col("timestamp").alias("analysis_date"))
-    return _with_results(customers, churn, revenue).join(stamps, RUN_KEY).select(
+    return with_results(customers, churn, revenue).join(stamps, RUN_KEY).select(
         "customer_id", "age", "gender", "country", "total_spent", "transaction_count", "first_purchase_date",
         "last_purchase_date", "risk_level", "churn_probability", "revenue_segment", "predicted_revenue",
         "analysis_id", "user_id", "analysis_date",

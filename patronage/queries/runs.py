@@ -7,12 +7,14 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from patronage.operators import cells
 from patronage.operators import runs as x
+from patronage.operators.reports import latest_run
 from patronage.plans import dashboard as board
 from patronage.plans.run import run_analysis
-from patronage.queries.base import DASHBOARD, RUNS, customers, dashboard, query, rounded, run_tables, table, transactions
+from patronage.queries.base import DASHBOARD, RUNS, catalogued_runs, customers, dashboard, query, rounded, run_tables, table, transactions
 from patronage.queries.models import churn_model, revenue_model
-from patronage.session import materialize, path_exists, scratch_path, scratch_root
+from patronage.session import materialize, materialize_once, path_exists, scratch_path, scratch_root
 from patronage.sources.store import RunStore
 
 HISTORY = "user_id, analysis_id, total_customers, high_risk_customers, total_predicted_revenue, avg_predicted_revenue, analysis_summary"
@@ -213,12 +215,8 @@ tiles AS (SELECT 'kpis' AS chart, 'total_revenue' AS label, sum(total_revenue) A
   UNION ALL SELECT * FROM (SELECT 'top_countries', country, sum(total_revenue) AS v FROM mine GROUP BY country ORDER BY v DESC, country LIMIT 10))"""
 
 
-@query("x8_dashboard_charts", f"WITH {TILES} SELECT chart, label, round(CAST(value AS DOUBLE), 4) AS value FROM tiles")
-def x8_charts(spark, folder):
-    """The whole dashboard of one tenant: latest run, null fills, date filter, tiles and charts."""
-    users = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("email")).distinct()
-    rows = materialize(board.prepare(board.latest_rows(dashboard(spark, folder), users, "HOUSEHOLD")), "dashboard")
-    charts = board.charts(board.filtered(rows))
+def stacked(charts):
+    """All tiles and charts as rows of one table."""
     names = {"risk_levels": "risk_level", "revenue_by_segment": "revenue_segment", "revenue_by_month": "month", "top_countries": "country"}
     kpis = charts["kpis"]
     parts = [kpis.select(F.lit("kpis").alias("chart"), F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in kpis.columns]
@@ -231,6 +229,22 @@ def x8_charts(spark, folder):
     return rounded(out, value=4)
 
 
+@query("x8_dashboard_charts", f"WITH {TILES} SELECT chart, label, round(CAST(value AS DOUBLE), 4) AS value FROM tiles")
+def x8_charts(spark, folder):
+    """The whole dashboard of one tenant: latest run, null fills, date filter, tiles and charts."""
+    users = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("email")).distinct()
+    rows = materialize(board.prepare(board.latest_rows(dashboard(spark, folder), users, "HOUSEHOLD")), "dashboard")
+    return stacked(board.charts(board.filtered(rows)))
+
+
+@query("x8_charts_from_totals", f"WITH {TILES} SELECT chart, label, round(CAST(value AS DOUBLE), 4) AS value FROM tiles")
+def x8_from_totals(spark, folder):
+    """The same dashboard from the totals that were written with the runs; no customer is read."""
+    mark = f"run-cells-{zlib.crc32(folder.encode()):08x}"
+    totals = materialize_once(spark, mark, lambda: cells.run_cells(catalogued_runs(spark, folder).dashboard()))
+    return stacked(cells.charts(board.filtered(board.prepare(latest_run(totals.where("user_id = 'HOUSEHOLD'"))))))
+
+
 @query(
     "x1_whole_run",
     """SELECT CAST(o_custkey AS VARCHAR) AS customer_id, round(sum(o_totalprice), 2) AS total_spent, count(*) AS transaction_count,

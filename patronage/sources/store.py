@@ -13,7 +13,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from patronage.operators import cleaning, joins, mapping, runs
+from patronage.operators import cells, cleaning, joins, mapping, runs
 from patronage.operators.models import Fitted
 from patronage.session import delete_path, path_exists
 
@@ -27,13 +27,16 @@ SCHEMAS = {
     "revenue_segment string, transaction_count int, avg_transaction_value decimal(15,2)",
     "customer_data": "customer_id string, customer_name string, age int, gender string, country string, "
     "total_spent decimal(15,2), transaction_count int, first_purchase_date date, last_purchase_date date",
+    "dashboard_cells": "country string, gender string, revenue_segment string, risk_level string, last_purchase_date date, "
+    "customers long, total_revenue double",
 }
 RUN_COLUMNS = "user_id string, analysis_id long"
 USERS_SCHEMA = "email string, username string, subscription string, role string, created_at timestamp_ntz"
 LOG_SCHEMA = "event_type string, email string, details string, timestamp timestamp_ntz, day date"
 CHILDREN = ["customer_data", "churn_data", "revenue_data"]
 HISTORY = "analysis_history"
-MODELS = "models"
+#: What goes with a run beside its children: the dashboard's totals and the trained models.
+CELLS, MODELS = "dashboard_cells", "models"
 
 
 def new_run_id(at: dt.datetime) -> int:
@@ -145,12 +148,14 @@ class RunStore:
             self.append_results(user_id, run, churn, revenue, at)
             people = mapping.stamp_run(customers, user_id, run)
             self._append("customer_data", mapping.keep_columns(people, mapping.CUSTOMER_COLUMNS), user_id, run)
+            written = [self.table(name, user_id, run) for name in CHILDREN]
+            self._append(CELLS, cells.run_cells(joins.with_results(written[0], written[1], written[2])), user_id, run)
             for kind, fitted in (models or {}).items():
                 fitted.write().save(f"{self._folder(MODELS, user_id, run)}/{kind}")
             totals = runs.run_totals(mapping.stamp_run(churn, user_id, run), mapping.stamp_run(revenue, user_id, run), p)
             self._append(HISTORY, totals.withColumn("timestamp", F.lit(at).cast("timestamp_ntz")), user_id, run)
         except Exception:
-            for name in (*CHILDREN, MODELS):
+            for name in (*CHILDREN, CELLS, MODELS):
                 self._drop_run(name, user_id, run)
             raise
         return run
@@ -183,7 +188,7 @@ class RunStore:
         """Delete a run of the tenant; False if it has none of that number."""
         if self.table(HISTORY, user_id, analysis_id).isEmpty():
             return False
-        for name in (HISTORY, *CHILDREN, MODELS):
+        for name in (HISTORY, *CHILDREN, CELLS, MODELS):
             self._drop_run(name, user_id, analysis_id)
         return True
 
@@ -192,13 +197,13 @@ class RunStore:
         old = runs.expired_runs(self.table(HISTORY, user_id), as_of).select("analysis_id")
         doomed = sorted(r["analysis_id"] for r in old.collect())  # one tenant's runs, bounded by its quota
         for run in doomed:
-            for name in (HISTORY, *CHILDREN, MODELS):
+            for name in (HISTORY, *CHILDREN, CELLS, MODELS):
                 self._drop_run(name, user_id, run)
         return doomed
 
     def delete_tenant(self, user_id: str, at: dt.datetime) -> None:
         """Delete everything of a tenant, its account row too, and log that."""
-        for name in (HISTORY, *CHILDREN, MODELS):
+        for name in (HISTORY, *CHILDREN, CELLS, MODELS):
             self._drop_run(name, user_id)
         self._change_users(lambda users: users.where(F.col("email") != user_id))
         self.log_event("DELETE_ACCOUNT", user_id, "User deleted their account and all data.", at)
@@ -287,6 +292,11 @@ class RunStore:
             return joins.dashboard_join_inner(*parts)
         return joins.dashboard_join(*parts).where("created_at is not null")
 
+    def latest_cells(self, user_id: str) -> DataFrame:
+        """The dashboard's totals of the tenant's newest finished run."""
+        newest = self.table(HISTORY, user_id).agg(F.max("analysis_id").alias("id")).first()["id"]
+        return self.run_rows(CELLS, user_id, newest if newest is not None else -1)
+
     def create_view(self, name: str = "full_dashboard_data") -> None:
         self.dashboard().createOrReplaceTempView(name)
 

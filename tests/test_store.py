@@ -4,7 +4,9 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from patronage.operators import cells
 from patronage.operators import runs as x
+from patronage.plans import dashboard as board
 from patronage.plans.run import run_analysis
 from patronage.sources import files
 from patronage.sources.store import RunStore
@@ -42,6 +44,27 @@ def test_save_list_and_read_back(store, frame):
     assert "PartitionFilters: [" in plan and "analysis_id" in plan
 
 
+def test_dashboard_from_totals(store, frame):
+    churn, revenue, people = results(frame, 30)
+    churn = churn.withColumn("risk_level", F.when(F.col("customer_id") % 3 == 0, "High Risk").otherwise("Low Risk"))
+    revenue = revenue.withColumn("revenue_segment", F.when(F.col("customer_id") % 4 > 0, F.concat(F.lit("S"), F.col("customer_id") % 4)))
+    people = people.withColumns({
+        "country": F.when(F.col("customer_id") % 5 > 0, F.concat(F.lit("C"), F.col("customer_id") % 5)), "gender": F.lit(None).cast("string"),
+        "last_purchase_date": F.when(F.col("customer_id") > 2, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("customer_id") * 9).cast("int"))),
+    })
+    store.save_run("a@x.eu", churn, revenue, people, at=AT)
+    store.save_run("b@x.eu", churn, revenue, people, at=AT)
+    rows, totals = board.prepare(store.dashboard("a@x.eu")), board.prepare(store.latest_cells("a@x.eu"))
+    assert 1 < totals.count() < 31 and totals.agg(F.sum("customers")).first()[0] == 30
+    choices = [{}, {"country": ["C1", "C2", "Unknown"]}, {"segment": ["S1"], "start": dt.date(2024, 2, 1), "end": dt.date(2024, 8, 9)}, {"keep_null_dates": True}, {"country": ["none"]}]
+    for chosen in choices:
+        a, b = board.charts(board.filtered(rows, today=AT, **chosen)), cells.charts(board.filtered(totals, today=AT, **chosen))
+        for name in a:
+            assert [[float(v) if isinstance(v, (int, float)) else v for v in r] for r in a[name].collect()] == [
+                [pytest.approx(float(v)) if isinstance(v, (int, float)) else v for v in r] for r in b[name].select(*a[name].columns).collect()], (name, chosen)
+    assert store.latest_cells("c@x.eu").count() == 0
+
+
 def test_unfinished_run_is_not_seen(store, frame):
     churn, revenue, _ = results(frame)
     store.append_results("a@x.eu", 7, churn, revenue, AT)
