@@ -19,13 +19,16 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patronage.llm.common import set_aside
+from patronage.session import materialize
 
 #: n-grams of 1 to ORDER characters fall into 2^BITS columns by hash.
 ORDER, BITS = 3, 13
-#: Bound of the sample that is fitted, in expectation, and landmarks, both per language.
+#: Bound of the sample that is fitted, in expectation, and landmarks, both per language; ridge.
 FIT_ROWS, LANDMARKS, RIDGE = 600, 64, 1e-2
-#: Languages with the most labelled rows that are learned.
-MOST_LANGUAGES = 256
+#: With many languages each gives fewer: rows of all together (but so many of each), landmarks of a group of languages, and the size of a group.
+FIT_TOTAL, LEAST_ROWS, LANDMARK_TOTAL, GROUP = 1 << 16, 8, 2048, 512
+#: Most rows of a table that is broadcast (a label and a count each).
+BROADCAST_ROWS = 20_000
 #: Rows of one matrix product.
 BATCH = 256
 
@@ -74,27 +77,46 @@ class Model:
         return names, scores
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    x = rows.astype(np.float64)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 def fit(texts_by_language: dict[str, np.ndarray]) -> Model:
-    """Kernel ridge regression on presence rows (one array per language, rows in a fixed order)."""
+    """Kernel ridge regression on presence rows (one array per language, rows in a fixed order).
+
+    Languages are solved in groups of ``GROUP``, each over landmarks of its own
+    and against the rows of all languages. The regression's moments are added
+    up language by language, so memory is that of a group's landmarks and of one
+    language's rows, however many languages there are.
+    """
     languages = sorted(texts_by_language)
-    if not languages:
+    groups = [range(at, min(at + GROUP, len(languages))) for at in range(0, len(languages), GROUP)]
+    parts = [_fit_group(texts_by_language, languages, group) for group in groups]
+    if not parts:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
-    x = np.concatenate([texts_by_language[k] for k in languages]).astype(np.float64)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = np.concatenate([texts_by_language[k][:LANDMARKS] for k in languages]).astype(np.float64)
-    marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+    weights, offsets = zip(*parts, strict=True)
+    return Model(languages, np.hstack(weights), np.concatenate(offsets))
+
+
+def _fit_group(rows: dict[str, np.ndarray], languages: list[str], group: range) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and offsets of a group of languages, each against all the rest."""
+    n, each = len(languages), max(1, min(LANDMARKS, LANDMARK_TOTAL // len(group)))
+    marks = _scaled(np.concatenate([rows[languages[i]][:each] for i in group]))
     values, vectors = np.linalg.eigh(marks @ marks.T)
     good = values > values.max() * 1e-9
     whiten = vectors[:, good] / np.sqrt(values[good])  # Nystrom: features whose products give back the kernel
-    phi = (x @ marks.T) @ whiten
-    counts = np.array([len(texts_by_language[k]) for k in languages])
-    own = np.repeat(np.arange(len(languages)), counts)
-    weight = (1.0 / counts)[own][:, None]  # every language weighs the same
-    y = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    mean, centre = (weight * phi).sum(0) / weight.sum(), (weight * y).sum(0) / weight.sum()
-    a, b = phi - mean, y - centre
-    beta = np.linalg.solve(a.T @ (weight * a) + RIDGE * np.eye(a.shape[1]) / len(languages), a.T @ (weight * b))
-    return Model(languages, (marks.T @ (whiten @ beta)).astype(np.float32), centre - mean @ beta)
+    # Every language weighs the same: its rows count as one mean, its targets are 1 for itself and -1 for the others.
+    means, square = np.zeros((n, whiten.shape[1])), np.zeros((whiten.shape[1],) * 2)
+    for i, k in enumerate(languages):
+        phi = (_scaled(rows[k]) @ marks.T) @ whiten
+        means[i] = phi.mean(0)
+        square += phi.T @ phi / len(phi)
+    mean, centre = means.mean(0), 2.0 / n - 1.0
+    spread = square - n * np.outer(mean, mean)
+    met = (2 * means[group.start : group.stop] - means.sum(0) - n * centre * mean).T
+    beta = np.linalg.solve(spread + RIDGE * np.eye(len(spread)) / n, met)
+    return (marks.T @ (whiten @ beta)).astype(np.float32), centre - mean @ beta
 
 
 def held_out(key: Column) -> Column:
@@ -105,28 +127,31 @@ def held_out(key: Column) -> Column:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on the labelled rows that are not held out.
 
-    At most about ``fit_rows`` rows of a language are used, chosen by hash of
-    the key, and the ``MOST_LANGUAGES`` commonest languages, so what the
-    driver fits has a bound whatever the table holds. Texts without a letter
-    teach nothing; a table without a labelled row gives a model that answers
-    ``und``.
+    At most about ``fit_rows`` rows of a language and ``FIT_TOTAL`` of all are
+    used (``LEAST_ROWS`` of each language in any case), chosen by hash of the
+    key, so what the driver fits has a bound whatever the table holds; every
+    label is learned. Texts without a letter teach nothing; a table without a
+    labelled row gives a model that answers ``und``. Repeated rows count again;
+    of equal scores the first language by name is given. A text of any length
+    is read whole.
     """
     labelled = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     labelled = labelled.where(F.col("l").isNotNull() & ~held_out(F.col("k")) & F.coalesce(F.col("t"), F.lit("")).rlike(r"\p{L}"))
-    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = materialize(labelled.groupBy("l").agg(F.count("*").alias("c")), "labels")
+    languages = counts.count()
+    if not languages:
         return fit({})
+    each = max(LEAST_ROWS, min(fit_rows, FIT_TOTAL // languages))
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.col("t")).cast("binary")), 1, 13), 16, 10).cast("long")
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("l") == r["l"]) & (F.col("p") < int(2**52 * min(1.0, fit_rows / r["count"]))))
+    known = labelled.withColumn("p", place).join(F.broadcast(counts) if languages <= BROADCAST_ROWS else counts.hint("merge"), "l")
+    chosen = F.col("p") < F.floor(F.lit(2.0**52) * F.least(F.lit(1.0), F.lit(float(each)) / F.col("c")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [np.packbits(_rows([t.as_py()])[0].astype(bool)).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["l", "p", "bits"])
 
-    sample = labelled.withColumn("p", place).where(chosen).select("l", "p", "t").mapInArrow(pack, "l string, p long, bits binary")
+    sample = known.where(chosen).select("l", "p", "t").mapInArrow(pack, "l string, p long, bits binary")
     by: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect()):
         by.setdefault(r["l"], []).append(bytes(r["bits"]))
