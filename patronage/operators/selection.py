@@ -3,8 +3,8 @@
 ``order_statistics`` answers "which value stands at sorted position r" for
 several columns and positions at once. A bounded sketch brackets each wanted
 position; one counting pass places the bracket exactly; only rows inside a
-bracket are sorted. A bracket that still holds too many rows is narrowed again,
-so the rows of all brackets together, which one task sorts, are at most
+bracket are sorted. A bracket is narrowed as long as it holds too many rows, so
+the rows of all brackets together, which one task sorts, are at most
 ``MAX_CANDIDATES`` (a few more only if there are more brackets than that). Give
 it a frame that is cheap to scan again (a table, or a materialised stage).
 """
@@ -68,17 +68,19 @@ def order_statistics(
             if not 0 <= group[0] <= group[-1] < counts[column]:
                 raise IndexError(f"positions {group} outside the {counts[column]} values of {column}")
             large.append(_Bracket(column, group, counts[column]))
-    share = max(1, max_candidates // max(1, len(large)))  # all brackets are gathered together
+    # All brackets are gathered together; those of one range share its values.
+    share = max(1, max_candidates // max(1, len(large)))
+    whole = max(1, max_candidates // max(1, len(ranks)))
     while large:
         still = []
-        for b in _narrow(df, large):
-            if b.low == b.high:
+        for b in large:
+            if b.low is not None and b.low == b.high:
                 found[b.column].update(dict.fromkeys(b.ranks, b.low))
-            elif b.inside <= share:
+            elif b.inside <= (whole if b.low is None else share):
                 small.append(b)
             else:
                 still.append(b)
-        large = still
+        large = _narrow(df, still) if still else []
     _sort_small(df, small, found)
     return found
 
