@@ -32,7 +32,7 @@ UNIT = 1_000_000_000
 #: Sources and terms that a block holds, about.
 SOURCES, TERMS = 64, 4096
 #: Terms of documents that a task gathers before it adds them up, and rows of such sums that it holds before it hands them on.
-HELD = 1_000_000
+GATHERED, HELD = 200_000, 500_000
 #: Most groups of language and source that are broadcast (some hundred bytes each), and most terms given for one.
 BROADCAST_ROWS, TOP = 20_000, 10
 
@@ -61,7 +61,7 @@ class _Counts:
         self.terms.extend(here)
         self.uses.extend(here.values())
         self.owners.append((self.groups.setdefault(group, len(self.groups)), len(here)))
-        if len(self.terms) >= HELD:
+        if len(self.terms) >= GATHERED:
             self.settle()
 
     def settle(self) -> None:

@@ -61,7 +61,8 @@ def test_against_brute_force(frame, monkeypatch, blocks):
 
 
 def test_other_limits_and_a_full_memory(frame, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD", 7)
+    monkeypatch.setattr(divergence, "GATHERED", 7)
+    monkeypatch.setattr(divergence, "HELD", 20)
     monkeypatch.setattr(divergence, "BROADCAST_ROWS", 0)
     rows = corpus(random.Random(5), 120)
     assert result(frame(rows, SCHEMA, 4), least=2, top=3) == brute(rows, 2, 3)
