@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from patronage.operators.grown_forest import GrownForest
 from patronage.session import copy_path, delete_path, scratch_path
 
 #: What a leaf holds in place of a split.
@@ -52,6 +53,8 @@ def cut_back(model, least: int):
     """The forest as if nodes of fewer than ``least`` rows had not been split; the model itself for ``least`` up to 2."""
     if least <= 2:
         return model
+    if isinstance(model, GrownForest):
+        return model.cut_back(least)
     spark = SparkSession.active()
     grown, cut = scratch_path(spark, "grown"), scratch_path(spark, "cut")
     model.write().save(grown)
