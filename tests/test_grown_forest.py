@@ -118,3 +118,15 @@ def test_the_important_feature_is_found(frame):
     df, _ = noisy(frame)
     shares = g.importances(df, m._forest(m.RandomForestRegressor, "target_revenue", 5), "customer_id")
     assert shares.sum() == pytest.approx(1) and shares.argmax() == 0
+
+
+def test_no_forest_of_the_churn_search_is_held_by_the_driver(spark, frame):
+    df, names = noisy(frame, 400)
+    quick = {"settings": {"numTrees": [3], "maxDepth": [3], "minInstancesPerNode": [1], "minSplit": [2, 5]}, "selector_trees": 3, "folds": 2}
+    kept = {}
+    shallow, deep = (jobs_of(spark, f"churn-{d}", lambda: kept.update({d: m.train_churn(df, names, selector_depth=d, **quick)})) for d in (2, 30))
+    assert shallow == deep and isinstance(kept[30].model, g.GrownForest)
+    nodes = kept[30].model.cut_back(5).nodes()
+    assert nodes.where("leftChild >= 0 and rawCount < 5").isEmpty()
+    ends = nodes.select("treeID", F.explode(F.array("leftChild", "rightChild")).alias("id")).where("id >= 0")
+    assert nodes.where("id > 0").select("treeID", "id").exceptAll(ends).isEmpty()  # each node but the root is the child of one
