@@ -17,10 +17,10 @@ from patronage.operators import cells, cleaning, joins, mapping, runs
 from patronage.operators.models import Fitted
 from patronage.session import delete_path, path_exists
 
-# Layouts of the stored tables.
+# Layouts of the stored tables. A run's total grows with its customers, so it has more digits than their amounts.
 SCHEMAS = {
     "analysis_history": "timestamp timestamp_ntz, total_customers int, high_risk_customers int, "
-    "total_predicted_revenue decimal(15,2), avg_predicted_revenue decimal(15,2), analysis_summary string",
+    "total_predicted_revenue decimal(28,2), avg_predicted_revenue decimal(15,2), analysis_summary string",
     "churn_data": "customer_id string, churn_probability decimal(5,4), risk_level string, total_amount decimal(15,2), "
     "transaction_count int, days_since_last_purchase int, last_activity date",
     "revenue_data": "customer_id string, predicted_revenue decimal(15,2), total_revenue decimal(15,2), "

@@ -1,5 +1,6 @@
 import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,19 @@ def test_save_list_and_read_back(store, frame):
     assert "PartitionFilters: [" in plan and "analysis_id" in plan
 
 
+def test_a_run_total_has_more_digits_than_the_amounts(store, frame):
+    churn, revenue, people = results(frame)
+    revenue = revenue.withColumn("predicted_revenue", F.lit(8e12))  # each fits an amount's fifteen digits, their sum does not
+    store.save_run("a@x.eu", churn, revenue, people, at=AT)
+    assert [r["total_predicted_revenue"] for r in store.history("a@x.eu").collect()] == [3.2e13]
+
+
+def test_totals_written_with_fewer_digits_are_read(spark, store):
+    old = "timestamp timestamp_ntz, total_customers int, total_predicted_revenue decimal(15,2), avg_predicted_revenue decimal(15,2)"
+    spark.createDataFrame([(AT, 4, Decimal("30.25"), Decimal("7.56"))], old).write.parquet(store._folder("analysis_history", "a@x.eu", 7))
+    assert [(r["analysis_id"], r["total_predicted_revenue"]) for r in store.history("a@x.eu").collect()] == [(7, 30.25)]
+
+
 def test_dashboard_from_totals(store, frame):
     churn, revenue, people = results(frame, 30)
     churn = churn.withColumn("risk_level", F.when(F.col("customer_id") % 3 == 0, "High Risk").otherwise("Low Risk"))
