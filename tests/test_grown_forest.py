@@ -75,6 +75,63 @@ def test_every_split_is_the_best_one(leaf, least):
     assert check(0, w > 0) == len(tree["child"])
 
 
+def same_tree(a, b):
+    """Equal nodes along equal paths, however they are numbered."""
+    def nodes(tree, i=0):
+        here = (tree["feature"][i], tree["threshold"][i], tree["rows"][i], round(float(tree["value"][i]), 9))
+        return [here] if tree["child"][i] < 0 else [here, *nodes(tree, tree["child"][i]), *nodes(tree, tree["child"][i] + 1)]
+
+    return nodes(a) == nodes(b) and a["importance"] == pytest.approx(b["importance"])
+
+
+@pytest.mark.parametrize("classes", [False, True])
+def test_rows_of_a_cell_grow_the_tree_of_single_rows(classes):
+    rng = np.random.default_rng(8)
+    x = rng.random((4, 600)).round(1)
+    y = (x[0] + x[1] * rng.random(600)).round(3)
+    y = (y > 0.8).astype(float) if classes else y
+    cuts = [g.cut_points(v, 128) for v in x[:4 if classes else 2]]
+    bins = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x)]).astype(np.int8)
+    assert len(g.cells_of(bins)[1]) < 600
+    tree = next(g.Rules(42, 128, classes, 30, 1).trees(bins, cuts, y, range(7, 8)))
+    draw_from = np.random.default_rng([42, 7])
+    draw, middle = draw_from.poisson(1.0, 600), 0.0 if classes else y.mean()
+    single = g.grow_tree(bins, cuts, y - middle, draw, 30, 1, 2, 2, draw_from)
+    assert same_tree(tree, single | {"value": single["value"] + middle})
+
+
+@pytest.mark.parametrize("depth, leaf, least", [(30, 1, 2), (4, 3, 20)])
+def test_a_tree_of_many_blocks_is_the_tree_of_one(monkeypatch, depth, leaf, least):
+    rng = np.random.default_rng(9)
+    x, w = rng.random((3, 500)).round(2), rng.poisson(1.0, 500)
+    y = (100 * (x[0] * 3 + x[1] + rng.random(500))).round()  # sums are exact, so equal splits stay equal
+    cuts = [g.cut_points(v, 128) for v in x]
+    bins = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x)])
+    whole = g.grow_tree(bins, cuts, y, w, depth, leaf, least, 3, rng)
+    monkeypatch.setattr(g, "BLOCK", 40)
+    parts = g.grow_tree(bins, cuts, y, w, depth, leaf, least, 3, rng)
+    assert len(whole["child"]) == len(parts["child"]) and same_tree(whole, parts)
+    values_ = g.walk(whole, x, [2, depth]), g.walk(parts, x, [2, depth])
+    assert np.allclose(values_[0], values_[1])
+
+
+def test_cells_of_many_bins_are_told_apart():
+    rng = np.random.default_rng(1)
+    bins = rng.integers(0, 128, (12, 300)).astype(np.int8)
+    bins = np.concatenate([bins, bins[:, :100]], 1)
+    order, starts = g.cells_of(bins)
+    assert sorted(order) == list(range(400)) and len(starts) == 300
+    for rows in np.split(order, starts[1:]):
+        assert (bins[:, rows] == bins[:, rows[:1]]).all() and list(rows) == sorted(rows)
+
+
+def test_a_forest_without_stated_thresholds_scores_alike(frame):
+    df, _ = noisy(frame)
+    forest = g.grow_forest(df, m._forest(m.RandomForestRegressor, "target_revenue", 5), "customer_id")
+    old = g.GrownForest(forest.path, {k: v for k, v in forest.about.items() if k != "cuts"})
+    assert values(old.transform(df), "customer_id", "prediction") == values(forest.transform(df), "customer_id", "prediction")
+
+
 def test_thresholds_of_many_values_take_equal_shares():
     cuts = g.cut_points(np.r_[np.arange(1000.0), np.full(5000, 7.0)], 10)
     assert len(cuts) <= 9 and list(cuts) == sorted(set(cuts))

@@ -104,6 +104,25 @@ def test_fit_rows_are_bounded_by_key(frame):
     assert m.fit_rows(df, "customer_id", 5000).count() == 5000
 
 
+def many(spark, n=280_000):
+    noise = lambda k, most: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(most)).cast("double")
+    df = spark.range(n).select(F.col("id").alias("customer_id"), noise(1, 40).alias("a"), noise(2, 30).alias("b"), noise(3, 9).alias("c"))
+    df = df.withColumns({"target_revenue": F.expr("a + b * c"), "churn_label": F.expr("int(a + b + c > 40)")})
+    return feature_matrix(df, ["a", "b"])
+
+
+def rows_of_trees(fitted):
+    """Mean of the rows that the trees of a forest were grown over, as their bootstraps drew them."""
+    return fitted.model.nodes().where("id = 0").agg(F.avg("rawCount")).first()[0]
+
+
+def test_the_churn_forest_is_grown_over_all_training_rows(spark):
+    df, names = many(spark)
+    fitted = m.train_churn(df, names, settings=None, selector_trees=2, selector_depth=3)
+    n = fitted.train.count()
+    assert n > 220_000 and rows_of_trees(fitted) == pytest.approx(n, rel=0.005)
+
+
 def test_analysis_numbers_rows_without_ids(frame):
     df = rolled(frame, 30).drop("customer_id")
     out, _ = analysis.analyze_churn(df, "2024-01-31", order_by=[F.col("total_amount"), F.col("days_since_last_purchase")], **QUICK)
