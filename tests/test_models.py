@@ -123,6 +123,12 @@ def test_the_churn_forest_is_grown_over_all_training_rows(spark):
     assert n > 220_000 and rows_of_trees(fitted) == pytest.approx(n, rel=0.005)
 
 
+def test_the_revenue_forest_is_grown_over_all_training_rows(spark):
+    df, names = many(spark)
+    fitted = m.train_revenue(df, names, settings=None, selector_trees=2, selector_depth=3)
+    assert fitted.train.count() == 224_000 and rows_of_trees(fitted) == pytest.approx(224_000, rel=0.005)
+
+
 def test_analysis_numbers_rows_without_ids(frame):
     df = rolled(frame, 30).drop("customer_id")
     out, _ = analysis.analyze_churn(df, "2024-01-31", order_by=[F.col("total_amount"), F.col("days_since_last_purchase")], **QUICK)
